@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, quality_rules, token_count, url_filter
+from . import byte_bpe, chat_format, line_dedup, quality_rules, token_count, url_filter, warc
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -36,6 +36,19 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_frequent_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    folder = warc.archive_folder(pages)
+    index = warc.build_index(warc.write_archive(pages, folder), folder)
+    keys = pages.select(warc.capture_key(F.col("url"), F.col("page_id")))
+    return warc.read_archive(keys, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,6 +97,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_warc": op5_warc,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_chat_format": op7_chat_format,
     "op9_token_count": op9_token_count,
@@ -97,6 +112,11 @@ u AS (SELECT page_id,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p)
 """
 
+#: Base 32 of a SHA-1 in hexadecimal (column d): eight groups of five digits, four characters each.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(d, {5 * g + 1}, 5))::INT >> {s}) & 31), 1)" for g in range(8) for s in (15, 10, 5, 0)
+)
+
 ORACLES = {
     "op1_url_filter": f"""
 WITH {_URL_PARTS},
@@ -104,6 +124,23 @@ r(v, h, d) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), (
 m AS (SELECT page_id, h || d AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || d) DESC, length(h) DESC) AS n
       FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, d))
 SELECT u.page_id, host, path, m.rule, coalesce(m.v, 'allow') AS verdict FROM u LEFT JOIN m ON u.page_id = m.page_id AND m.n = 1
+""",
+    "op4_line_dedup": """
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+t AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM s),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM t),
+f AS (SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+j AS (SELECT k.*, (f.key IS NOT NULL AND k.doc_id <> f.holder) AS gone FROM k LEFT JOIN f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+""",
+    "op5_warc": f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT d, max(page_id) AS holder FROM p GROUP BY d)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = holder THEN NULL ELSE holder END AS refers_to
+FROM p JOIN m USING (d)
 """,
     "op7_chat_format": """
 WITH t AS (
