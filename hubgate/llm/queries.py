@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, line_dedup, quality_rules, token_count, url_filter, warc
+from . import byte_bpe, chat_format, line_dedup, quality_rules, substring_dedup, token_count, url_filter, warc
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -80,6 +80,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_count.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"), "json")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
@@ -101,6 +106,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_chat_format": op7_chat_format,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_token_count": op9_token_count,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -159,5 +165,15 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(ends) FILTER (WHERE role = 'assistant' OR back = 1)::BIGINT AS formatted_chars
 FROM s GROUP BY conv_id
+""",
+    "op8_substring_dedup": """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k, len(ws) AS n FROM d),
+v AS (SELECT doc_id, k, n, word, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS seq FROM t),
+c AS (SELECT doc_id, k, count(*) OVER (PARTITION BY seq) AS times FROM v WHERE k + 34 <= n),
+r AS (SELECT DISTINCT doc_id, unnest(range(k, k + 35)) AS k FROM c WHERE times > 1),
+j AS (SELECT t.doc_id, t.k, t.word, r.k IS NOT NULL AS gone FROM t LEFT JOIN r ON t.doc_id = r.doc_id AND t.k = r.k),
+g AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY k) FILTER (WHERE NOT gone) AS kept FROM j GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """,
 }
