@@ -136,6 +136,21 @@ def near_duplicates(
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``; ``similar`` is in percent. The smallest
     id of a component is kept."""
+    out = _labelled(docs, id_col=id_col, text_col=text_col, shingle=shingle, similar=similar, collections=collections, width=width)
+    real = lambda c: F.when(F.col(c) < _NAMELESS, F.col(c))
+    return out.select(real("key").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: int = 80, collections: int = 12, width: int = 2) -> DataFrame:
+    """``docs`` reduced to the documents that are kept, all columns unchanged."""
+    kept = _labelled(docs, id_col=id_col, text_col=text_col, shingle=shingle, similar=similar, collections=collections, width=width)
+    kept = written(kept.filter("key = component").select(F.col("key").alias("__key")).distinct(), "kept")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return docs.withColumn("__key", _key(F.col(f"`{id_col}`"), text)).join(kept, "__key", "left_semi").drop("__key")
+
+
+def _labelled(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, similar: int, collections: int, width: int) -> DataFrame:
+    """``key, n, component`` for every row."""
     spark = docs.sparkSession
     prepare(spark)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -167,9 +182,7 @@ def near_duplicates(
     else:
         named = named.withColumn("component", F.col("node"))
     named = named.select("d1", "d2", "n", F.coalesce("component", "node").alias("component"))
-    real = lambda c: F.when(F.col(c) < _NAMELESS, F.col(c))
-    out = rows.join(named, ["d1", "d2", "n"], "left").withColumn("component", F.coalesce("component", "key"))
-    return out.select(real("key").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
+    return rows.join(named, ["d1", "d2", "n"], "left").select("key", "n", F.coalesce("component", "key").alias("component"))
 
 
 def _settled(members: DataFrame, texts: DataFrame, shingle: int, similar: int) -> DataFrame:
