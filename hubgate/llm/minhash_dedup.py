@@ -12,10 +12,12 @@ of 264. A pair is missed only if at most one group agrees: 7 in a million at a s
 1. Equal sets are one class (128 bits of digest), so copies are compared once.
 2. Classes that share a table key with another form a bucket. Every member is verified against the bucket's first
    member (the smallest id), and components are formed.
-3. Buckets whose members are still in different components are settled exactly: members outside the bucket's largest
-   component are verified against all members of other components. Jaccard distance is a metric, so a pair whose
-   distances to the first member differ by more than the allowed distance cannot be linked; banded joins on that
-   distance skip such pairs. No bucket is capped and no pair within a component is expanded.
+3. Buckets whose members are still in different components are settled exactly. Shingles that no other of these
+   documents has bound every intersection from above: members, and later pairs, whose bound is too low go, which
+   clears groups of copies with edits of their own. The rest is verified against two central members per table key
+   (that with the fewest shingles of its own, then a random one of those with few), and what is still
+   apart is verified pair by pair, where bitmaps of both sets leave it possible: members outside the bucket's largest component against all of other components.
+   No bucket is capped, no pair is measured twice and none within a component.
 
 Rows: a document is an id; repeated rows and rows that share an id are one document for linking, each row is
 returned. Ids are below 2**62; a row without an id takes part under a number made of its text, is never the name of a
@@ -164,8 +166,9 @@ def _labelled(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, simi
     groups = classes.filter(F.col("n") >= least).select("node", "n", F.posexplode("groups").alias("i", "g"))
     common = groups.groupBy("i", "g").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("i", "g")
     held = groups.join(common, ["i", "g"]).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("i", "g"))).alias("held")).filter(F.size("held") > 1)
-    pair = F.explode(F.flatten(F.transform("held", lambda x, i: F.transform(F.slice("held", i + 2, F.size("held")), lambda y: F.xxhash64(x.i, y.i, x.g, y.g)))))
-    keyed = held.select("node", "n", pair.alias("table_key"))
+    key = lambda x, y: F.struct(x.i.alias("i"), y.i.alias("j"), F.xxhash64(x.i, y.i, x.g, y.g).alias("table_key"))
+    pair = F.explode(F.flatten(F.transform("held", lambda x, i: F.transform(F.slice("held", i + 2, F.size("held")), lambda y: key(x, y)))))
+    keyed = held.select("node", "n", pair.alias("k")).select("node", "n", "k.*")
     leads = keyed.groupBy("table_key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").select("table_key", "lead")
     members = written(keyed.join(leads, "table_key"), "buckets")
     if members.isEmpty():
@@ -173,7 +176,7 @@ def _labelled(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, simi
     else:
         nodes = members.select(F.col("node").alias("key")).distinct()
         texts = written(source.withColumn("t", F.xxhash64("text")).join(nodes, "key").dropDuplicates(["key", "t"]).select("key", "text"), "candidate-texts")
-        links = _settled(members, texts, shingle, similar)
+        links = _settled(members, texts, classes.select("node", "groups"), collections, shingle, similar)
 
     named = classes.select("d1", "d2", "n", "node")
     if links is not None:
@@ -185,26 +188,100 @@ def _labelled(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, simi
     return rows.join(named, ["d1", "d2", "n"], "left").select("key", "n", F.coalesce("component", "key").alias("component"))
 
 
-def _settled(members: DataFrame, texts: DataFrame, shingle: int, similar: int) -> DataFrame:
+def _unshared(texts: DataFrame, shingle: int) -> DataFrame:
+    """``node, unshared``: how many shingles of each text are in no other one (only nodes that have any).
+
+    Shingles are combined in every batch, so what a group of near copies shares leaves a batch once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in pieces(batch, "text"):
+                h, offsets = shingle_sets(rows.column(1), shingle)
+                values, first, count = np.unique(h, return_index=True, return_counts=True)
+                node = rows.column(0).take(pa.array(np.searchsorted(offsets, first, side="right") - 1))
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.minimum(count, 2)), node], names=["h", "times", "node"])
+
+    once = texts.select("key", "text").mapInArrow(run, "h long, times long, node long").groupBy("h").agg(F.sum("times").alias("times"), F.min("node").alias("node")).filter("times = 1")
+    return once.groupBy("node").agg(F.count("*").alias("unshared"))
+
+
+def _bitmaps(texts: DataFrame, shingle: int) -> DataFrame:
+    """``node, bits``: a bit for every hashed place of 2,048 that a shingle of the text falls on, as 32 longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in pieces(batch, "text"):
+                h, offsets = shingle_sets(rows.column(1), shingle)
+                owner = np.repeat(np.arange(rows.num_rows), np.diff(offsets))
+                place = (h >> np.uint64(53)).astype(np.int64)
+                maps = np.zeros((rows.num_rows, 32), np.uint64)
+                np.bitwise_or.at(maps, (owner, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+                flat = pa.array(maps.reshape(-1).view(np.int64))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(np.arange(rows.num_rows + 1, dtype=np.int32) * 32), flat)], names=["node", "bits"])
+
+    # rows that share an id: the union of their places keeps the bound true
+    merged = [F.bit_or(F.col("bits")[i]) for i in range(32)]
+    return texts.select("key", "text").mapInArrow(run, "node long, bits array<long>").groupBy("node").agg(F.array(*merged).alias("bits"))
+
+
+def _outside(x: str, y: str) -> Column:
+    """At least so many elements of x are not in y: places that only x has."""
+    out = F.lit(0)
+    for i in range(32):
+        out = out + F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i])))
+    return out
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets whose members are in different components."""
+    open_ = rows.groupBy("table_key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("table_key")
+    return rows.join(open_, "table_key")
+
+
+def _placed(rows: DataFrame, links: DataFrame) -> DataFrame:
+    components = connected_components(links)
+    return _open(rows.drop("component").join(components, "node", "left").withColumn("component", F.coalesce("component", "node")))
+
+
+def _settled(members: DataFrame, texts: DataFrame, groups: DataFrame, collections: int, shingle: int, similar: int) -> DataFrame:
     """Links (a, b) that connect all that the buckets' true links connect."""
     close = F.col("both") * 100 >= F.col("either") * similar
-    first = members.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    measured = written(verified(first, texts, shingle), "first-links")
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    # two sets of n and m elements, of which at most r each are shared with any other one
+    possible = lambda r, n, m: (100 + similar) * r >= similar * (n + m)
+    measured = written(verified(members.filter("node <> lead").select(*pair("lead", "node")).distinct(), texts, shingle), "first-links")
     links = measured.filter(close).select("a", "b")
-    components = connected_components(links)
-    # the same in every bucket: distance to the lead, in bands a little wider than the allowed distance
-    width = (100 - similar) / 100 + 1e-6
-    far = measured.select(F.col("a").alias("lead"), F.col("b").alias("node"), (1 - F.col("both") / F.col("either")).alias("far"))
-    placed = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = placed.groupBy("table_key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("table_key")
-    placed = placed.join(open_, "table_key").join(far, ["lead", "node"], "left").withColumn("band", F.floor(F.coalesce("far", F.lit(0.0)) / width))
-    placed = written(placed.select("table_key", "node", "n", "component", "band"), "open-buckets")
-    if placed.isEmpty():
+    rows = written(_placed(members.select("table_key", "i", "j", "node", "n"), links), "open-buckets")
+    if rows.isEmpty():
         return links
-    major = placed.groupBy("table_key", "component").count().groupBy("table_key").agg(F.max_by("component", F.struct("count", "component")).alias("major"))
-    minor = placed.join(major, "table_key").filter("component <> major").drop("major")
-    minor = minor.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).select("table_key", "band", F.col("node").alias("p"), F.col("n").alias("np"), F.col("component").alias("cp"))
-    met = placed.join(minor, ["table_key", "band"]).filter((F.col("component") != F.col("cp")) & (100 * F.least("n", "np") >= similar * F.greatest("n", "np")))
-    rest = met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-    more = written(verified(rest, texts, shingle), "rest-links")
-    return links.unionByName(more.filter(close).select("a", "b"))
+    nodes = rows.select(F.col("node").alias("key")).distinct()
+    own_texts = written(texts.join(nodes, "key", "left_semi"), "open-texts")
+    unshared = _unshared(own_texts, shingle)
+    rows = rows.join(unshared, "node", "left").withColumn("r", F.col("n") - F.coalesce("unshared", F.lit(0))).drop("unshared")
+    smallest = rows.groupBy("table_key").agg(F.min("n").alias("least"))
+    # the best partner in a bucket is no smaller than its smallest set, and no better than one of r elements
+    can = possible(F.col("r"), F.col("n"), F.greatest("least", "r"))
+    rows = written(_open(rows.join(smallest, "table_key").filter(can).drop("least")), "open-rows")
+    own = 1 - F.col("r") / F.col("n")
+    known = measured.select("a", "b")
+    for central in (F.struct(own, "node"), F.struct(F.floor(40 * own), F.xxhash64("table_key", "node"))):
+        lead = rows.groupBy("table_key").agg(F.min_by(F.struct("node", "n", "r", "component"), central).alias("p"))
+        met = rows.join(lead, "table_key").filter((F.col("p.component") != F.col("component")) & possible(F.least("r", "p.r"), F.col("n"), F.col("p.n")))
+        more = written(verified(met.select(*pair("p.node", "node")).distinct().join(known, ["a", "b"], "left_anti"), texts, shingle), "central-links")
+        known = known.unionByName(more.select("a", "b"))
+        links = links.unionByName(more.filter(close).select("a", "b"))
+        rows = written(_placed(rows, links), "rest-rows")
+        if rows.isEmpty():
+            return links
+    major = rows.groupBy("table_key", "component").count().groupBy("table_key").agg(F.max_by("component", F.struct("count", "component")).alias("major"))
+    rows = rows.join(_bitmaps(own_texts, shingle), "node").join(groups.groupBy("node").agg(F.first("groups").alias("groups")), "node")
+    minor = rows.join(major, "table_key").filter("component <> major").select("table_key", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "r", "component", "bits", "groups")])
+    # a pair shares many keys; the first two groups it has in common are the key at which it is looked at
+    before = F.lit(0)
+    for c in range(collections):
+        before = before + ((F.col("groups")[c] == F.col("p_groups")[c]) & (F.lit(c) < F.col("j")) & (F.lit(c) != F.col("i"))).cast("int")
+    n, m = F.col("n"), F.col("p_n")
+    rest = rows.join(minor, "table_key").filter((F.col("component") != F.col("p_component")) & possible(F.least("r", "p_r"), n, m) & (before == 0) & possible(n - _outside("bits", "p_bits"), n, m) & possible(m - _outside("p_bits", "bits"), n, m))
+    third = written(verified(rest.select(*pair("node", "p_node")).distinct().join(known, ["a", "b"], "left_anti"), texts, shingle), "rest-links")
+    return links.unionByName(third.filter(close).select("a", "b"))
