@@ -92,8 +92,8 @@ def pass_over_pairs(q: DataFrame, g: DataFrame, extra: list[str], kernel: Kernel
     nq, ng = max(1, -(-n // blocks.queries)), max(1, -(-m // blocks.gallery))
     block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = q.select("qid", "v", block("qid", nq).alias("qb")).withColumn("gb", every(ng))
-    right = g.select("cid", "v", *extra, block("cid", ng).alias("gb")).withColumn("qb", every(nq))
+    left = q.select("qid", "v", block("qid", nq).alias("__qb")).withColumn("__gb", every(ng))
+    right = g.select("cid", "v", *extra, block("cid", ng).alias("__gb")).withColumn("__qb", every(nq))
 
     def meet(key: tuple, a: pa.Table, b: pa.Table) -> Iterator[pa.RecordBatch]:
         if a.num_rows and b.num_rows:
@@ -110,7 +110,7 @@ def pass_over_pairs(q: DataFrame, g: DataFrame, extra: list[str], kernel: Kernel
         t = meet_table(key, a, b)
         return t if t.num_columns else _empty(schema, names)
 
-    return left.groupBy("qb", "gb").cogroup(right.groupBy("qb", "gb")).applyInArrow(whole, schema)
+    return left.groupBy("__qb", "__gb").cogroup(right.groupBy("__qb", "__gb")).applyInArrow(whole, schema)
 
 
 def _empty(schema: str, names: list[str]) -> pa.Table:

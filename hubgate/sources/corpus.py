@@ -107,6 +107,8 @@ def tar_pairs(spark: SparkSession, paths: str) -> DataFrame:
 def decodable(df: DataFrame, column: str = "image") -> DataFrame:
     """Rows whose image can be decoded; without an image library, rows whose bytes begin like JPEG, PNG or WebP."""
 
+    at = df.columns.index(column)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import io
 
@@ -127,7 +129,7 @@ def decodable(df: DataFrame, column: str = "image") -> DataFrame:
             return True
 
         for batch in batches:
-            yield batch.filter(pa.array([good(x) for x in batch.column(df.columns.index(column)).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([good(x) for x in batch.column(at).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
