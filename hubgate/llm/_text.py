@@ -18,7 +18,7 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F | 5))
 _SEED = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -126,7 +126,7 @@ def window_hashes(words: np.ndarray, n: int, lane: int = 0) -> np.ndarray:
     return out
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text each; a longer text comes alone and whole."""
     i = batch.schema.get_field_index(column)
     _, offsets = text_buffer(batch.column(i))

@@ -170,7 +170,7 @@ def chunk_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.concatenate([starts[1:], [len(data)]])[: len(starts)], np.searchsorted(starts, offsets)
 
 
-CACHED_CHUNKS = 250_000
+CACHED_CHUNKS = 200_000
 
 
 def cached(chunks: list[bytes], encode, cache: dict[bytes, object]) -> list:
@@ -220,7 +220,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, *, text_col: str = "text
         single_threaded()
         tokenizer, cache = _tokenizer(shared.value), {}
         for batch in batches:
-            for rows in pieces(batch, "__text", 1 << 23):
+            for rows in pieces(batch, "__text", 1 << 21):
                 if offsets_col:
                     ids, spans = encode_texts(tokenizer, rows.column(i).to_pylist(), True)
                     packed = pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
@@ -255,7 +255,7 @@ def decode(docs: DataFrame, ranks: bytes, *, ids_col: str = "ids", bytes_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ByteTable(read_ranks(shared.value))
         for batch in batches:
-            for rows in pieces(batch, ids_col, 1 << 23):
+            for rows in pieces(batch, ids_col, 1 << 21):
                 data, offsets = text_buffer(rows.column(i))
                 yield pa.RecordBatch.from_arrays([*rows.columns, binary_column(*table.decode_runs(np.frombuffer(data.tobytes(), "<u4"), offsets // 4))], names=schema.names)
 

@@ -70,7 +70,7 @@ def count_tokens(docs: DataFrame, vocabulary: bytes, kind: str, *, text_col: str
         single_threaded()
         count, cache = _counter(kind, shared.value), {}
         for batch in batches:
-            for rows in pieces(batch, "__text", 1 << 23):
+            for rows in pieces(batch, "__text", 1 << 21):
                 _, offsets = text_buffer(rows.column(i))
                 out = [pa.array(np.diff(offsets)), pa.array(count_column(count, rows.column(i), kind == "json", cache))]
                 yield pa.RecordBatch.from_arrays([*rows.columns[:i], *out], names=schema.names)
