@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,6 +79,25 @@ def repeated_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).count().filter("count > 1")
 
 
+def hamming_pairs(df: DataFrame, key: str, hash_col: str, radius: int, bits: int = 64, blocks: int = 4) -> DataFrame:
+    """``a, b, d``: pairs of rows (a < b) whose hashes differ in at most ``radius`` bits.
+
+    Two such hashes have a block that differs in at most radius // blocks bits. Each row asks for all values within
+    that of each of its blocks, so pairs meet by equi-join and none is missed.
+    """
+    width = bits // blocks
+    near = [0]
+    for r in range(1, radius // blocks + 1):
+        near += [sum(1 << b for b in c) for c in combinations(range(width), r)]
+    h = F.col(hash_col).cast("long")
+    value = lambda b: F.shiftrightunsigned(h, b * width).bitwiseAND(F.lit((1 << width) - 1))
+    parts = df.select(F.col(key).alias("k"), h.alias("h"), F.posexplode(F.array(*map(value, range(blocks)))).alias("block", "value"))
+    masks = df.sparkSession.createDataFrame([(m,) for m in near], "mask long")
+    asked = parts.crossJoin(F.broadcast(masks)).select(F.col("k").alias("a"), F.col("h").alias("ha"), "block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    d = F.bit_count(F.col("ha").bitwiseXOR(F.col("h")))
+    return asked.join(parts.withColumnRenamed("k", "b"), ["block", "value"]).filter((F.col("a") < F.col("b")) & (d <= radius)).select("a", "b", d.cast("int").alias("d")).distinct()
+
+
 def top_values(df: DataFrame, value, k: int) -> DataFrame:
     """The k most common non-empty values with their counts; ties by value. A report of fixed size."""
     return df.select(value.alias("value")).filter("value <> ''").groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(k)

@@ -137,13 +137,10 @@ def fn15_id_pattern(spark, sf_dir):
     return _documents(spark, sf_dir).agg(F.count_if(~F.col("source").rlike("^src[0-9]+$")).alias("bad"))
 
 
-@register("fn21_jn12_hamming_pairs", "WITH h AS (SELECT doc_id, (doc_id * 2654435761) % 4294967296 AS h FROM documents WHERE doc_id < 300) SELECT a.doc_id AS a, b.doc_id AS b, bit_count(xor(a.h, b.h))::INT AS d FROM h a JOIN h b ON a.doc_id < b.doc_id AND bit_count(xor(a.h, b.h)) <= 6")
+@register("fn21_jn12_hamming_pairs", "WITH h AS (SELECT doc_id, (doc_id * 2654435761) % 4294967296 AS h FROM documents) SELECT a.doc_id AS a, b.doc_id AS b, bit_count(xor(a.h, b.h))::INT AS d FROM h a JOIN h b ON a.doc_id < b.doc_id AND bit_count(xor(a.h, b.h)) <= 5")
 def fn21_jn12_hamming_pairs(spark, sf_dir):
-    """Pairs within six bits of a sample of 300; the reference quantity is a report over a sample."""
-    h = _documents(spark, sf_dir).filter("doc_id < 300").select("doc_id", ((F.col("doc_id") * 2654435761) % 4294967296).alias("h"))
-    a, b = h.toDF("a", "ha"), h.toDF("b", "hb")
-    d = vectors.hamming(F.col("ha"), F.col("hb"))
-    return a.join(b, (F.col("a") < F.col("b")) & (d <= 6)).select("a", "b", d.cast("int").alias("d"))
+    h = _documents(spark, sf_dir).select("doc_id", ((F.col("doc_id") * 2654435761) % 4294967296).alias("h"))
+    return corpus.hamming_pairs(h, "doc_id", "h", 5, bits=32, blocks=2)
 
 
 @register("jn10_manifest_metadata", f"WITH {_SPLIT_DOCS}, {_STEMS} SELECT split, stem, coalesce(CASE WHEN doc_id % 2 = 0 THEN '' || doc_id END, '') AS laion_meta, strlen(text) AS caption_bytes, sha256(text) AS caption_sha256 FROM st")
@@ -182,12 +179,13 @@ def set5_duplicate_groups(spark, sf_dir):
     return corpus.duplicate_groups(_split_documents(spark, sf_dir), "text", "doc_id")
 
 
-_TWO_DOMAINS = f"va AS (SELECT {_DOMAIN} AS value FROM pages), vb AS (SELECT {_DOMAIN} AS value FROM pages WHERE page_id % 3 = 0), ca AS (SELECT value, count(*) AS na FROM va WHERE value <> '' GROUP BY value), cb AS (SELECT value, count(*) AS nb FROM vb WHERE value <> '' GROUP BY value)"
+_TWO_DOMAINS = f"va AS (SELECT {_DOMAIN} AS value FROM pages), vb AS (SELECT {_DOMAIN} AS value FROM pages WHERE {_U.format(key='page_id', seed=42)} < 0.6), ca AS (SELECT value, count(*) AS na FROM va WHERE value <> '' GROUP BY value), cb AS (SELECT value, count(*) AS nb FROM vb WHERE value <> '' GROUP BY value)"
 
 
 def _domains(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """All pages, and those a download would have retained: a hash sample of six tenths."""
     p = table(spark, sf_dir, "pages").withColumn("value", text.url_domain(F.col("url")))
-    return p.select("value"), p.filter("page_id % 3 = 0").select("value")
+    return p.select("value"), p.filter(text.hash_uniform(F.col("page_id"), 42) < 0.6).select("value")
 
 
 @register("set6_domain_union", f"WITH {_TWO_DOMAINS} SELECT coalesce(ca.value, cb.value) AS value, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb FROM ca FULL JOIN cb ON ca.value = cb.value")
@@ -296,9 +294,9 @@ def snk8_sampled_rows(spark, sf_dir):
     return corpus.sample_exactly(m, "doc_id", 100).select(F.col("URL").alias("url"), F.length("TEXT").alias("caption_len"), text.pack_json(["lang", "n_chars"]).alias("laion_meta"))
 
 
-@register("snk9_manifest_checksum", f"""WITH {_SPLIT_DOCS}, {_STEMS}, l AS (SELECT {_PRIORITY} AS o, stem, '"' || split || '","' || stem || '","' || sha256(text) || '"' AS line FROM st WHERE doc_id < 200) SELECT sha256('split,stem,caption_sha256' || chr(10) || string_agg(line, chr(10) ORDER BY o, stem) || chr(10)) AS sha256 FROM l""")
+@register("snk9_manifest_checksum", f"""WITH {_SPLIT_DOCS}, {_STEMS}, l AS (SELECT {_PRIORITY} AS o, stem, '"' || split || '","' || stem || '","' || sha256(text) || '"' AS line FROM st) SELECT sha256('split,stem,caption_sha256' || chr(10) || string_agg(line, chr(10) ORDER BY o, stem) || chr(10)) AS sha256 FROM l""")
 def snk9_manifest_checksum(spark, sf_dir):
-    d = corpus.number_stems(_split_documents(spark, sf_dir), "doc_id").filter("doc_id < 200")
+    d = corpus.number_stems(_split_documents(spark, sf_dir), "doc_id")
     m = corpus.manifest(d.select("split", "stem", F.encode("text", "utf-8").alias("image"), F.col("text").alias("caption")))
     return sinks.csv_text(m.select("split", "stem", "caption_sha256")).select("sha256")
 

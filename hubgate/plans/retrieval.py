@@ -148,11 +148,11 @@ class Retrieval:
         plain = F.col("s") - F.col("psi")
         return F.when(F.col("method") == "DB-Norm", F.ln(F.greatest("s", F.lit(1e-12))) + self.params.db_tau * plain).otherwise(plain)
 
-    def gated(self, kind: str) -> DataFrame:
+    def gated(self, kind: str, methods: tuple[str, ...] = METHODS) -> DataFrame:
         """``method, qid, top1, skipped`` where the second pass runs only over queries that are not certified."""
-        flagged = self.certificates.select("method", "qid", "c1", self.certified(kind).alias("skipped")).persist()
+        flagged = self.certificates.filter(F.col("method").isin(*methods)).select("method", "qid", "c1", self.certified(kind).alias("skipped")).persist()
         out = flagged.filter("skipped").select("method", "qid", F.col("c1").alias("top1"), "skipped")
-        for m in self._method_list():
+        for m in (x for x in self._method_list() if x[0] in methods):
             rest = flagged.filter(~F.col("skipped") & (F.col("method") == m[0])).select("qid")
             found = self.best(self.q.join(rest, "qid", "left_semi"), [m], 1)
             out = out.unionByName(found.select("method", "qid", F.col("cid").alias("top1"), F.lit(False).alias("skipped")))

@@ -82,6 +82,13 @@ def test_domain_distance(spark):
     assert sorted(map(tuple, corpus.joined_counts(a, b).collect())) == [("x", 2, 1), ("y", 1, 0), ("z", 0, 1)]
 
 
+def test_hamming_pairs_miss_none(spark):
+    hashes = np.random.default_rng(4).integers(0, 1 << 16, 300).tolist() + [7, 7, 6]
+    df = spark.createDataFrame(list(enumerate(hashes)), "k long, h long")
+    want = sorted((i, j, (a ^ b).bit_count()) for j, b in enumerate(hashes) for i, a in enumerate(hashes[:j]) if (a ^ b).bit_count() <= 3)
+    assert sorted(map(tuple, corpus.hamming_pairs(df, "k", "h", 3, bits=16, blocks=2).collect())) == want
+
+
 def test_matches_by_id(spark):
     q = spark.createDataFrame([("a", 0), ("b", 1), ("a", 2)], "qid string, qidx long")
     g = spark.createDataFrame([("a_cap0", 0), ("a_cap1", 1), ("c_cap0", 2), ("a", 3)], "cid string, cidx long")
