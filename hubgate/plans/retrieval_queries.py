@@ -673,13 +673,43 @@ def set2_first_of_query(spark, sf_dir):
     return pairs.first_of_each(e, "qid", "idx")
 
 
-@register("met25_26_bank_verification", f"WITH {_BANK} SELECT * FROM (VALUES ('dimension', 0), ('id_format', 0), ('repeated_ids', 0), ('unit_norm', 0)) t(rule, broken)")
+@register(
+    "met25_26_bank_verification",
+    f"""WITH {_BANK} SELECT 'dimension' AS rule, count(*) FILTER (WHERE len(v) <> 64) AS broken FROM b UNION ALL SELECT 'id_format', count(*) FILTER (WHERE NOT regexp_matches(id, '^emb_[0-9]+(_cap[0-9]+)?$')) FROM b
+ UNION ALL SELECT 'repeated_ids', count(*) - count(DISTINCT id) FROM b UNION ALL SELECT 'unit_norm', count(*) FILTER (WHERE idx < 1000 AND abs(sqrt(list_dot_product(v, v)) - 1) > 0.02) FROM b""",
+)
 def met25_26_bank_verification(spark, sf_dir):
     from ..operators.corpus import verify_bank
 
     return verify_bank(_demo_bank(spark, sf_dir), 64, r"^emb_[0-9]+(_cap[0-9]+)?$", first_rows=1000)
 
 
+@register("met29_gated_against_full")
+def met29_gated_against_full(spark, sf_dir):
+    """Seconds of the second pass over all queries and over those that are not certified (penalties are there)."""
+    from ..operators.timing import mean_seconds
+
+    r = demo(spark, sf_dir)
+    csls = [("CSLS", "csls", None)]
+    rest = r.q.join(r.certificates.filter((F.col("method") == "CSLS") & ~r.certified("global")).select("qid"), "qid", "left_semi").persist()
+    full, gated = (mean_seconds(lambda q=q: r.best(q, csls, 1)) for q in (r.q, rest))
+    return spark.createDataFrame([("CSLS", full, gated, full / gated)], "method string, full_seconds double, gated_seconds double, speedup double")
+
+
+@register("ext_stream_scoring", sql("SELECT qid, CASE WHEN cert_global THEN c1 ELSE \"full\" END AS top1, cert_global AS certified FROM d WHERE method = 'CSLS'"))
+def ext_stream_scoring(spark, sf_dir):
+    """Queries arrive as a file stream; gallery and penalties are frozen."""
+    from ..sinks import scratch_path
+    from ..streaming import score_stream
+
+    r = demo(spark, sf_dir)
+    top = scratch_path(spark, "stream")
+    r.q.write.parquet(f"{top}/in")
+    stream = spark.readStream.schema(r.q.schema).parquet(f"{top}/in")
+    score_stream(stream, r.g.join(r.psi_wide, "cid"), f"{top}/out", f"{top}/state").awaitTermination()
+    return spark.read.parquet(f"{top}/out").select("qid", "top1", "certified")
+
+
 @register("flagship_certified_rerank", sql(_GATED.format("global") + " WHERE method = 'CSLS'"))
 def flagship_certified_rerank(spark, sf_dir):
     """CSLS with the global certificate: certified queries keep their cosine top-1, the others are reranked."""

@@ -3,12 +3,25 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder of ``spark.checkpoint.dir``; in a temporary one only on a local master that
+    sets none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="scratch-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_dump(df: DataFrame, path: str, partition_by: Sequence[str] = ("method",)) -> None:
     """Per-query rows as Parquet, a folder per partition value."""
     df.write.mode("overwrite").partitionBy(*partition_by).option("compression", "zstd").parquet(path)
