@@ -203,33 +203,42 @@ def encode_column(tokenizer, column: pa.Array, cache: dict[bytes, object]) -> tu
     return flat[at], np.concatenate([[0], stops])[of_text]
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, *, text_col: str = "text", ids_col: str = "ids", offsets_col: str | None = None) -> DataFrame:
+def encode(
+    docs: DataFrame, ranks: bytes, pattern: str, *, text_col: str = "text", ids_col: str = "ids", offsets_col: str | None = None, decoded_col: str | None = None
+) -> DataFrame:
     """``docs`` with the token ids of ``text_col`` in ``ids_col``, packed as little-endian unsigned 32-bit integers
     (``unpack`` makes them an array), and, if ``offsets_col`` is named, an array of (start, end) characters per
-    token. Columns of these names are replaced."""
+    token. ``decoded_col`` adds what the ids decode to in the same pass (``decode`` does it later). Columns of these
+    names are replaced."""
     spark = docs.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(tokenizer_json(ranks, pattern))
-    keep = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (ids_col, offsets_col)], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    shared = spark.sparkContext.broadcast((tokenizer_json(ranks, pattern), ranks if decoded_col else b""))
+    keep = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (ids_col, offsets_col, decoded_col)], F.col(f"`{text_col}`").cast("string").alias("__text"))
     i = len(keep.columns) - 1
     schema = T.StructType([*keep.schema.fields[:i], T.StructField(ids_col, T.BinaryType())])
     if offsets_col:
         schema = schema.add(offsets_col, T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
 
+    if decoded_col:
+        schema = T.StructType([*schema.fields, T.StructField(decoded_col, T.BinaryType())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single_threaded()
-        tokenizer, cache = _tokenizer(shared.value), {}
+        tokenizer, table, cache = _tokenizer(shared.value[0]), ByteTable(read_ranks(shared.value[1])), {}
         for batch in batches:
             for rows in pieces(batch, "__text", 1 << 21):
                 if offsets_col:
-                    ids, spans = encode_texts(tokenizer, rows.column(i).to_pylist(), True)
-                    packed = pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
+                    each, spans = encode_texts(tokenizer, rows.column(i).to_pylist(), True)
+                    ids, stops = np.concatenate([np.zeros(0, np.uint32), *each]), np.cumsum([0, *map(len, each)])
                     both = np.concatenate([np.zeros((0, 2), np.int64), *spans]).astype(np.int32)
                     pairs = pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["start", "end"])
                     more = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, spans)], dtype=np.int32)), pairs)]
                 else:
                     ids, stops = encode_column(tokenizer, rows.column(i), cache)
-                    packed, more = binary_column(ids.astype("<u4").view(np.uint8), stops * 4), []
+                    more = []
+                packed = binary_column(ids.astype("<u4").view(np.uint8), stops * 4)
+                if decoded_col:
+                    more.append(binary_column(*table.decode_runs(ids, stops)))
                 yield pa.RecordBatch.from_arrays([*rows.columns[:i], packed, *more], names=schema.names)
 
     return keep.mapInArrow(run, schema)

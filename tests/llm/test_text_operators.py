@@ -332,6 +332,8 @@ def test_byte_bpe_equals_the_rank_encoder_and_decodes(spark, ranks):
     for r in coded.withColumn("list", byte_bpe.unpack(F.col("packed"))).collect():
         t = texts[r.doc_id] or ""
         assert r.list == plain.encode_ordinary(t) and bytes(r.decoded) == t.encode()
+    once = byte_bpe.encode(df, ranks, public_tokenizers.PATTERN, ids_col="packed", decoded_col="decoded")
+    assert sorted(tuple(r) for r in once.select("doc_id", "packed", "decoded").collect()) == sorted(tuple(r) for r in coded.select("doc_id", "packed", "decoded").collect())
     spans = byte_bpe.encode(df, ranks, public_tokenizers.PATTERN, ids_col="packed", offsets_col="spans")
     for r in spans.withColumn("list", byte_bpe.unpack(F.col("packed"))).collect():
         t = texts[r.doc_id] or ""
