@@ -35,13 +35,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder once and return the table that was written.
 
     Later steps read files that survive lost executors instead of recomputing; the schema is kept, so the
-    reread needs no inference and an empty table stays readable.
+    reread needs no inference and an empty table stays readable. ``narrow`` is for tables of ids and numbers:
+    eight partitions of a shuffle are written as one file.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if narrow:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -32,7 +32,7 @@ def connected_components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     now = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     state = None
     for _ in range(most_rounds):
-        now = written(_small_star(_star(now)), "links")
+        now = written(_small_star(_star(now)), "links", narrow=True)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seen == state:
             break

@@ -162,7 +162,7 @@ def _labelled(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, simi
     # different sets of fewer elements cannot be similar enough: of sizes a <= b they share at most a of b, a < b
     least = -(-similar // (100 - similar)) if similar < 100 else 1 << 62
     classes = rows.filter(F.col("n") > 0).groupBy("d1", "d2", "n").agg(F.min("key").alias("node"), F.first("groups").alias("groups"))
-    classes = written(classes, "classes")
+    classes = written(classes, "classes", narrow=True)
     groups = classes.filter(F.col("n") >= least).select("node", "n", F.posexplode("groups").alias("i", "g"))
     common = groups.groupBy("i", "g").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("i", "g")
     held = groups.join(common, ["i", "g"]).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("i", "g"))).alias("held")).filter(F.size("held") > 1)
@@ -170,7 +170,7 @@ def _labelled(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, simi
     pair = F.explode(F.flatten(F.transform("held", lambda x, i: F.transform(F.slice("held", i + 2, F.size("held")), lambda y: key(x, y)))))
     keyed = held.select("node", "n", pair.alias("k")).select("node", "n", "k.*")
     leads = keyed.groupBy("table_key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").select("table_key", "lead")
-    members = written(keyed.join(leads, "table_key"), "buckets")
+    members = written(keyed.join(leads, "table_key"), "buckets", narrow=True)
     if members.isEmpty():
         links = None
     else:
@@ -250,9 +250,9 @@ def _settled(members: DataFrame, texts: DataFrame, groups: DataFrame, collection
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     # two sets of n and m elements, of which at most r each are shared with any other one
     possible = lambda r, n, m: (100 + similar) * r >= similar * (n + m)
-    measured = written(verified(members.filter("node <> lead").select(*pair("lead", "node")).distinct(), texts, shingle), "first-links")
+    measured = written(verified(members.filter("node <> lead").select(*pair("lead", "node")).distinct(), texts, shingle), "first-links", narrow=True)
     links = measured.filter(close).select("a", "b")
-    rows = written(_placed(members.select("table_key", "i", "j", "node", "n"), links), "open-buckets")
+    rows = written(_placed(members.select("table_key", "i", "j", "node", "n"), links), "open-buckets", narrow=True)
     if rows.isEmpty():
         return links
     nodes = rows.select(F.col("node").alias("key")).distinct()
@@ -262,16 +262,16 @@ def _settled(members: DataFrame, texts: DataFrame, groups: DataFrame, collection
     smallest = rows.groupBy("table_key").agg(F.min("n").alias("least"))
     # the best partner in a bucket is no smaller than its smallest set, and no better than one of r elements
     can = possible(F.col("r"), F.col("n"), F.greatest("least", "r"))
-    rows = written(_open(rows.join(smallest, "table_key").filter(can).drop("least")), "open-rows")
+    rows = written(_open(rows.join(smallest, "table_key").filter(can).drop("least")), "open-rows", narrow=True)
     own = 1 - F.col("r") / F.col("n")
     known = measured.select("a", "b")
     for central in (F.struct(own, "node"), F.struct(F.floor(40 * own), F.xxhash64("table_key", "node"))):
         lead = rows.groupBy("table_key").agg(F.min_by(F.struct("node", "n", "r", "component"), central).alias("p"))
         met = rows.join(lead, "table_key").filter((F.col("p.component") != F.col("component")) & possible(F.least("r", "p.r"), F.col("n"), F.col("p.n")))
-        more = written(verified(met.select(*pair("p.node", "node")).distinct().join(known, ["a", "b"], "left_anti"), texts, shingle), "central-links")
+        more = written(verified(met.select(*pair("p.node", "node")).distinct().join(known, ["a", "b"], "left_anti"), texts, shingle), "central-links", narrow=True)
         known = known.unionByName(more.select("a", "b"))
         links = links.unionByName(more.filter(close).select("a", "b"))
-        rows = written(_placed(rows, links), "rest-rows")
+        rows = written(_placed(rows, links), "rest-rows", narrow=True)
         if rows.isEmpty():
             return links
     major = rows.groupBy("table_key", "component").count().groupBy("table_key").agg(F.max_by("component", F.struct("count", "component")).alias("major"))
@@ -283,5 +283,5 @@ def _settled(members: DataFrame, texts: DataFrame, groups: DataFrame, collection
         before = before + ((F.col("groups")[c] == F.col("p_groups")[c]) & (F.lit(c) < F.col("j")) & (F.lit(c) != F.col("i"))).cast("int")
     n, m = F.col("n"), F.col("p_n")
     rest = rows.join(minor, "table_key").filter((F.col("component") != F.col("p_component")) & possible(F.least("r", "p_r"), n, m) & (before == 0) & possible(n - _outside("bits", "p_bits"), n, m) & possible(m - _outside("p_bits", "bits"), n, m))
-    third = written(verified(rest.select(*pair("node", "p_node")).distinct().join(known, ["a", "b"], "left_anti"), texts, shingle), "rest-links")
+    third = written(verified(rest.select(*pair("node", "p_node")).distinct().join(known, ["a", "b"], "left_anti"), texts, shingle), "rest-links", narrow=True)
     return links.unionByName(third.filter(close).select("a", "b"))
