@@ -710,6 +710,27 @@ def ext_stream_scoring(spark, sf_dir):
     return spark.read.parquet(f"{top}/out").select("qid", "top1", "certified")
 
 
+@register("src15_report_scan", sql("SELECT 'demo|i2t' AS cell, method, count(*) FILTER (WHERE cert_global) AS n_certified, count(*) AS n_queries FROM d GROUP BY method"))
+def src15_report_scan(spark, sf_dir):
+    """A report is written and read back."""
+    from ..sinks import nested_report, scratch_path
+    from ..sources.corpus import report_cells
+
+    path = scratch_path(spark, "report")
+    nested_report(metrics.certificate_report(demo(spark, sf_dir).decisions, "cert_global"), {"dataset": "embeddings"}, "demo|i2t").write.text(path)
+    return report_cells(spark, path).select("cell", "method", "n_certified", "n_queries")
+
+
+@register("snk1_bank_round_trip", f"WITH {_BANK} SELECT split, modality, count(*) AS n, round(sum(v[1]), 4) AS v1 FROM b GROUP BY split, modality")
+def snk1_bank_round_trip(spark, sf_dir):
+    """The bank is written by split and modality and scanned again."""
+    from ..sinks import scratch_path, write_bank
+
+    path = scratch_path(spark, "bank")
+    write_bank(_demo_bank(spark, sf_dir).drop("label"), path)
+    return rounded(bank.scan(spark, path).groupBy("split", "modality").agg(F.count("*").alias("n"), F.sum(F.col("v")[0]).alias("v1")), 4)
+
+
 @register("flagship_certified_rerank", sql(_GATED.format("global") + " WHERE method = 'CSLS'"))
 def flagship_certified_rerank(spark, sf_dir):
     """CSLS with the global certificate: certified queries keep their cosine top-1, the others are reranked."""
