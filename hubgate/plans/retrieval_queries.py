@@ -630,7 +630,7 @@ def lrn7_gate_evaluation(spark, sf_dir):
     d = f.join(own.filter("method = 'CSLS'").select("qid", "fold", "slice", "c1", "full", "hit_cos", "hit_full", "has_gt", "slack_local", "p1"), "qid").persist()
     d = learned.tree_gate(d.filter("slice = 'fit'"), d.filter("fold = 'test'")).persist()
     rows = None
-    for name, score in (("psi_slack_local", "slack_local"), ("trees", "p"), ("softmax_pc1", "p1")):
+    for name, score in (("slack_local", "slack_local"), ("trees", "p"), ("softmax_pc1", "p1")):
         one = matched_skip.gate_report(matched_skip.skip_exactly(d, score, "qid", matched_skip.LEARNED_RATES, ["method"]), ["method", "rate"]).withColumn("gate", F.lit(name))
         rows = one if rows is None else rows.unionByName(one)
     return rounded(rows)
