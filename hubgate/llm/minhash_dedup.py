@@ -14,8 +14,8 @@ of 264. A pair is missed only if at most one group agrees: 7 in a million at a s
    member (the smallest id), and components are formed.
 3. Buckets whose members are still in different components are settled exactly. Shingles that no other of these
    documents has bound every intersection from above: members, and later pairs, whose bound is too low go, which
-   clears groups of copies with edits of their own. The rest is verified against two central members per table key
-   (that with the fewest shingles of its own, then a random one of those with few), and what is still
+   clears groups of copies with edits of their own. The rest is verified against one central member per table key
+   (that with the smallest share of shingles of its own, a random one of equals), and what is still
    apart is verified pair by pair, where bitmaps of both sets leave it possible: members outside the bucket's largest component against all of other components.
    No bucket is capped, no pair is measured twice and none within a component.
 
@@ -265,15 +265,14 @@ def _settled(members: DataFrame, texts: DataFrame, groups: DataFrame, collection
     rows = written(_open(rows.join(smallest, "table_key").filter(can).drop("least")), "open-rows", narrow=True)
     own = 1 - F.col("r") / F.col("n")
     known = measured.select("a", "b")
-    for central in (F.struct(own, "node"), F.struct(F.floor(40 * own), F.xxhash64("table_key", "node"))):
-        lead = rows.groupBy("table_key").agg(F.min_by(F.struct("node", "n", "r", "component"), central).alias("p"))
-        met = rows.join(lead, "table_key").filter((F.col("p.component") != F.col("component")) & possible(F.least("r", "p.r"), F.col("n"), F.col("p.n")))
-        more = written(verified(met.select(*pair("p.node", "node")).distinct().join(known, ["a", "b"], "left_anti"), texts, shingle), "central-links", narrow=True)
-        known = known.unionByName(more.select("a", "b"))
-        links = links.unionByName(more.filter(close).select("a", "b"))
-        rows = written(_placed(rows, links), "rest-rows", narrow=True)
-        if rows.isEmpty():
-            return links
+    lead = rows.groupBy("table_key").agg(F.min_by(F.struct("node", "n", "r", "component"), F.struct(own, F.xxhash64("table_key", "node"))).alias("p"))
+    met = rows.join(lead, "table_key").filter((F.col("p.component") != F.col("component")) & possible(F.least("r", "p.r"), F.col("n"), F.col("p.n")))
+    more = written(verified(met.select(*pair("p.node", "node")).distinct().join(known, ["a", "b"], "left_anti"), texts, shingle), "central-links", narrow=True)
+    known = known.unionByName(more.select("a", "b"))
+    links = links.unionByName(more.filter(close).select("a", "b"))
+    rows = written(_placed(rows, links), "rest-rows", narrow=True)
+    if rows.isEmpty():
+        return links
     major = rows.groupBy("table_key", "component").count().groupBy("table_key").agg(F.max_by("component", F.struct("count", "component")).alias("major"))
     rows = rows.join(_bitmaps(own_texts, shingle), "node").join(groups.groupBy("node").agg(F.first("groups").alias("groups")), "node")
     minor = rows.join(major, "table_key").filter("component <> major").select("table_key", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "r", "component", "bits", "groups")])
