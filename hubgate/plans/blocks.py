@@ -7,7 +7,8 @@ Two physical plans give the same rows:
 * otherwise both sides are dealt to blocks, every block meets every block of the other side once, and partial
   results are merged by grouped aggregates.
 
-The matrix of all similarities never exists; output is (queries + gallery) x k x blocks at most.
+The matrix of all similarities never exists; output is (queries + gallery) x k x blocks at most, but for ``all_pairs``,
+whose rows are the pairs.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[2])
+#: Pairs in an Arrow batch where all of them are wanted.
+_PAIR_ROWS = 1 << 16
 
 
 def prepare(spark: SparkSession) -> None:
@@ -149,6 +152,21 @@ def shortlist(q: DataFrame, g: DataFrame, k: int, blocks: Blocks | None = None)
     return pass_over_pairs(q, g, [], kernel, "qid long, cid long, s double", blocks or Blocks())
 
 
+def all_pairs(q: DataFrame, g: DataFrame, blocks: Blocks | None = None) -> DataFrame:
+    """``qid, cid, s`` of every pair, for callers that want the pairs themselves: queries x gallery rows.
+
+    Blocks are smaller by default, as all of a block pair's similarities leave the task."""
+
+    def kernel(qids, left, cids, right, extras):
+        s = left @ right.T
+        step = max(1, _PAIR_ROWS // max(1, len(cids)))
+        for at in range(0, len(qids), step):
+            own = qids[at : at + step]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, len(cids))), pa.array(np.tile(cids, len(own))), pa.array(s[at : at + step].reshape(-1))], names=["qid", "cid", "s"])
+
+    return pass_over_pairs(q, g, [], kernel, "qid long, cid long, s double", blocks or Blocks(1024, 1024))
+
+
 def gallery_statistics(q: DataFrame, g: DataFrame, ks: tuple[int, ...], taus: tuple[float, ...], blocks: Blocks | None = None) -> tuple[DataFrame, DataFrame]:
     """Per gallery item: ``cid, k, mean`` over its k most similar queries, and ``cid, tau, lse`` = log sum exp(tau s)."""
     most, taus = max(ks), tuple(sorted(set(taus)))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hubgate.operators import learned, matched_skip, metrics, order, strategies
-from hubgate.plans import blocks
+from hubgate.plans import blocks, retrieval_queries
 from hubgate.plans.retrieval import METHODS, Params, Retrieval
 
 P = Params(csls_k=3, nnn_k=5, local_k=6, pool_k=6, rerank_k=5)
@@ -215,3 +215,28 @@ def test_learned_gates(cell):
 def test_rescaled_slack_skips_groups_without_a_median(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, 4.0), ("b", 0.0, 0.0)], "k string, m double, b double")
     assert sorted(x.rescaled for x in metrics.rescaled_slack(df, "m", "b", ["k"]).collect()) == pytest.approx([0.5 - 2 / 3, 1.5 - 4 / 3])
+
+
+def embeddings_of(path, n, d=6):
+    """A small ``embeddings`` table and the similarities of its queries (rows) and gallery (columns)."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    v = unit(np.random.default_rng(8), n, d).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(n), "label": np.arange(n) % 3, "embedding": list(v)}), path / "embeddings.parquet")
+    q, g = np.arange(0, n, 5), np.array([i for i in range(n) if i % 5])
+    return str(path), q, g, v.astype(float)[q] @ v.astype(float)[g].T
+
+
+def test_all_pairs_by_both_plans(spark, cell):
+    s, _, r = cell
+    for sizes in (None, blocks.Blocks(7, 9, 1 << 20), blocks.Blocks(7, 9, 0)):
+        rows = blocks.all_pairs(r.q, r.g, sizes).collect()
+        assert len(rows) == s.size and {(x.qid, x.cid): x.s for x in rows} == pytest.approx({(i, j): s[i, j] for i in range(23) for j in range(31)})
+
+
+def test_scaled_similarity_has_every_pair(spark, tmp_path):
+    folder, q, g, s = embeddings_of(tmp_path, 60)
+    rows = retrieval_queries.fn3_scaled_similarity(spark, folder).collect()
+    assert len(rows) == s.size
+    assert {(x.qid, x.cid): x.s for x in rows} == pytest.approx({(int(a), int(b)): s[i, j] * 112.5 - 10 for i, a in enumerate(q) for j, b in enumerate(g)}, abs=1e-6)
