@@ -62,7 +62,8 @@ def src5_parquet_listing(spark, sf_dir):
 
 @register("src11_captions_by_image", "SELECT source AS image, count(*) AS n, sha256(string_agg(substr(text, 1, 40), '|' ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
 def src11_captions_by_image(spark, sf_dir):
-    c = _documents(spark, sf_dir).select(F.col("source").alias("image"), F.substring("text", 1, 40).alias("caption"), F.col("doc_id").alias("ordinal"))
+    # whole texts by their hash, which keeps an image's row small
+    c = _documents(spark, sf_dir).select(F.col("source").alias("image"), F.sha2("text", 256).alias("caption"), F.col("doc_id").alias("ordinal"))
     return source.captions_by_image(c).select("image", F.size("captions").cast("long").alias("n"), F.sha2(F.array_join("captions", "|"), 256).alias("digest"))
 
 

@@ -196,3 +196,17 @@ def test_registry_names_agree():
     from hubgate.plans import catalog
 
     assert set(catalog.ORACLES) <= set(catalog.QUERIES) and len(catalog.QUERIES) > 100
+
+
+def test_captions_by_image_digest_whole_texts(spark, tmp_path):
+    import hashlib
+
+    from hubgate.plans import corpus_queries
+
+    head = "x" * 60
+    rows = [("a", 0, head + " one"), ("a", 1, "z"), ("b", 2, head + " two"), ("b", 3, "z"), ("c", 5, "z"), ("c", 4, head + " one")]
+    spark.createDataFrame(rows, "source string, doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.image: (r.n, r.digest) for r in corpus_queries.src11_captions_by_image(spark, str(tmp_path)).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = lambda *texts: (2, sha("|".join(sha(t) for t in texts)))
+    assert got == {"a": want(head + " one", "z"), "b": want(head + " two", "z"), "c": want(head + " one", "z")}
