@@ -1,4 +1,4 @@
-"""Pairing and similarity by joins: for small inputs and for SQL users; the block plans replace it at scale."""
+"""Pairing by joins: ground truth and first matches. Similarities of all pairs are in ``plans.blocks``."""
 
 from __future__ import annotations
 
@@ -6,17 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_caption_suffix
-from ..functions.vectors import dot
-
-#: Pairs beyond which similarities are not materialized.
-MAX_PAIRS = 10_000_000
-
-
-def similarities(q: DataFrame, g: DataFrame, max_pairs: int = MAX_PAIRS) -> DataFrame:
-    """Every pair with its dot product, refused beyond ``max_pairs`` (``plans.blocks`` has no such limit)."""
-    if q.count() * g.count() > max_pairs:
-        raise ValueError("too many pairs to materialize; use the block plans")
-    return q.crossJoin(g.withColumnRenamed("v", "gv")).withColumn("s", dot(F.col("v"), F.col("gv"))).drop("v", "gv")
 
 
 def matches_by_label(q: DataFrame, g: DataFrame) -> DataFrame:

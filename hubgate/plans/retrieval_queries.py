@@ -95,7 +95,7 @@ def fn1_l2_normalize(spark, sf_dir):
 @register("jn1_all_pairs", sql("SELECT qid, cid, round(s, 6) AS s FROM sim"))
 def jn1_all_pairs(spark, sf_dir):
     r = demo(spark, sf_dir)
-    return rounded(pairs.similarities(r.q, r.g).select("qid", "cid", "s"))
+    return rounded(blocks.all_pairs(r.q, r.g))
 
 
 @register("fn3_scaled_similarity", sql("SELECT qid, cid, round(s * 112.5 - 10.0, 6) AS s FROM r WHERE rn <= 5"))
@@ -117,20 +117,20 @@ def fn17_entropy(spark, sf_dir):
 @register("fn18_clamped_log", sql("SELECT qid, cid, round(ln(greatest(s, 1e-12)), 6) AS log_s FROM sim"))
 def fn18_clamped_log(spark, sf_dir):
     r = demo(spark, sf_dir)
-    return rounded(pairs.similarities(r.q, r.g).select("qid", "cid", vectors.clamped_log(F.col("s")).alias("log_s")))
+    return rounded(blocks.all_pairs(r.q, r.g).select("qid", "cid", vectors.clamped_log(F.col("s")).alias("log_s")))
 
 
 @register("fn19_log_sum_exp", sql("SELECT cid, round(ln(sum(exp(20 * s))), 6) AS lse FROM sim GROUP BY cid"))
 def fn19_log_sum_exp(spark, sf_dir):
     r = demo(spark, sf_dir)
-    return rounded(pairs.similarities(r.q, r.g).groupBy("cid").agg(vectors.log_sum_exp(20 * F.col("s")).alias("lse")))
+    return rounded(blocks.gallery_statistics(r.q, r.g, (1,), (20.0,))[1].select("cid", "lse"))
 
 
 # the caps are the feature
 @register("fn20_row_caps", sql("SELECT qid, cid, round(s, 6) AS s FROM sim WHERE qid < 100 AND cid < 100"))
 def fn20_row_caps(spark, sf_dir):
     r = demo(spark, sf_dir)
-    return rounded(pairs.similarities(r.q.filter("qid < 100"), r.g.filter("cid < 100")).select("qid", "cid", "s"))
+    return rounded(blocks.all_pairs(r.q.filter("qid < 100"), r.g.filter("cid < 100")))
 
 
 @register("jn2_blocked_shortlist", sql("SELECT qid, rn::INT AS rank, cid, round(s, 6) AS s FROM r WHERE rn <= 51"))
@@ -639,13 +639,13 @@ def lrn7_gate_evaluation(spark, sf_dir):
 
 @register("lrn8_recompute_difference", sql("SELECT 0::BIGINT AS unmatched, 0.0::DOUBLE AS max_diff_b_local, 0.0::DOUBLE AS max_diff_slack_local"))
 def lrn8_recompute_difference(spark, sf_dir):
-    """Stored certificates against the same computed by the SQL path."""
+    """Stored certificates against the same from a pass of its own, by the plan for two large sides."""
     r = demo(spark, sf_dir)
-    s = pairs.similarities(r.q, r.g)
-    near = s.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "cid"))).filter("rank <= 50").join(r.psi, "cid")
+    again = retrieval.Retrieval(r.q, r.g, r.matches, r.params, blocks.Blocks(broadcast_bytes=0))
+    near = again.shortlist.filter(F.col("rank") <= r.params.local_k).join(again.psi, "cid")
     at = lambda k, c: F.max(F.when(F.col("rank") == k, F.col(c)))
-    again = near.groupBy("method", "qid").agg((at(1, "psi") - F.min("psi")).alias("b_local"), (at(1, "s") - at(2, "s") - at(1, "psi") + F.min("psi")).alias("slack_local"))
-    return rounded(learned.stored_difference(r.certificates, again, ("method", "qid"), ("b_local", "slack_local")))
+    own = near.groupBy("method", "qid").agg((at(1, "psi") - F.min("psi")).alias("b_local"), (at(1, "s") - at(2, "s") - at(1, "psi") + F.min("psi")).alias("slack_local"))
+    return rounded(learned.stored_difference(r.certificates, own, ("method", "qid"), ("b_local", "slack_local")))
 
 
 @register("aux1_full_top1_dispatch", sql("SELECT method, count(DISTINCT \"full\") AS n_items, count(*) FILTER (WHERE \"full\" <> c1) AS n_changed FROM d GROUP BY method"))

@@ -240,3 +240,14 @@ def test_scaled_similarity_has_every_pair(spark, tmp_path):
     rows = retrieval_queries.fn3_scaled_similarity(spark, folder).collect()
     assert len(rows) == s.size
     assert {(x.qid, x.cid): x.s for x in rows} == pytest.approx({(int(a), int(b)): s[i, j] * 112.5 - 10 for i, a in enumerate(q) for j, b in enumerate(g)}, abs=1e-6)
+
+
+def test_pair_queries_have_no_bound_on_pairs(spark, tmp_path):
+    folder, q, g, s = embeddings_of(tmp_path, 8000, 4)  # 10,240,000 pairs
+    lse = {x.cid: x.lse for x in retrieval_queries.fn19_log_sum_exp(spark, folder).collect()}
+    assert lse == pytest.approx(dict(zip(g.tolist(), np.log(np.exp(20 * s).sum(axis=0)), strict=True)), abs=1e-5)
+    assert tuple(retrieval_queries.lrn8_recompute_difference(spark, folder).first()) == (0, 0.0, 0.0)
+    row = retrieval_queries.jn1_all_pairs(spark, folder).agg(F.count("*").alias("n"), F.sum("s").alias("s")).first()
+    assert row.n == s.size and row.s == pytest.approx(s.sum(), abs=1)
+    row = retrieval_queries.fn18_clamped_log(spark, folder).agg(F.count("*").alias("n"), F.sum("log_s").alias("s")).first()
+    assert row.n == s.size and row.s == pytest.approx(np.log(np.maximum(s, 1e-12)).sum(), rel=1e-6)
