@@ -5,7 +5,9 @@ words. Passages and windows are compared as bags of shingles of ``shingle`` word
 shingle): the similarity is the sum of the smaller over the sum of the larger counts, and a window of at least
 ``similar`` percent is a hit.
 
-SimHash decides what is compared: the sign of each of 64 bits summed over a bag's shingles. Fingerprints are cut into
+SimHash decides what is compared: the sign of each of 64 bits summed over a bag's shingles. The second and later
+occurrences of a shingle in a bag have signs of their own, so a repeated word does not weigh as one large vector and the
+shared part of two bags is the shared part of their sums. Fingerprints are cut into
 ``blocks`` blocks. If two of them differ in at most ``radius`` bits, some block differs in at most radius // blocks
 bits (pigeonhole); every item is filed in each block's table under all values within that distance, so probing a
 window's own block values finds every item within the radius, for certain. Candidates within the radius are verified
@@ -38,6 +40,7 @@ from ._storage import prepare
 from ._text import mix, pieces, span_hashes, text_buffer, window_hashes, word_spans
 
 _SIGN_SALT = np.uint64(0x452821E638D01377)
+_TIMES = np.uint64(0x9E3779B97F4A7C15)
 
 
 def signs(shingles: np.ndarray) -> np.ndarray:
@@ -51,6 +54,59 @@ def fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1).view("<u8").reshape(-1).astype(np.uint64)
 
 
+def occurrences(shingles: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Shingles with their occurrence number (from 1) in a bag, as hashes; a first occurrence is the shingle itself."""
+    return shingles ^ ((number - 1).astype(np.uint64) * _TIMES)
+
+
+def bag_sums(shingles: np.ndarray) -> np.ndarray:
+    """Sums of the signs of a bag's occurrences."""
+    own = np.sort(shingles)
+    return signs(occurrences(own, np.arange(len(own)) - np.searchsorted(own, own) + 1)).sum(axis=0)
+
+
+def repeat_distances(runs: np.ndarray) -> np.ndarray:
+    """How far the nearest equal entry is, for every entry."""
+    out = np.full(len(runs), np.iinfo(np.int64).max)
+    order = np.argsort(runs, kind="stable")
+    same = np.flatnonzero(runs[order[1:]] == runs[order[:-1]])
+    a, b = order[same], order[same + 1]
+    out[a] = b - a
+    out[b] = np.minimum(out[b], b - a)
+    return out
+
+
+def window_sums(runs: np.ndarray, distances: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """``bag_sums`` of the windows of ``size`` entries at ``starts``, from running sums over the stretches they cover.
+
+    A window that moves on takes in an entry under the number of its occurrences there, and lets go of one under the
+    number of occurrences it still had; over a whole stretch the two come to the same.
+    """
+    cover = np.zeros(len(runs) + 1, np.int32)
+    np.add.at(cover, starts, 1)
+    np.add.at(cover, starts + size, -1)
+    used = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+    place = np.searchsorted(used, starts)
+    taken = runs[used]
+    again = np.flatnonzero(distances[used] < size)
+    if len(again):
+        # places a window's size apart between stretches, so that no window reaches into another one
+        spread = np.concatenate([[0], np.cumsum(np.diff(used) > 1)]) * size + np.arange(len(used))
+        again = again[np.argsort(taken[again], kind="stable")]
+        value, at = taken[again], spread[again]
+        key = np.concatenate([[0], np.cumsum(value[1:] != value[:-1])]) * (spread[-1] + size + 1) + at
+        here = np.arange(len(key))
+        came = here - np.searchsorted(key, key - size + 1) + 1
+        went = np.searchsorted(key, key + size) - here
+        taken[again] = occurrences(value, came)
+        other = np.flatnonzero(came != went)
+        other = other[np.argsort(again[other])]
+        change = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(occurrences(value[other], went[other])) - signs(taken[again[other]]), axis=0, dtype=np.int32)])
+    sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(taken), axis=0, dtype=np.int32)])
+    out = sums[place + size] - sums[place]
+    return out - change[np.searchsorted(again[other], place)] if len(again) else out
+
+
 class BlockIndex:
     """Items by the values of their fingerprint's blocks, each filed under all values within the block radius."""
 
@@ -91,7 +147,7 @@ class ItemGroup:
     def __init__(self, size: int, shingle: int, ids: list[int], bags: list[np.ndarray], radius: int, blocks: int):
         self.size, self.shingle, self.ids = size, min(shingle, size), np.array(ids, np.int64)
         self.bags = [np.unique(b, return_counts=True) for b in bags]
-        self.index = BlockIndex(fingerprints(np.stack([signs(b).sum(axis=0) for b in bags])), radius, blocks)
+        self.index = BlockIndex(fingerprints(np.stack([bag_sums(b) for b in bags])), radius, blocks)
 
     @property
     def per_window(self) -> int:
@@ -126,15 +182,15 @@ def find_hits(column: pa.Array, groups: list[ItemGroup], similar: int) -> Iterat
     """Text, item, first word of the best window, its words, smaller and larger counts; one per text and item."""
     words, of_text = _words(column)
     end = np.repeat(of_text[1:], np.diff(of_text))
-    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for size in {g.shingle for g in groups}:
         runs = window_hashes(words, size)
         every = np.unique(np.concatenate([v for g in groups if g.shingle == size for v, _ in g.bags]))
         at = np.minimum(np.searchsorted(every, runs), len(every) - 1)
-        known[size] = runs, np.concatenate([[0], np.cumsum(every[at] == runs)]) if len(runs) else np.zeros(1, np.int64)
+        known[size] = runs, np.concatenate([[0], np.cumsum(every[at] == runs)]) if len(runs) else np.zeros(1, np.int64), repeat_distances(runs)
     best: dict[tuple[int, int], tuple[float, int, int, int, int]] = {}
     for g in groups:
-        runs, seen = known[g.shingle]
+        runs, seen, distances = known[g.shingle]
         m = len(words) - g.size + 1
         if m <= 0:
             continue
@@ -143,14 +199,7 @@ def find_hits(column: pa.Array, groups: list[ItemGroup], similar: int) -> Iterat
         for part in np.array_split(starts, -(-len(starts) // 50_000) or 1):
             if not len(part):
                 continue
-            # sums over every window from running sums over the stretches that hold candidates
-            cover = np.zeros(len(runs) + 1, np.int32)
-            np.add.at(cover, part, 1)
-            np.add.at(cover, part + g.per_window, -1)
-            used = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
-            place = np.searchsorted(used, part)
-            sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(runs[used]), axis=0, dtype=np.int32)])
-            q, i = g.index.within(fingerprints(sums[place + g.per_window] - sums[place]))
+            q, i = g.index.within(fingerprints(window_sums(runs, distances, part, g.per_window)))
             for w, item in zip(part[q].tolist(), i.tolist(), strict=True):
                 both = _overlap(runs[w : w + g.per_window], g.bags[item])
                 either = 2 * g.per_window - both

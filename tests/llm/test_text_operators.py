@@ -217,6 +217,22 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs_of(spark, texts).limit(0), bench).count() == 0
 
 
+def test_window_sums_number_the_occurrences_of_each_window():
+    rng = np.random.default_rng(12)
+    for size in (1, 3, 17):
+        runs = decontaminate.mix(rng.integers(0, 6, 400).astype(np.uint64))
+        starts = np.flatnonzero(rng.random(400 - size + 1) < 0.05)
+        got = decontaminate.window_sums(runs, decontaminate.repeat_distances(runs), starts, size)
+        assert (got == np.stack([decontaminate.bag_sums(runs[w : w + size]) for w in starts])).all()
+
+
+def test_decontamination_finds_passages_beside_a_repeated_word():
+    words = [[f"w{i}x{j}" for j in range(200)] for i in range(40)]
+    groups = decontaminate.group_items([(i, " ".join(w)) for i, w in enumerate(words)], 5, 24, 8)
+    texts = pa.array([" ".join(w[:179] + ["so"] * 21) for w in words], pa.string())  # similarity 175 / 217
+    assert [(h[0], h[1], h[4], h[5]) for h in decontaminate.find_hits(texts, groups, 80)] == [(i, i, 175, 217) for i in range(40)]
+
+
 def test_block_index_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
     prints = rng.integers(0, 1 << 63, 50).astype(np.uint64)
