@@ -22,13 +22,14 @@ Radius: at a similarity of 0.8 the cosine of two bags of equal size is 0.89, and
 The benchmark is broadcast in blocks of at most ``block_items`` items and ``block_words`` words, each of which is held
 against all documents; an item longer than that is a block of its own.
 
-Rows: null and empty texts and items have no words and no hits. A passage of a longer item is no hit for it (windows
+Rows: null and empty texts and items have no words and no hits. An item without an id counts like any other; its hits
+have a null ``item_id``, one for each such item. A passage of a longer item is no hit for it (windows
 have the item's size). Repeated rows give hits each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -142,10 +143,11 @@ class BlockIndex:
 
 
 class ItemGroup:
-    """Items of one length in words: their bags, sorted, and the index of their fingerprints."""
+    """Items of one length in words: their bags, sorted, and the index of their fingerprints. Ids are (False, id), or
+    (True, place) for an item without one."""
 
-    def __init__(self, size: int, shingle: int, ids: list[int], bags: list[np.ndarray], radius: int, blocks: int):
-        self.size, self.shingle, self.ids = size, min(shingle, size), np.array(ids, np.int64)
+    def __init__(self, size: int, shingle: int, ids: list[tuple[bool, int]], bags: list[np.ndarray], radius: int, blocks: int):
+        self.size, self.shingle, self.ids = size, min(shingle, size), ids
         self.bags = [np.unique(b, return_counts=True) for b in bags]
         self.index = BlockIndex(fingerprints(np.stack([bag_sums(b) for b in bags])), radius, blocks)
 
@@ -160,13 +162,13 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(data, s, e, lower=True), of_text
 
 
-def group_items(items: list[tuple[int, str]], shingle: int, radius: int, blocks: int) -> list[ItemGroup]:
+def group_items(items: list[tuple[int | None, str]], shingle: int, radius: int, blocks: int) -> list[ItemGroup]:
     words, of_text = _words(pa.array([t for _, t in items], pa.string()))
     by_size: dict[int, tuple[list, list]] = {}
-    for (item, _), a, b in zip(items, of_text[:-1].tolist(), of_text[1:].tolist(), strict=True):
+    for place, ((item, _), a, b) in enumerate(zip(items, of_text[:-1].tolist(), of_text[1:].tolist(), strict=True)):
         if b > a:
             ids, bags = by_size.setdefault(b - a, ([], []))
-            ids.append(item)
+            ids.append((True, place) if item is None else (False, item))
             bags.append(window_hashes(words[a:b], min(shingle, b - a)))
     return [ItemGroup(n, shingle, ids, bags, radius, blocks) for n, (ids, bags) in sorted(by_size.items())]
 
@@ -178,7 +180,7 @@ def _overlap(shingles: np.ndarray, bag: tuple[np.ndarray, np.ndarray]) -> int:
     return int(np.minimum(own, counts).sum())
 
 
-def find_hits(column: pa.Array, groups: list[ItemGroup], similar: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+def find_hits(column: pa.Array, groups: list[ItemGroup], similar: int) -> Iterator[tuple[int, int | None, int, int, int, int]]:
     """Text, item, first word of the best window, its words, smaller and larger counts; one per text and item."""
     words, of_text = _words(column)
     end = np.repeat(of_text[1:], np.diff(of_text))
@@ -188,7 +190,7 @@ def find_hits(column: pa.Array, groups: list[ItemGroup], similar: int) -> Iterat
         every = np.unique(np.concatenate([v for g in groups if g.shingle == size for v, _ in g.bags]))
         at = np.minimum(np.searchsorted(every, runs), len(every) - 1)
         known[size] = runs, np.concatenate([[0], np.cumsum(every[at] == runs)]) if len(runs) else np.zeros(1, np.int64), repeat_distances(runs)
-    best: dict[tuple[int, int], tuple[float, int, int, int, int]] = {}
+    best: dict[tuple[int, bool, int], tuple[float, int, int, int, int]] = {}
     for g in groups:
         runs, seen, distances = known[g.shingle]
         m = len(words) - g.size + 1
@@ -206,14 +208,14 @@ def find_hits(column: pa.Array, groups: list[ItemGroup], similar: int) -> Iterat
                 if both * 100 >= similar * either:
                     text = int(np.searchsorted(of_text, w, side="right")) - 1
                     found = (both / either, -(w - int(of_text[text])), g.size, both, either)
-                    key = (text, int(g.ids[item]))
+                    key = (text, *g.ids[item])
                     if key not in best or found > best[key]:
                         best[key] = found
-    for (text, item), (_, start, size, both, either) in sorted(best.items()):
-        yield text, item, -start, size, both, either
+    for (text, nameless, item), (_, start, size, both, either) in sorted(best.items()):
+        yield text, None if nameless else item, -start, size, both, either
 
 
-def item_blocks(items: list[tuple[int, str]], block_items: int, block_words: int) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(items: Iterable[tuple[int | None, str]], block_items: int, block_words: int) -> Iterator[list[tuple[int | None, str]]]:
     block, words = [], 0
     for item in items:
         n = len(item[1].split())
@@ -251,7 +253,7 @@ def contaminated(
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     names = ["doc_id", "item_id", "first_word", "n_words", "n_common", "n_either"]
     schema = ", ".join(f"{n} long" for n in names)
-    passages = benchmark.select(F.col(f"`{item_col}`").cast("long"), F.col(f"`{item_text_col}`").cast("string")).dropna()
+    passages = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text")).filter("text is not null")
     out = None
     for block in item_blocks(((r[0], r[1]) for r in passages.toLocalIterator()), block_items, block_words):
         shared = spark.sparkContext.broadcast(block)
@@ -274,7 +276,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     """``docs`` without the rows that hold a passage; rows are judged where they are read, without a join."""
     spark = docs.sparkSession
     prepare(spark)
-    passages = benchmark.select(F.col(f"`{item_col}`").cast("long"), F.col(f"`{item_text_col}`").cast("string")).dropna()
+    passages = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text")).filter("text is not null")
     at = docs.columns.index(text_col)
     out = docs
     for block in item_blocks(((r[0], r[1]) for r in passages.toLocalIterator()), block_items, block_words):

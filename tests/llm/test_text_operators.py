@@ -217,6 +217,15 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs_of(spark, texts).limit(0), bench).count() == 0
 
 
+def test_decontamination_by_items_without_an_id(spark):
+    say = lambda k, n: " ".join(f"{k}{j}" for j in range(n))
+    bench = spark.createDataFrame([(None, say("a", 20)), (None, say("b", 20)), (7, say("c", 20)), (None, None)], "item_id long, text string")
+    texts = ["x " + say("a", 20) + " " + say("b", 20), say("c", 20), say("d", 40)]
+    hits = decontaminate.contaminated(docs_of(spark, texts), bench).collect()
+    assert sorted((r.doc_id, r.item_id or -1, r.first_word) for r in hits) == [(0, -1, 1), (0, -1, 21), (1, 7, 0)]
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs_of(spark, texts), bench).collect()] == [2]
+
+
 def test_window_sums_number_the_occurrences_of_each_window():
     rng = np.random.default_rng(12)
     for size in (1, 3, 17):
