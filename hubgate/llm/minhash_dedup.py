@@ -117,10 +117,10 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in pieces(batch, "text_b", 1 << 21):
-                ids = rows.column(0).to_numpy()
-                # the first texts of a batch repeat; each is cut once
-                lead, first, place = np.unique(ids, return_index=True, return_inverse=True)
-                ha, oa = shingle_sets(rows.column(2).take(pa.array(first)), shingle)
+                # the first texts of a batch repeat; each is cut once (an id may have several)
+                first = rows.column(2).dictionary_encode()
+                place = first.indices.to_numpy()
+                ha, oa = shingle_sets(first.dictionary, shingle)
                 hb, ob = shingle_sets(rows.column(3), shingle)
                 both = np.zeros(rows.num_rows, np.int64)
                 for i, j in enumerate(place.tolist()):
@@ -220,7 +220,7 @@ def _bitmaps(texts: DataFrame, shingle: int) -> DataFrame:
                 flat = pa.array(maps.reshape(-1).view(np.int64))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(np.arange(rows.num_rows + 1, dtype=np.int32) * 32), flat)], names=["node", "bits"])
 
-    # rows that share an id: the union of their places keeps the bound true
+    # rows that share an id: the union of their places bounds what another set has outside all of them
     merged = [F.bit_or(F.col("bits")[i]) for i in range(32)]
     return texts.select("key", "text").mapInArrow(run, "node long, bits array<long>").groupBy("node").agg(F.array(*merged).alias("bits"))
 
@@ -258,7 +258,9 @@ def _settled(members: DataFrame, texts: DataFrame, groups: DataFrame, collection
     nodes = rows.select(F.col("node").alias("key")).distinct()
     own_texts = written(texts.join(nodes, "key", "left_semi"), "open-texts")
     unshared = _unshared(own_texts, shingle)
-    rows = rows.join(unshared, "node", "left").withColumn("r", F.col("n") - F.coalesce("unshared", F.lit(0))).drop("unshared")
+    # an id with several texts has several sets under one node; what is known of the node bounds none of them
+    several = own_texts.groupBy(F.col("key").alias("node")).count().select("node", (F.col("count") > 1).alias("several"))
+    rows = rows.join(unshared, "node", "left").join(several, "node").withColumn("r", F.col("n") - F.when(F.col("several"), 0).otherwise(F.coalesce("unshared", F.lit(0)))).drop("unshared")
     smallest = rows.groupBy("table_key").agg(F.min("n").alias("least"))
     # the best partner in a bucket is no smaller than its smallest set, and no better than one of r elements
     can = possible(F.col("r"), F.col("n"), F.greatest("least", "r"))
@@ -275,12 +277,14 @@ def _settled(members: DataFrame, texts: DataFrame, groups: DataFrame, collection
         return links
     major = rows.groupBy("table_key", "component").count().groupBy("table_key").agg(F.max_by("component", F.struct("count", "component")).alias("major"))
     rows = rows.join(_bitmaps(own_texts, shingle), "node").join(groups.groupBy("node").agg(F.first("groups").alias("groups")), "node")
-    minor = rows.join(major, "table_key").filter("component <> major").select("table_key", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "r", "component", "bits", "groups")])
+    minor = rows.join(major, "table_key").filter("component <> major").select("table_key", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "r", "component", "bits", "groups", "several")])
     # a pair shares many keys; the first two groups it has in common are the key at which it is looked at
     before = F.lit(0)
     for c in range(collections):
         before = before + ((F.col("groups")[c] == F.col("p_groups")[c]) & (F.lit(c) < F.col("j")) & (F.lit(c) != F.col("i"))).cast("int")
+    looked_at = (before == 0) | F.col("several") | F.col("p_several")
     n, m = F.col("n"), F.col("p_n")
-    rest = rows.join(minor, "table_key").filter((F.col("component") != F.col("p_component")) & possible(F.least("r", "p_r"), n, m) & (before == 0) & possible(n - _outside("bits", "p_bits"), n, m) & possible(m - _outside("p_bits", "bits"), n, m))
+    outside = lambda x, y: F.when(F.col(x.replace("bits", "several")), 0).otherwise(_outside(x, y))
+    rest = rows.join(minor, "table_key").filter((F.col("component") != F.col("p_component")) & possible(F.least("r", "p_r"), n, m) & looked_at & possible(n - outside("bits", "p_bits"), n, m) & possible(m - outside("p_bits", "bits"), n, m))
     third = written(verified(rest.select(*pair("node", "p_node")).distinct().join(known, ["a", "b"], "left_anti"), texts, shingle), "rest-links", narrow=True)
     return links.unionByName(third.filter(close).select("a", "b"))

@@ -176,6 +176,19 @@ def test_tensored_tables_find_pairs_at_the_threshold():
     assert missed == 0
 
 
+def test_buckets_settle_ids_with_several_texts(spark):
+    words = [f"w{j}" for j in range(100)]
+    swap = lambda base, at, k: " ".join(base[:at] + [f"{k}{j}" for j in range(at, at + 6)] + base[at + 6 :])
+    first, near = swap(words[:70] + [f"y{j}" for j in range(30)], 0, "l"), [words, swap(words, 0, "m").split()]
+    other = " ".join(f"z{j}" for j in range(300))
+    texts = [(1, first), (2, " ".join(near[0])), (2, other), (3, " ".join(near[1])), (4, swap(near[0], 94, "n"))]
+    n = {k: len(t.split()) - 4 for k, t in texts if t != other}
+    members = spark.createDataFrame([(9, 0, 1, k, n[k], 1) for k in n], "table_key long, i int, j int, node long, n long, lead long")
+    groups = spark.createDataFrame([(2, [5, 5, 5]), (2, [7, 8, 9]), *[(k, [5, 5, k]) for k in (1, 3, 4)]], "node long, groups array<long>")
+    links = minhash_dedup._settled(members, spark.createDataFrame(texts, "key long, text string"), groups, 3, 5, 80)
+    assert {2, 3, 4} <= {x for r in links.collect() for x in r} and not links.filter("a = 1").count()
+
+
 # --- 3: decontamination ----------------------------------------------------------------------------------------
 
 
