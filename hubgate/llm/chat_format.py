@@ -89,6 +89,6 @@ def read_back(rendered: DataFrame) -> DataFrame:
     turn = lambda p: F.struct(
         unescape(F.substr(F.substring_index(p, "\n", 1), F.lit(len(MARK) + 1)), True).alias("role"), unescape(F.substr(p, F.locate("\n", p) + 1)).alias("text")
     )
-    parsed = rendered.select("conv_id", "examples", F.transform(F.slice(pieces, 1, F.size(pieces) - 1), turn).alias("turns"))
-    targets = let(F.col("turns"), lambda turns: F.transform(F.filter("examples", lambda x: x.target_turn > 0), lambda x: turns[x.target_turn - 1].text))
-    return parsed.select("conv_id", "turns", targets.alias("targets"), "examples")
+    span = lambda text, x: unescape(F.substr(text, (x.target_start + 1).cast("int"), (x.target_end - x.target_start).cast("int")))
+    targets = let(F.col("rendered"), lambda text: F.transform(F.filter("examples", lambda x: x.target_start >= 0), lambda x: span(text, x)))
+    return rendered.select("conv_id", F.transform(F.slice(pieces, 1, F.size(pieces) - 1), turn).alias("turns"), targets.alias("targets"), "examples")

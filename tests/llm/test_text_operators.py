@@ -442,6 +442,14 @@ def test_chat_format_round_trip(spark):
     assert chat_format.read_back(chat_format.render(df.limit(0))).count() == 0
 
 
+def test_chat_targets_are_what_the_spans_cut(spark):
+    turns = [(1, 0, "user", "ask"), (1, 1, "assistant", "one ### \\ two"), (1, 2, "user", "x"), (1, 3, "assistant", "four"), (1, 4, "user", "end")]
+    rendered = chat_format.render(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"))
+    assert chat_format.read_back(rendered).first().targets == ["one ### \\ two", "four"]
+    shifted = F.transform("examples", lambda x: x.withField("target_start", F.when(x.target_start < 0, x.target_start).otherwise(x.target_start + 1)))
+    assert chat_format.read_back(rendered.withColumn("examples", shifted)).first().targets == ["ne ### \\ two", "our"]
+
+
 # --- 8: substrings ---------------------------------------------------------------------------------------------
 
 
