@@ -26,6 +26,8 @@ class Embedder(Protocol):
 
     def encode_images(self, images: Sequence[bytes]) -> np.ndarray: ...
 
+    def encode_audio(self, clips: Sequence[np.ndarray]) -> np.ndarray: ...
+
     def get_metadata(self) -> dict[str, str]: ...
 
 
@@ -58,7 +60,7 @@ class HashingEmbedder:
         return self._encode([x or b"\0" for x in images])
 
     def encode_audio(self, clips: Sequence[np.ndarray]) -> np.ndarray:
-        return self._encode([np.asarray(c, np.float32).tobytes()[:4096] for c in clips])
+        return self._encode([np.asarray(c, np.float32).tobytes() for c in clips])
 
     def get_metadata(self) -> dict[str, str]:
         return {"model_name": "hashing", "embedding_dim": str(self.dim), "dtype": "float64", "library": "hubgate"}
@@ -96,7 +98,9 @@ def fixed_length(samples: np.ndarray, seconds: float = 10.0, rate: int = 48_000,
 
 
 def embed_column(df: DataFrame, column: str, kind: str = "hashing", modality: str = "text", out: str = "v", batch: int = 256) -> DataFrame:
-    """``df`` with the vector of ``column`` (null counts as empty). The model is made once per task."""
+    """``df`` with the vector of ``column`` (null counts as empty): strings of ``text``, bytes of ``image``, arrays of
+    samples of ``audio``. The model is made once per task."""
+    method, empty = {"text": ("encode_texts", ""), "image": ("encode_images", b""), "audio": ("encode_audio", [])}[modality]
     prepare(df.sparkSession)
     at = df.columns.index(column)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
@@ -107,7 +111,7 @@ def embed_column(df: DataFrame, column: str, kind: str = "hashing", modality: st
             for k in range(0, big.num_rows, batch):
                 rows = big.slice(k, batch)
                 values = rows.column(at).to_pylist()
-                v = model.encode_texts([x or "" for x in values]) if modality == "text" else model.encode_images([x or b"" for x in values])
+                v = getattr(model, method)([x or empty for x in values])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.reshape(-1).astype(np.float64)))
                 yield pa.RecordBatch.from_arrays([*rows.columns, lists], names=schema.names)
 

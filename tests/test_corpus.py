@@ -210,3 +210,10 @@ def test_captions_by_image_digest_whole_texts(spark, tmp_path):
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     want = lambda *texts: (2, sha("|".join(sha(t) for t in texts)))
     assert got == {"a": want(head + " one", "z"), "b": want(head + " two", "z"), "c": want(head + " one", "z")}
+
+
+def test_audio_is_embedded_whole(spark):
+    quiet = [0.0] * 1500
+    df = spark.createDataFrame([(quiet + [0.5, 0.25],), (quiet + [0.75, 0.125],), (quiet + [0.5, 0.25],), (None,)], "x array<float>")
+    v = [r.v for r in embed.embed_column(df, "x", modality="audio").collect()]
+    assert v[0] == v[2] and v[0] != v[1] and np.linalg.norm(v, axis=1) == pytest.approx(1.0)
