@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -48,3 +49,21 @@ def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` returned, once everything that reads them is written itself."""
+    for table in tables:
+        for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+#: So many long keys (some 20 MB as a hash table) are broadcast, whatever the session's own threshold is.
+BROADCAST_KEYS = 1 << 20
+
+
+def only(rows: DataFrame, key: str, keys: DataFrame, count: int, how: str = "left_semi") -> DataFrame:
+    """``rows`` whose long ``key`` is (or, with left_anti, is not) among the one column of ``keys``, at most ``count``
+    of them: few keys are broadcast, so the rows stay where they are read; more are joined by a shuffle."""
+    return rows.join(F.broadcast(keys) if count <= BROADCAST_KEYS else keys.hint("merge"), key, how)

@@ -176,17 +176,81 @@ def test_tensored_tables_find_pairs_at_the_threshold():
     assert missed == 0
 
 
-def test_buckets_settle_ids_with_several_texts(spark):
+def test_buckets_settle_ids_with_several_texts(spark, monkeypatch):
     words = [f"w{j}" for j in range(100)]
     swap = lambda base, at, k: " ".join(base[:at] + [f"{k}{j}" for j in range(at, at + 6)] + base[at + 6 :])
     first, near = swap(words[:70] + [f"y{j}" for j in range(30)], 0, "l"), [words, swap(words, 0, "m").split()]
     other = " ".join(f"z{j}" for j in range(300))
-    texts = [(1, first), (2, " ".join(near[0])), (2, other), (3, " ".join(near[1])), (4, swap(near[0], 94, "n"))]
-    n = {k: len(t.split()) - 4 for k, t in texts if t != other}
-    members = spark.createDataFrame([(9, 0, 1, k, n[k], 1) for k in n], "table_key long, i int, j int, node long, n long, lead long")
-    groups = spark.createDataFrame([(2, [5, 5, 5]), (2, [7, 8, 9]), *[(k, [5, 5, k]) for k in (1, 3, 4)]], "node long, groups array<long>")
-    links = minhash_dedup._settled(members, spark.createDataFrame(texts, "key long, text string"), groups, 3, 5, 80)
-    assert {2, 3, 4} <= {x for r in links.collect() for x in r} and not links.filter("a = 1").count()
+    rows = [(1, first), (2, " ".join(near[0])), (2, other), (3, " ".join(near[1])), (4, swap(near[0], 94, "n"))]
+    texts = spark.createDataFrame(rows, "key long, text string")
+    members = spark.createDataFrame([(9, k, 2, 1) for k in (1, 2, 3, 4)], "table_key long, node long, w int, lead long")
+    for few in (64, 0):
+        monkeypatch.setattr(minhash_dedup, "_FEW", few)
+        settled = minhash_dedup._settled(members, minhash_dedup._Bench(texts, minhash_dedup._bitmaps(texts, 5), 5, 80))
+        assert {(r.node, r.component) for r in settled.collect()} == {(2, 2), (3, 2), (4, 2)}
+
+
+@pytest.mark.parametrize("few,block", [(64, 1 << 16), (0, 1 << 16), (3, 400)])
+def test_prefixes_and_blocks_give_all_links(spark, monkeypatch, few, block):
+    monkeypatch.setattr(minhash_dedup, "_FEW", few)
+    monkeypatch.setattr(minhash_dedup, "_BLOCK_SHINGLES", block)
+    rng = random.Random(9)
+    bases = [[f"w{rng.randrange(40)}" for _ in range(60)] for _ in range(3)]
+    texts = []
+    for i in range(90):
+        w = list(bases[i % 3])
+        for _ in range(rng.randrange(8)):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(60)}"
+        texts.append(" ".join(w[rng.randrange(4) :]))
+    for shingle, similar in ((1, 80), (3, 70)):
+        source = spark.createDataFrame(list(enumerate(texts)), "key long, text string").dropDuplicates(["text"])
+        alone = source.select(F.col("key").alias("node"), F.col("key").alias("component"))
+        bench = minhash_dedup._Bench(source, minhash_dedup._bitmaps(source, shingle), shingle, similar)
+        labels = {r.node: r.component for r in minhash_dedup._settled_by_prefixes(alone, len(texts), bench, None).collect()}
+        kept = {r.key for r in source.collect()}
+        want = brute_components([t if i in kept else None for i, t in enumerate(texts)], shingle, similar)
+        assert {i: labels.get(i, i) for i in kept} == {i: want[i][1] for i in kept}
+
+
+def test_rows_follow_the_size_of_a_cluster(spark, monkeypatch):
+    """No table between the steps, pairs included, grows with the square of a group of near copies."""
+
+    def most_rows(n):
+        rng = random.Random(n)
+        base = [f"w{rng.randrange(900)}" for _ in range(150)]
+        texts = []
+        for _ in range(n):
+            w = list(base)
+            for _ in range(rng.randrange(14)):
+                w[rng.randrange(len(w))] = f"w{rng.randrange(900)}"
+            texts.append(" ".join(w))
+        counts, first = {}, minhash_dedup.written
+
+        def counted(df, name, narrow=False):
+            out = first(df, name, narrow)
+            counts[name] = max(counts.get(name, 0), out.count())
+            return out
+
+        with monkeypatch.context() as m:
+            m.setattr(minhash_dedup, "written", counted)
+            minhash_dedup.near_duplicates(docs_of(spark, texts, extra=False), shingle=3, similar=85).count()
+        return counts
+
+    small, large = most_rows(500), most_rows(2000)
+    assert large["pairs"] <= 4 * 2000 and max(large[k] / max(small[k], 500) for k in small) < 8
+
+
+@pytest.mark.parametrize("common,own", [(800, 200), (850, 150)])
+def test_recall_at_the_thresholds(common, own):
+    """Pairs at a similarity of exactly 0.8 and 0.85 that share a table key: 0.9999 and more by the binomial."""
+    rng, pairs = np.random.default_rng(5), 2000
+    found = 0
+    for _ in range(pairs):
+        x = rng.integers(0, 1 << 63, common + own).astype(np.uint64)
+        a, b = x[: common + own // 2], np.concatenate([x[:common], x[common + own // 2 :]])
+        keys = minhash_dedup.collection_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 12, 2)
+        found += (keys[0] == keys[1]).sum() >= 2
+    assert found >= 0.999 * pairs
 
 
 # --- 3: decontamination ----------------------------------------------------------------------------------------
