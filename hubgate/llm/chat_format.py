@@ -73,8 +73,10 @@ def render(conversations: DataFrame, *, id_col: str = "conv_id", turn_col: str =
 
 
 def expand(rendered: DataFrame) -> DataFrame:
-    """One row per example, with its position in the conversation from 1 and the text it shares with the others."""
-    return rendered.select("conv_id", "rendered", F.posexplode("examples").alias("at", "x")).select("conv_id", (F.col("at") + 1).alias("example"), "rendered", "x.*")
+    """One row per example: its position in the conversation from 1, how many there are, the rendering they share, and
+    the example's end and span in it."""
+    some = rendered.select("conv_id", "rendered", F.size("examples").alias("n_examples"), F.posexplode("examples").alias("at", "x"))
+    return some.select("conv_id", (F.col("at") + 1).alias("example"), "n_examples", "rendered", "x.*")
 
 
 def example_text(rendered: Column, end: Column) -> Column:
@@ -83,12 +85,25 @@ def example_text(rendered: Column, end: Column) -> Column:
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """``conv_id``, ``turns`` (array of role and text), ``targets`` (texts under the loss, in order) and ``examples``,
-    taken from the renderings and spans alone. The last example always reaches the end of its rendering."""
-    pieces = F.split(F.col("rendered"), "</turn>\n")
+    """``conv_id``, ``turns`` (array of role and text), ``targets`` (texts under the loss, in order) and
+    ``formatted_chars`` (code points of all examples), taken from the expanded examples alone: every example is cut out
+    of its rendering and its trainable span out of the example. The last one always reaches the end of its rendering,
+    so all turns are read from it.
+
+    A conversation's examples lie where its rendering does, so nothing is shuffled a second time, and of the examples'
+    texts only the last one outlives its row.
+    """
+    example = expand(rendered).withColumn("text", example_text(F.col("rendered"), F.col("end")))
+    target = unescape(F.substr("text", (F.col("target_start") + 1).cast("int"), (F.col("target_end") - F.col("target_start")).cast("int")))
+    cut = example.select(
+        "conv_id",
+        F.length("text").cast("long").alias("chars"),
+        F.when(F.col("target_start") >= 0, F.struct("example", target.alias("text"))).alias("target"),
+        F.when(F.col("example") == F.col("n_examples"), F.col("text")).alias("whole"),
+    )
+    read = cut.groupBy("conv_id").agg(F.sort_array(F.collect_list("target")).alias("targets"), F.max("whole").alias("whole"), F.sum("chars").alias("formatted_chars"))
     turn = lambda p: F.struct(
         unescape(F.substr(F.substring_index(p, "\n", 1), F.lit(len(MARK) + 1)), True).alias("role"), unescape(F.substr(p, F.locate("\n", p) + 1)).alias("text")
     )
-    span = lambda text, x: unescape(F.substr(text, (x.target_start + 1).cast("int"), (x.target_end - x.target_start).cast("int")))
-    targets = let(F.col("rendered"), lambda text: F.transform(F.filter("examples", lambda x: x.target_start >= 0), lambda x: span(text, x)))
-    return rendered.select("conv_id", F.transform(F.slice(pieces, 1, F.size(pieces) - 1), turn).alias("turns"), targets.alias("targets"), "examples")
+    turns = let(F.split("whole", END), lambda pieces: F.transform(F.slice(pieces, 1, F.size(pieces) - 1), turn))
+    return read.select("conv_id", turns.alias("turns"), F.transform("targets", lambda t: t.text).alias("targets"), "formatted_chars")

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, chat_format, decontaminate, line_dedup, minhash_dedup, quality_rules, substring_dedup, token_count, url_filter, warc
 
-TOKENIZERS = "/opt/tokenizers"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -83,7 +81,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(turns_text, 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"),
-        F.aggregate("examples", F.lit(0).cast("long"), lambda n, x: n + x.end).alias("formatted_chars"),
+        "formatted_chars",
     )
 
 
