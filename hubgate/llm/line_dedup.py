@@ -5,10 +5,11 @@ characters of ``[\x20\x09-\x0D]``) and with A-Z lower-cased. Keys of at least ``
 found in at least ``min_docs`` documents lose all their lines, except in the document with the largest id that holds
 them.
 
-Line keys are hashed to two 64-bit lanes and counted by document, with a combine in every batch of the scan. The keys
-that reach ``min_docs`` are dealt to shards of bounded size; every shard becomes a minimal perfect hash of one lane
-that indexes compact arrays: fingerprint (the other lane), number of documents, largest id. Documents probe these
-arrays; lines are never joined. While all shards together are small they are broadcast; beyond ``max_broadcast_bytes``
+Line keys are hashed to two 64-bit lanes and counted by document, with a combine in every batch of the scan. The
+distinct keys of ``index_docs`` documents are dealt to shards of bounded size; every shard becomes a minimal perfect
+hash of one lane that indexes compact arrays: fingerprint (the other lane), number of documents, largest id. Documents
+probe these arrays and the numbers there decide; lines are never joined. Keys that share a first lane with another key
+are listed apart and compared on both. While all shards together are small they are broadcast; beyond ``max_broadcast_bytes``
 packets of line hashes are dealt to the shards, stream past them, and only the numbers of lines to drop come back.
 
 Rows: a row is a document; repeated rows count, and rows that share the largest id all keep their lines. A null id is
@@ -83,24 +84,27 @@ class PerfectHash:
 class Shard:
     """A perfect hash with the arrays it indexes."""
 
-    FIELDS = ("sizes", "bits", "rest", "fingerprints", "counts", "largest")
-    TYPES = ("<i8", "<u8", "<u8", "<u8", "<u4", "<i8")
+    FIELDS = ("sizes", "bits", "rest", "fingerprints", "counts", "largest", "others")
+    TYPES = ("<i8", "<u8", "<u8", "<u8", "<u4", "<i8", "<i8")
 
     def __init__(self, *arrays: np.ndarray):
         self.arrays = arrays
         self.hash = PerfectHash(*arrays[:3])
-        self.fingerprints, self.counts, self.largest = arrays[3:]
+        self.fingerprints, self.counts, self.largest, self.others = arrays[3:]
 
     @classmethod
     def build(cls, one: np.ndarray, two: np.ndarray, counts: np.ndarray, largest: np.ndarray) -> Shard:
-        h = PerfectHash.build(one)
-        if len(h.rest) > len(np.unique(h.rest)):
-            raise ValueError("two line keys share all 64 bits of the first lane")
-        at = h.index(one)
-        arrays = [np.empty(len(one), t) for t in cls.TYPES[3:]]
-        for a, values in zip(arrays, (two, np.minimum(counts, 0xFFFFFFFF), largest), strict=True):
-            a[at] = values
-        return cls(h.sizes, h.bits, h.rest, *arrays)
+        counts = np.minimum(counts, 0xFFFFFFFF)
+        keys, first = np.unique(one, return_index=True)
+        h = PerfectHash.build(keys)
+        at = h.index(keys)
+        arrays = [np.empty(len(keys), t) for t in cls.TYPES[3:6]]
+        for a, values in zip(arrays, (two, counts, largest), strict=True):
+            a[at] = values[first]
+        # keys whose first lane another key has: four numbers each, compared on both lanes
+        rest = np.setdiff1d(np.arange(len(one)), first)
+        others = np.stack([one[rest].view(np.int64), two[rest].view(np.int64), counts[rest].astype(np.int64), largest[rest]], axis=1).reshape(-1)
+        return cls(h.sizes, h.bits, h.rest, *arrays, others)
 
     def pack(self) -> list[bytes]:
         return [a.astype(t).tobytes() for a, t in zip(self.arrays, self.TYPES, strict=True)]
@@ -109,13 +113,17 @@ class Shard:
     def unpack(cls, blobs: list[bytes]) -> Shard:
         return cls(*[np.frombuffer(b, t) for b, t in zip(blobs, cls.TYPES, strict=True)])
 
-    def probe(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Which of these lines, held by documents ``ids``, go."""
+    def probe(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray, min_docs: int) -> np.ndarray:
+        """Which of these lines, held by documents ``ids``, go: those whose count reaches ``min_docs``, but for the
+        largest id."""
         if not len(self.fingerprints):
             return np.zeros(len(one), bool)
         at = self.hash.index(one)
-        member = (at >= 0) & (self.fingerprints[at] == two)
-        return member & (self.largest[at] != ids)
+        gone = (at >= 0) & (self.fingerprints[at] == two) & (self.counts[at] >= min_docs) & (self.largest[at] != ids)
+        for a, b, count, last in self.others.reshape(-1, 4):
+            if count >= min_docs:
+                gone |= (one.view(np.int64) == a) & (two.view(np.int64) == b) & (ids != last)
+        return gone
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +151,7 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(_NO_ID).to_numpy(zero_copy_only=False)
 
 
-def line_index(docs: DataFrame, *, id_col: str, text_col: str, min_chars: int, min_docs: int, shard_lines: int) -> tuple[DataFrame, int, int]:
+def line_index(docs: DataFrame, *, id_col: str, text_col: str, min_chars: int, index_docs: int, shard_lines: int) -> tuple[DataFrame, int, int]:
     """Packed shards (one row each), their number and that of the lines they index."""
     spark = docs.sparkSession
     prepare(spark)
@@ -170,7 +178,7 @@ def line_index(docs: DataFrame, *, id_col: str, text_col: str, min_chars: int, m
 
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     counted = source.mapInArrow(count, "one long, two long, docs long, largest long").groupBy("one", "two").agg(F.sum("docs").alias("docs"), F.max("largest").alias("largest"))
-    frequent = written(counted.filter(F.col("docs") >= min_docs), "frequent-lines")
+    frequent = written(counted.filter(F.col("docs") >= index_docs), "indexed-lines")
     lines = frequent.count()
     shards = max(1, -(-lines // shard_lines))
 
@@ -211,19 +219,24 @@ def drop_frequent_lines(
     min_docs: int = 5,
     lines_col: str = "n_lines",
     dropped_col: str = "n_dropped",
+    index_docs: int | None = None,
     shard_lines: int = 500_000,
     max_broadcast_bytes: int = 32 << 20,
 ) -> DataFrame:
     """``docs`` with frequent lines dropped from ``text_col``, and the numbers of lines before and dropped (columns
-    of these names are replaced)."""
+    of these names are replaced).
+
+    Lines found in ``index_docs`` documents are indexed, by default ``min_docs``; the counts decide in any case, so a
+    smaller number (1: every distinct line) gives the same result from a larger index.
+    """
     spark = docs.sparkSession
-    index, shards, lines = line_index(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs, shard_lines=shard_lines)
+    index, shards, lines = line_index(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, index_docs=min_docs if index_docs is None else min(index_docs, min_docs), shard_lines=shard_lines)
     keep = [c for c in docs.columns if c not in (lines_col, dropped_col)]
     base = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in keep], F.col(f"`{id_col}`").cast("long").alias("__id"))
     at = keep.index(text_col)
     schema = T.StructType([*base.schema.fields[: len(keep)], T.StructField(lines_col, T.LongType()), T.StructField(dropped_col, T.LongType())])
     if 48 * lines > max_broadcast_bytes:
-        return _drop_by_packets(base, index, shards, schema, at, min_chars)
+        return _drop_by_packets(base, index, shards, schema, at, min_chars, min_docs)
     tables = {r.shard: [bytes(r[f]) for f in Shard.FIELDS] for r in index.collect()}
     shared = spark.sparkContext.broadcast(tables)
 
@@ -239,7 +252,7 @@ def drop_frequent_lines(
                     drop, shard = np.zeros(len(starts), bool), _shard_of(one, shards)
                     for k, table in index.items():
                         own = np.flatnonzero(shard == np.uint64(k))
-                        drop[line[own]] = table.probe(one[own], two[own], ids[doc[own]])
+                        drop[line[own]] = table.probe(one[own], two[own], ids[doc[own]], min_docs)
                     return drop
 
                 text, n, dropped = _rewrite(rows, at, drop_of)
@@ -248,7 +261,7 @@ def drop_frequent_lines(
     return base.mapInArrow(run, schema)
 
 
-def _drop_by_packets(base: DataFrame, index: DataFrame, shards: int, schema: T.StructType, at: int, min_chars: int, deals: int = 8) -> DataFrame:
+def _drop_by_packets(base: DataFrame, index: DataFrame, shards: int, schema: T.StructType, at: int, min_chars: int, min_docs: int, deals: int = 8) -> DataFrame:
     """The same for an index too large to broadcast. Rows are known by 128 bits of hash over id and text; equal rows
     have equal lines to drop. Every shard is met by ``deals`` tasks, so a hot one is shared between them; packets
     stream past the shard in order, one at a time."""
@@ -272,8 +285,9 @@ def _drop_by_packets(base: DataFrame, index: DataFrame, shards: int, schema: T.S
                     deal = int(columns[0][own[0]] % deals)
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([deal], pa.int32()), pa.array([1], pa.int32()), *[pa.array([c[own].astype(t).tobytes()], pa.binary()) for c, t in zip(columns, kinds, strict=True)]], names=["shard", "deal", "kind", *names])
 
-    slots = ["b0", "b1", "b2", "b3", "b4", "b5"]
-    packets = keyed.select("__k1", "__k2", F.col("__id").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(cut, "shard int, deal int, kind int, " + ", ".join(f"{n} binary" for n in names)).toDF("shard", "deal", "kind", *slots)
+    slots = [f"b{i}" for i in range(len(Shard.FIELDS))]
+    packets = keyed.select("__k1", "__k2", F.col("__id").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(cut, "shard int, deal int, kind int, " + ", ".join(f"{n} binary" for n in names))
+    packets = packets.select("shard", "deal", "kind", *[(F.col(names[i]) if i < len(names) else F.lit(None).cast("binary")).alias(c) for i, c in enumerate(slots)])
     tables = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"), F.lit(0).alias("kind"), *[F.col(f).alias(s) for f, s in zip(Shard.FIELDS, slots, strict=True)])
     met = tables.unionByName(packets).repartition(F.col("shard"), F.col("deal")).sortWithinPartitions("shard", "deal", "kind")
 
@@ -285,8 +299,8 @@ def _drop_by_packets(base: DataFrame, index: DataFrame, shards: int, schema: T.S
                 if r[2] == 0:
                     table, owner = Shard.unpack(r[3:]), r[0]
                 elif owner == r[0]:
-                    k1, k2, line, one, two, ids = (np.frombuffer(b, t) for b, t in zip(r[3:], kinds, strict=True))
-                    gone = table.probe(one, two, ids)
+                    k1, k2, line, one, two, ids = (np.frombuffer(b, t) for b, t in zip(r[3:], kinds, strict=False))
+                    gone = table.probe(one, two, ids, min_docs)
                     if gone.any():
                         yield pa.RecordBatch.from_arrays([pa.array(k1[gone]), pa.array(k2[gone]), pa.array(line[gone])], names=["__k1", "__k2", "line"])
 
