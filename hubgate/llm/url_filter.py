@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -89,22 +90,39 @@ class RuleTrie:
         return best
 
 
+def trie_bytes(trie: RuleTrie) -> int:
+    """What the trie takes in memory, measured node by node."""
+    total, open_ = 0, [trie.root]
+    while open_:
+        node = open_.pop()
+        total += getsizeof(node)
+        for key, value in node.items():
+            total += getsizeof(key)
+            if isinstance(value, dict):
+                open_.append(value)
+            else:
+                total += getsizeof(value) + getsizeof(value.__dict__) + getsizeof(value.host) + getsizeof(value.path) + getsizeof(value.verdict)
+    return total
+
+
 def judge_urls(
-    pages: DataFrame, rules: Iterable[Rule], *, id_col: str = "page_id", url_col: str = "url", default: str = ALLOW, max_broadcast_rules: int = 1_000_000
+    pages: DataFrame, rules: Iterable[Rule], *, id_col: str = "page_id", url_col: str = "url", default: str = ALLOW, max_trie_bytes: int = 64 << 20
 ) -> DataFrame:
     """``id_col, host, path, rule, verdict`` for every row of ``pages``.
 
-    The trie is broadcast while it has at most ``max_broadcast_rules`` rules (a rule is some 100 bytes); a longer
-    list is joined on the prefixes at which a rule can end (``judge_urls_by_join``), with the same result.
+    The trie is broadcast while it takes at most ``max_trie_bytes`` in memory, as measured; a longer list is cut into
+    tries of that size by host (``judge_urls_by_shards``), with the same result.
     """
     rules = list(rules)
-    if len(rules) > max_broadcast_rules:
-        return judge_urls_by_join(pages, rules, id_col=id_col, url_col=url_col, default=default)
+    trie = RuleTrie(rules)
+    size = trie_bytes(trie)
+    if size > max_trie_bytes:
+        return judge_urls_by_shards(pages, rules, shards=size // max(1, max_trie_bytes // 2) + 1, id_col=id_col, url_col=url_col, default=default)
     spark = pages.sparkSession
     prepare(spark)
     host, path = split_url(F.col(url_col))
     parts = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    shared = spark.sparkContext.broadcast(RuleTrie(rules))
+    shared = spark.sparkContext.broadcast(trie)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = shared.value
@@ -118,28 +136,47 @@ def judge_urls(
     return parts.mapInArrow(judge, f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
 
 
-def judge_urls_by_join(pages: DataFrame, rules: Iterable[Rule], *, id_col: str = "page_id", url_col: str = "url", default: str = ALLOW) -> DataFrame:
-    """The same verdicts for a list too long to broadcast: each distinct host and path probes the rules by equi-join.
+def judge_urls_by_shards(pages: DataFrame, rules: Iterable[Rule], *, shards: int, deals: int = 16, id_col: str = "page_id", url_col: str = "url", default: str = ALLOW) -> DataFrame:
+    """The same verdicts for a list whose trie is too large to broadcast.
 
-    A url asks for every suffix of its host with every prefix of its path that ends in ``/`` (or is empty); a rule
-    is filed under its host and its path up to the last ``/``.
+    Rules are dealt to shards by their host. Each distinct host and path asks the shards of its host and of all the
+    domains above it; a task builds one shard's trie from the rules that come first and matches the urls that stream
+    past it, and the longest of the rules found decides. A shard is met by ``deals`` tasks, so one that most urls ask
+    (that of ``com``) is shared between them.
     """
     spark = pages.sparkSession
+    prepare(spark)
     host, path = split_url(F.col(url_col))
     parts = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    table = spark.createDataFrame([(r.verdict, r.host.translate(_TO_LOWER), r.path) for r in rules], "verdict string, rule_host string, rule_path string")
-    table = table.withColumn("rule_dir", F.regexp_extract("rule_path", r"^(.*/)?", 0))
-    asked = (
-        parts.select("host", "path").distinct()
-        .withColumn("labels", F.split("host", r"\.", -1))
-        .withColumn("rule_host", F.explode(F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels) - i + 1), '.'))")))
-        .withColumn("segments", F.split("path", "/", -1))
-        .withColumn("rule_dir", F.explode(F.expr("transform(sequence(0, size(segments) - 1), i -> if(i = 0, '', concat(array_join(slice(segments, 1, i), '/'), '/')))")))
-    )
-    best = (
-        asked.join(table, ["rule_host", "rule_dir"])
-        .filter(F.col("path").startswith(F.col("rule_path")))
-        .groupBy("host", "path")
-        .agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict"), F.struct(F.length(F.concat("rule_host", "rule_path")), F.length("rule_host"), "verdict")).alias("best"))
+    shard = lambda h: F.pmod(F.xxhash64(h), F.lit(shards)).cast("int")
+    table = spark.createDataFrame([(r.verdict, r.host.translate(_TO_LOWER), r.path) for r in rules], "verdict string, host string, path string")
+    every = F.explode(F.sequence(F.lit(0), F.lit(deals - 1)))
+    own = table.select(shard(F.col("host")).alias("shard"), every.alias("deal"), F.lit(0).alias("kind"), "host", "path", "verdict")
+    labels = F.split("host", r"\.", -1)
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: shard(F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    asked = parts.select("host", "path").distinct().select(
+        F.explode(F.array_distinct(above)).alias("shard"), F.pmod(F.xxhash64("host", "path"), F.lit(deals)).cast("int").alias("deal"), F.lit(1).alias("kind"), "host", "path", F.lit(None).cast("string").alias("verdict")
     )
+    met = own.unionByName(asked).repartition("shard", "deal").sortWithinPartitions("shard", "deal", "kind")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, trie, gathered = None, None, []
+        for batch in batches:
+            found = []
+            for at, deal, kind, h, p, verdict in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (at, deal) != owner:
+                    owner, trie, gathered = (at, deal), None, []
+                if kind == 0:
+                    gathered.append(Rule(verdict, h, p))
+                    continue
+                if trie is None:
+                    trie, gathered = RuleTrie(gathered), []
+                if (rule := trie.match(h, p)) is not None:
+                    found.append((h, p, rule.text, rule.verdict, len(rule.host)))
+            if found:
+                kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=["host", "path", "rule", "verdict", "of_host"])
+
+    found = met.mapInArrow(judge, "host string, path string, rule string, verdict string, of_host int")
+    best = found.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "of_host", "verdict")).alias("best"))
     return parts.join(best, ["host", "path"], "left").select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
