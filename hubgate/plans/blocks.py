@@ -1,14 +1,11 @@
 """All-pairs passes in blocks: one matrix product per block pair, only top lists and sums leave a task.
 
-Two physical plans give the same rows:
-
-* the query side is broadcast if its bytes are at most ``broadcast_bytes``: gallery rows stream past it where they
-  are read, no gallery row is shuffled, and statistics per gallery item are complete in one task;
-* otherwise both sides are dealt to blocks, every block meets every block of the other side once, and partial
-  results are merged by grouped aggregates.
-
-The matrix of all similarities never exists; output is (queries + gallery) x k x blocks at most, but for ``all_pairs``,
-whose rows are the pairs.
+Queries are broadcast and gallery rows stream past them where they are read, so no gallery row is shuffled. A query
+side of more than ``broadcast_bytes`` (as counted) is dealt to parts of that size; the gallery is read once for each,
+and the parts' results are merged by grouped aggregates. A task keeps one running top list per query and emits it
+when it ends, so (queries x k) rows leave a task however many gallery rows it reads; parts are small enough for the
+lists to fit in ``state_bytes``. The matrix of all similarities never exists, but for ``all_pairs``, whose rows are
+the pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +17,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[2])
@@ -38,11 +35,13 @@ def prepare(spark: SparkSession) -> None:
 
 @dataclass(frozen=True)
 class Blocks:
-    """Rows of a block and the largest broadcast of queries."""
+    """Rows of a block, the largest broadcast of queries and the largest state of a task. A part has at least one
+    block of queries."""
 
     queries: int = 4096
     gallery: int = 4096
     broadcast_bytes: int = 128 << 20
+    state_bytes: int = 128 << 20
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -54,32 +53,47 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1) if n else np.zeros((0, 0))
 
 
-Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict], Iterator[pa.RecordBatch]]
+class Kernel:
+    """What a task does with the pairs it sees: ``add`` gets a block of queries (``at``: their place in the part) and
+    one of gallery rows, ``finish`` is called when all have been seen."""
+
+    def add(self, at: int, qids: np.ndarray, left: np.ndarray, cids: np.ndarray, right: np.ndarray, extras: dict) -> Iterator[pa.RecordBatch]:
+        yield from ()
+
+    def finish(self, qids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield from ()
 
 
-def pass_over_pairs(q: DataFrame, g: DataFrame, extra: list[str], kernel: Kernel, schema: str, blocks: Blocks) -> DataFrame:
-    """Run ``kernel(qids, Q, cids, G, extras)`` over blocks that together hold every pair once.
+def pass_over_pairs(q: DataFrame, g: DataFrame, extra: list[str], make: Callable[[int], Kernel], schema: str, blocks: Blocks, state: int = 0) -> DataFrame:
+    """Run the kernel that ``make`` gives for a number of queries over blocks that together hold every pair once.
 
     ``q`` has qid and v, ``g`` has cid, v and the ``extra`` columns, which the kernel gets as arrays. Ids are longs.
+    ``state`` is what the kernel keeps for a query, in bytes.
     """
     spark = q.sparkSession
     prepare(spark)
     n, width = q.agg(F.count("*"), F.max(F.size("v"))).first()
-    if 8 * n * (width or 1) <= blocks.broadcast_bytes:
-        rows = q.select("qid", "v").orderBy("qid").toArrow()
+    most = max(blocks.queries, blocks.broadcast_bytes // (8 * (width or 1)))
+    parts = -(-n // max(1, min(most, blocks.state_bytes // max(state, 1))))
+    own = q.select("qid", "v", F.pmod(F.xxhash64("qid"), F.lit(max(parts, 1))).alias("part"))
+    out = None
+    for part in range(parts):
+        rows = own.filter(F.col("part") == part).select("qid", "v").orderBy("qid").toArrow()
+        if not rows.num_rows:
+            continue
         shared = spark.sparkContext.broadcast((rows.column("qid").to_numpy(), matrix(rows.column("v"))))
 
-        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def stream(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qids, left = shared.value
+            kernel = make(len(qids))
             held: list[pa.RecordBatch] = []
 
             def flush() -> Iterator[pa.RecordBatch]:
                 t = pa.Table.from_batches(held).combine_chunks()
-                order = np.argsort(t.column("cid").to_numpy(), kind="stable")
-                t = t.take(pa.array(order))
-                for at in range(0, max(len(qids), 1), blocks.queries):
-                    if len(qids):
-                        yield from kernel(qids[at : at + blocks.queries], left[at : at + blocks.queries], t.column("cid").to_numpy(), matrix(t.column("v")), {c: t.column(c).to_numpy() for c in extra})
+                t = t.take(pa.array(np.argsort(t.column("cid").to_numpy(), kind="stable")))
+                cids, right, extras = t.column("cid").to_numpy(), matrix(t.column("v")), {c: t.column(c).to_numpy() for c in extra}
+                for at in range(0, len(qids), blocks.queries):
+                    yield from kernel.add(at, qids[at : at + blocks.queries], left[at : at + blocks.queries], cids, right, extras)
 
             for batch in batches:
                 for at in range(0, batch.num_rows, blocks.gallery):
@@ -89,36 +103,11 @@ def pass_over_pairs(q: DataFrame, g: DataFrame, extra: list[str], kernel: Kernel
                         held.clear()
             if held:
                 yield from flush()
+            yield from kernel.finish(qids)
 
-        return g.select("cid", "v", *extra).mapInArrow(stream, schema)
-    m = g.count()
-    nq, ng = max(1, -(-n // blocks.queries)), max(1, -(-m // blocks.gallery))
-    block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = q.select("qid", "v", block("qid", nq).alias("__qb")).withColumn("__gb", every(ng))
-    right = g.select("cid", "v", *extra, block("cid", ng).alias("__gb")).withColumn("__qb", every(nq))
-
-    def meet(key: tuple, a: pa.Table, b: pa.Table) -> Iterator[pa.RecordBatch]:
-        if a.num_rows and b.num_rows:
-            a, b = a.sort_by("qid"), b.sort_by("cid")
-            yield from kernel(a.column("qid").to_numpy(), matrix(a.column("v")), b.column("cid").to_numpy(), matrix(b.column("v")), {c: b.column(c).to_numpy() for c in extra})
-
-    def meet_table(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        parts = list(meet(key, a, b))
-        return pa.Table.from_batches(parts) if parts else pa.table({})
-
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
-
-    def whole(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        t = meet_table(key, a, b)
-        return t if t.num_columns else _empty(schema, names)
-
-    return left.groupBy("__qb", "__gb").cogroup(right.groupBy("__qb", "__gb")).applyInArrow(whole, schema)
-
-
-def _empty(schema: str, names: list[str]) -> pa.Table:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
-    return pa.table({n: pa.array([], kinds[part.strip().split(" ")[1]]) for n, part in zip(names, schema.split(","), strict=True)})
+        found = g.select("cid", "v", *extra).mapInArrow(stream, schema)
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def top_rows(scores: np.ndarray, ties: np.ndarray | None, k: int) -> np.ndarray:
@@ -140,16 +129,47 @@ def top_rows(scores: np.ndarray, ties: np.ndarray | None, k: int) -> np.ndarray:
     return col[first[:, None] + np.arange(k)[None, :]]
 
 
+class RunningTop:
+    """The k best gallery items of every query so far: by score, then by the similarity, then the smaller id."""
+
+    NONE = np.iinfo(np.int64).max
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.score, self.s, self.cid = np.full((n, k), -np.inf), np.full((n, k), -np.inf), np.full((n, k), self.NONE)
+
+    def add(self, at: int, score: np.ndarray, s: np.ndarray, cids: np.ndarray) -> None:
+        top = top_rows(score, None if score is s else s, self.k)
+        own = slice(at, at + len(score))
+        new = np.take_along_axis(score, top, 1), np.take_along_axis(s, top, 1), cids[top]
+        both = [np.concatenate([x[own], y], axis=1) for x, y in zip((self.score, self.s, self.cid), new, strict=True)]
+        order = np.lexsort((both[2], -both[1], -both[0]), axis=-1)[:, : self.k]
+        self.score[own], self.s[own], self.cid[own] = (np.take_along_axis(x, order, 1) for x in both)
+
+    def rows(self, qids: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """qid, cid, s and score of what was found, in pieces."""
+        for at in range(0, len(qids), step := max(1, _PAIR_ROWS // self.k)):
+            row, col = np.nonzero(self.cid[at : at + step] != self.NONE)
+            yield qids[at + row], self.cid[at + row, col], self.s[at + row, col], self.score[at + row, col]
+
+
 def shortlist(q: DataFrame, g: DataFrame, k: int, blocks: Blocks | None = None) -> DataFrame:
-    """``qid, cid, s`` of the k most similar gallery items per block; ``best`` merges them."""
+    """``qid, cid, s`` of the k most similar gallery items per task; ``best`` merges them."""
 
-    def kernel(qids, left, cids, right, extras):
-        s = left @ right.T
-        top = top_rows(s, None, k)
-        rows = np.repeat(np.arange(len(qids)), top.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(qids[rows]), pa.array(cids[top.reshape(-1)]), pa.array(s[rows, top.reshape(-1)])], names=["qid", "cid", "s"])
+    class Lists(Kernel):
+        def __init__(self, n: int):
+            self.top = RunningTop(n, k)
 
-    return pass_over_pairs(q, g, [], kernel, "qid long, cid long, s double", blocks or Blocks())
+        def add(self, at, qids, left, cids, right, extras):
+            s = left @ right.T
+            self.top.add(at, s, s, cids)
+            yield from ()
+
+        def finish(self, qids):
+            for qid, cid, s, _ in self.top.rows(qids):
+                yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(cid), pa.array(s)], names=["qid", "cid", "s"])
+
+    return pass_over_pairs(q, g, [], Lists, "qid long, cid long, s double", blocks or Blocks(), 24 * k)
 
 
 def all_pairs(q: DataFrame, g: DataFrame, blocks: Blocks | None = None) -> DataFrame:
@@ -157,33 +177,41 @@ def all_pairs(q: DataFrame, g: DataFrame, blocks: Blocks | None = None) -> DataF
 
     Blocks are smaller by default, as all of a block pair's similarities leave the task."""
 
-    def kernel(qids, left, cids, right, extras):
-        s = left @ right.T
-        step = max(1, _PAIR_ROWS // max(1, len(cids)))
-        for at in range(0, len(qids), step):
-            own = qids[at : at + step]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, len(cids))), pa.array(np.tile(cids, len(own))), pa.array(s[at : at + step].reshape(-1))], names=["qid", "cid", "s"])
+    class Pairs(Kernel):
+        def __init__(self, n: int):
+            pass
+
+        def add(self, at, qids, left, cids, right, extras):
+            s = left @ right.T
+            step = max(1, _PAIR_ROWS // max(1, len(cids)))
+            for i in range(0, len(qids), step):
+                own = qids[i : i + step]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, len(cids))), pa.array(np.tile(cids, len(own))), pa.array(s[i : i + step].reshape(-1))], names=["qid", "cid", "s"])
 
-    return pass_over_pairs(q, g, [], kernel, "qid long, cid long, s double", blocks or Blocks(1024, 1024))
+    return pass_over_pairs(q, g, [], Pairs, "qid long, cid long, s double", blocks or Blocks(1024, 1024))
 
 
 def gallery_statistics(q: DataFrame, g: DataFrame, ks: tuple[int, ...], taus: tuple[float, ...], blocks: Blocks | None = None) -> tuple[DataFrame, DataFrame]:
     """Per gallery item: ``cid, k, mean`` over its k most similar queries, and ``cid, tau, lse`` = log sum exp(tau s)."""
     most, taus = max(ks), tuple(sorted(set(taus)))
+    names = ["cid", "tau", "peak", "total", "s"]
 
-    def kernel(qids, left, cids, right, extras):
-        s = right @ left.T
-        k = min(most, s.shape[1])
-        top = -np.sort(-np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k :], axis=1)
-        for tau in taus:
-            peak = s.max(axis=1)
-            total = np.exp(tau * (s - peak[:, None])).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(cids), pa.array(np.full(len(cids), tau)), pa.array(tau * peak), pa.array(total), pa.array([None] * len(cids), pa.float64())], names=["cid", "tau", "peak", "total", "s"])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cids, k)), pa.array([None] * (k * len(cids)), pa.float64()), pa.array([None] * (k * len(cids)), pa.float64()), pa.array([None] * (k * len(cids)), pa.float64()), pa.array(top.reshape(-1))], names=["cid", "tau", "peak", "total", "s"])
+    class Statistics(Kernel):
+        def __init__(self, n: int):
+            pass
 
-    partial = pass_over_pairs(q, g, [], kernel, "cid long, tau double, peak double, total double, s double", blocks or Blocks()).persist()
-    from pyspark.sql import Window
+        def add(self, at, qids, left, cids, right, extras):
+            s = right @ left.T
+            k, none = min(most, s.shape[1]), lambda n: pa.nulls(n, pa.float64())
+            top = -np.sort(-np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k :], axis=1)
+            peak = s.max(axis=1)
+            for tau in taus:
+                total = np.exp(tau * (s - peak[:, None])).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(cids), pa.array(np.full(len(cids), tau)), pa.array(tau * peak), pa.array(total), none(len(cids))], names=names)
+            n = k * len(cids)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cids, k)), none(n), none(n), none(n), pa.array(top.reshape(-1))], names=names)
 
+    partial = pass_over_pairs(q, g, [], Statistics, "cid long, tau double, peak double, total double, s double", blocks or Blocks()).persist()
     ranked = partial.filter("s is not null").withColumn("rank", F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("s")))).filter(F.col("rank") <= most)
     means = ranked.groupBy("cid").agg(*[F.avg(F.when(F.col("rank") <= k, F.col("s"))).alias(f"mean_{k}") for k in sorted(set(ks))])
     peaks = partial.filter("tau is not null").groupBy("cid", "tau").agg(F.max("peak").alias("top"), F.collect_list(F.struct("peak", "total")).alias("parts"))
@@ -192,20 +220,26 @@ def gallery_statistics(q: DataFrame, g: DataFrame, ks: tuple[int, ...], taus: tu
 
 
 def reranked(q: DataFrame, g: DataFrame, methods: list[tuple[str, str, float | None]], k: int, blocks: Blocks | None = None) -> DataFrame:
-    """``method, qid, cid, s, score`` of the k best per block by each method's score.
+    """``method, qid, cid, s, score`` of the k best per task by each method's score.
 
     ``methods`` are (name, column of ``g`` with its penalty, temperature of the log form or None). Equal scores go to
     the larger similarity, then to the smaller id.
     """
-    columns = sorted({c for _, c, _ in methods})
-
-    def kernel(qids, left, cids, right, extras):
-        s = left @ right.T
-        for name, column, tau in methods:
-            psi = extras[column][None, :]
-            score = s - psi if tau is None else np.log(np.maximum(s, 1e-12)) + tau * (s - psi)
-            top = top_rows(score, s, k)
-            rows, cols = np.repeat(np.arange(len(qids)), top.shape[1]), top.reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(qids[rows]), pa.array(cids[cols]), pa.array(s[rows, cols]), pa.array(score[rows, cols])], names=["method", "qid", "cid", "s", "score"])
-
-    return pass_over_pairs(q, g, columns, kernel, "method string, qid long, cid long, s double, score double", blocks or Blocks())
+
+    class Lists(Kernel):
+        def __init__(self, n: int):
+            self.top = [RunningTop(n, k) for _ in methods]
+
+        def add(self, at, qids, left, cids, right, extras):
+            s = left @ right.T
+            for (_, column, tau), top in zip(methods, self.top, strict=True):
+                psi = extras[column][None, :]
+                top.add(at, s - psi if tau is None else np.log(np.maximum(s, 1e-12)) + tau * (s - psi), s, cids)
+            yield from ()
+
+        def finish(self, qids):
+            for (name, _, _), top in zip(methods, self.top, strict=True):
+                for qid, cid, s, score in top.rows(qids):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(qid), pa.string()), pa.array(qid), pa.array(cid), pa.array(s), pa.array(score)], names=["method", "qid", "cid", "s", "score"])
+
+    return pass_over_pairs(q, g, sorted({c for _, c, _ in methods}), Lists, "method string, qid long, cid long, s double, score double", blocks or Blocks(), 24 * k * len(methods))
