@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .pairs import Truth, truth_of
+
 #: Margin buckets: lower bound, upper bound (None: open), label.
 MARGIN_BUCKETS = ((0.0, 0.01, "[0, 0.01)"), (0.01, 0.03, "[0.01, 0.03)"), (0.03, 0.05, "[0.03, 0.05)"), (0.05, None, "[0.05, inf)"))
 
@@ -138,10 +140,11 @@ def rescaled_slack(df: DataFrame, margin: str, b: str, keys: Sequence[str]) -> D
     return df.join(F.broadcast(medians), list(keys)).withColumn("rescaled", F.col(margin) / F.col("mm") - F.col(b) / F.col("mb")).drop("mm", "mb")
 
 
-def rank_quality(ranked: DataFrame, matches: DataFrame, k: int, keys: Sequence[str] = ()) -> DataFrame:
+def rank_quality(ranked: DataFrame, matches: DataFrame | Truth, k: int, keys: Sequence[str] = ()) -> DataFrame:
     """MRR@k and nDCG@k (binary) of ranked lists ``keys, qid, rank, cid`` for queries with a match."""
-    hit = ranked.filter(F.col("rank") <= k).join(matches.withColumn("hit", F.lit(1)), ["qid", "cid"], "left")
-    per = hit.groupBy(*keys, "qid").agg(F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"), F.sum(F.when(F.col("hit") == 1, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"))
-    ideal = matches.groupBy("qid").agg(F.least(F.count("*"), F.lit(k)).alias("n"))
+    truth = truth_of(matches)
+    hit = truth.with_hit(ranked.filter(F.col("rank") <= k), "cid", "hit")
+    per = hit.groupBy(*keys, "qid").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"), F.sum(F.when(F.col("hit"), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"))
+    ideal = truth.sizes().select("qid", F.least("n", F.lit(k)).alias("n"))
     ideal = ideal.select("qid", F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1)).alias("idcg"))
     return per.join(ideal, "qid").select(*keys, "qid", F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"), (F.col("dcg") / F.col("idcg")).alias("ndcg"))

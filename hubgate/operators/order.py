@@ -47,8 +47,8 @@ def order_certificates(retrieval, k: int) -> DataFrame:
 
 def rank_drift(retrieval, k: int) -> DataFrame:
     """Per method and query with a match: MRR and nDCG of the cosine and the reranked list, and their differences."""
-    cosine = rank_quality(retrieval.shortlist, retrieval.matches, k).withColumnsRenamed({"mrr": "mrr_cosine", "ndcg": "ndcg_cosine"})
-    again = rank_quality(retrieval.rerank_list, retrieval.matches, k, ["method"]).withColumnsRenamed({"mrr": "mrr_rerank", "ndcg": "ndcg_rerank"})
+    cosine = rank_quality(retrieval.shortlist, retrieval.truth, k).withColumnsRenamed({"mrr": "mrr_cosine", "ndcg": "ndcg_cosine"})
+    again = rank_quality(retrieval.rerank_list, retrieval.truth, k, ["method"]).withColumnsRenamed({"mrr": "mrr_rerank", "ndcg": "ndcg_rerank"})
     d = again.join(cosine, "qid")
     return d.withColumn("mrr_drift", F.abs(F.col("mrr_cosine") - F.col("mrr_rerank"))).withColumn("ndcg_drift", F.abs(F.col("ndcg_cosine") - F.col("ndcg_rerank")))
 

@@ -8,9 +8,44 @@ from pyspark.sql import functions as F
 from ..functions.text import strip_caption_suffix
 
 
-def matches_by_label(q: DataFrame, g: DataFrame) -> DataFrame:
-    """Ground truth ``qid, cid`` where labels are equal."""
-    return q.select("qid", "ql").join(g.select("cid", "gl"), F.col("ql") == F.col("gl")).select("qid", "cid")
+class Truth:
+    """Ground truth by keys: a query (``qid, key``, one key each) matches every item (``cid, key``) that has its key.
+
+    Keys of the items in question are compared and items are counted by key, so the pairs are never a table: ten labels
+    would make a tenth of all pairs.
+    """
+
+    def __init__(self, q_keys: DataFrame, g_keys: DataFrame):
+        self.q_keys = q_keys.toDF("qid", "key").filter("key is not null")
+        self.g_keys = g_keys.toDF("cid", "key").filter("key is not null").distinct()
+
+    @classmethod
+    def by_label(cls, q: DataFrame, g: DataFrame) -> Truth:
+        return cls(q.select("qid", "ql"), g.select("cid", "gl"))
+
+    @classmethod
+    def of_pairs(cls, matches: DataFrame) -> Truth:
+        """From pairs (query, item), of which a query has few."""
+        qid, cid = matches.columns[:2]
+        return cls(matches.select(qid, F.col(qid).alias("key")).distinct(), matches.select(cid, qid))
+
+    def with_hit(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        """``df`` (with qid) and whether the item in ``column`` matches the query."""
+        held = self.g_keys.select(F.col("cid").alias(column), F.col("key").alias("__key"), F.lit(True).alias(name))
+        asked = df.join(self.q_keys.withColumnRenamed("key", "__key"), "qid", "left")
+        return asked.join(held, [column, "__key"], "left").drop("__key").withColumn(name, F.coalesce(name, F.lit(False)))
+
+    def sizes(self) -> DataFrame:
+        """``qid, n``: the number of matches of the queries that have any."""
+        return self.q_keys.join(self.g_keys.groupBy("key").agg(F.count("*").alias("n")), "key").select("qid", "n")
+
+    def first(self) -> DataFrame:
+        """``qid, gt``: the smallest matching item."""
+        return self.q_keys.join(self.g_keys.groupBy("key").agg(F.min("cid").alias("gt")), "key").select("qid", "gt")
+
+
+def truth_of(matches: DataFrame | Truth) -> Truth:
+    return matches if isinstance(matches, Truth) else Truth.of_pairs(matches)
 
 
 def matches_to_captions(q: DataFrame, g: DataFrame) -> DataFrame:
@@ -27,10 +62,9 @@ def matches_to_images(q: DataFrame, g: DataFrame, last_only: bool = True) -> Dat
     return found.groupBy("qid").agg(F.max("cidx").alias("cidx")) if last_only else found.select("qid", "cidx")
 
 
-def first_match(q: DataFrame, matches: DataFrame) -> DataFrame:
+def first_match(q: DataFrame, matches: DataFrame | Truth) -> DataFrame:
     """``qid, gt``: the smallest matching position, -1 where there is none."""
-    least = matches.groupBy("qid").agg(F.min(matches.columns[1]).alias("gt"))
-    return q.select("qid").join(least, "qid", "left").select("qid", F.coalesce("gt", F.lit(-1)).cast("long").alias("gt"))
+    return q.select("qid").join(truth_of(matches).first(), "qid", "left").select("qid", F.coalesce("gt", F.lit(-1)).cast("long").alias("gt"))
 
 
 def first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:

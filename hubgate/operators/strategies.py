@@ -19,13 +19,11 @@ STRATEGIES = {
 
 
 def run_strategy(retrieval, name: str) -> DataFrame:
-    """``strategy, method, qid, top1, skipped`` and what metrics need of each query."""
+    """``strategy, method, qid, top1, skipped``, executed: reranking runs for the queries that are not skipped, and for
+    those alone."""
     kind, scope, strict = STRATEGIES[name]
-    skipped = retrieval.certified(kind, retrieval.params.strict and strict)
-    hit = F.when(F.col("skipped"), F.col("hit_cos")).otherwise(F.col(f"hit_{scope}"))
-    top1 = F.when(F.col("skipped"), F.col("c1")).otherwise(F.col(scope))
-    d = retrieval.decisions.withColumn("skipped", skipped)
-    return d.select(F.lit(name).alias("strategy"), "method", "qid", top1.alias("top1"), "skipped", hit.alias("hit"), "has_gt", "full", "pool", "hit_full", "hit_pool", "hit_cos")
+    done = retrieval.gated(kind, scope=scope, strict=retrieval.params.strict and strict)
+    return done.select(F.lit(name).alias("strategy"), "method", "qid", "top1", "skipped")
 
 
 def strategy_table(retrieval) -> DataFrame:
@@ -34,6 +32,7 @@ def strategy_table(retrieval) -> DataFrame:
     for name in STRATEGIES:
         one = run_strategy(retrieval, name)
         rows = one if rows is None else rows.unionByName(one)
+    rows = retrieval.truth.with_hit(rows, "top1", "hit").join(retrieval.decisions.select("method", "qid", "has_gt", "full", "pool", "hit_full", "hit_pool"), ["method", "qid"])
     pct = lambda c: 100 * F.avg(c.cast("double"))
     on_gt = lambda c: F.coalesce(F.avg(F.when(F.col("has_gt"), F.col(c).cast("double"))), F.lit(0.0))
     return rows.groupBy("strategy", "method").agg(

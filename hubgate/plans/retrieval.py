@@ -16,6 +16,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.pairs import Truth, truth_of
 from . import blocks
 
 METHODS = ("CSLS", "QB-Norm", "DB-Norm", "NNN")
@@ -38,11 +39,23 @@ class Params:
 
 
 class Retrieval:
-    """``q`` has qid (long) and v, ``g`` has cid (long) and v; ``matches`` is the ground truth (qid, cid)."""
+    """``q`` has qid (long) and v, ``g`` has cid (long) and v; ``matches`` is the ground truth, pairs (qid, cid) or by
+    keys."""
 
-    def __init__(self, q: DataFrame, g: DataFrame, matches: DataFrame, params: Params = Params(), sizes: blocks.Blocks = blocks.Blocks()):
+    def __init__(self, q: DataFrame, g: DataFrame, matches: DataFrame | Truth, params: Params = Params(), sizes: blocks.Blocks = blocks.Blocks()):
         self.q, self.g, self.params, self.sizes = q.select("qid", "v"), g.select("cid", "v"), params, sizes
-        self.matches = matches.select("qid", "cid").distinct()
+        self.truth = truth_of(matches)
+        self._kept: list[DataFrame] = []
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self._kept.append(df.persist())
+        return df
+
+    def release(self) -> None:
+        """Give the memory of all shared intermediates back."""
+        for df in self._kept:
+            df.unpersist()
+        self._kept.clear()
 
     @cached_property
     def n_gallery(self) -> int:
@@ -55,7 +68,7 @@ class Retrieval:
         means, lse = blocks.gallery_statistics(self.q, self.g, (p.csls_k, p.nnn_k), (p.qb_tau, p.db_tau), self.sizes)
         by_tau = lambda tau: F.max(F.when(F.col("tau") == tau, F.col("lse"))) / tau
         sums = lse.groupBy("cid").agg(by_tau(p.qb_tau).alias("qb"), by_tau(p.db_tau).alias("db"))
-        return means.join(sums, "cid").select("cid", (F.col(f"mean_{p.csls_k}") / 2).alias("csls"), "qb", "db", (p.nnn_w * F.col(f"mean_{p.nnn_k}")).alias("nnn")).persist()
+        return self._keep(means.join(sums, "cid").select("cid", (F.col(f"mean_{p.csls_k}") / 2).alias("csls"), "qb", "db", (p.nnn_w * F.col(f"mean_{p.nnn_k}")).alias("nnn")))
 
     @cached_property
     def psi(self) -> DataFrame:
@@ -73,7 +86,7 @@ class Retrieval:
         k = min(max(self.params.local_k, self.params.pool_k, self.params.rerank_k) + 1, self.n_gallery)
         w = Window.partitionBy("qid").orderBy(F.desc("s"), "cid")
         found = blocks.shortlist(self.q, self.g, k, self.sizes)
-        return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("qid", "rank", "cid", "s").persist()
+        return self._keep(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("qid", "rank", "cid", "s"))
 
     @cached_property
     def top(self) -> DataFrame:
@@ -84,7 +97,7 @@ class Retrieval:
     @cached_property
     def scored_shortlist(self) -> DataFrame:
         """``method, qid, rank, cid, s, psi`` of the shortlist."""
-        return self.shortlist.join(self.psi, "cid").select("method", "qid", "rank", "cid", "s", "psi").persist()
+        return self._keep(self.shortlist.join(self.psi, "cid").select("method", "qid", "rank", "cid", "s", "psi"))
 
     @cached_property
     def certificates(self) -> DataFrame:
@@ -100,10 +113,10 @@ class Retrieval:
         with_min = grouped.join(F.broadcast(self.psi_min), "method")
         margin = F.col("s1") - F.col("s2")
         b_global, b_local = F.col("psi1") - F.col("psi_min"), F.col("psi1") - F.col("psi_local")
-        return with_min.select(
+        return self._keep(with_min.select(
             "method", "qid", "c1", "psi1", margin.alias("margin"), b_global.alias("b_global"), (margin - b_global).alias("slack_global"), b_local.alias("b_local"), (margin - b_local).alias("slack_local"),
             ((F.col("psi1") - F.col("s1")) - F.col("least")).alias("max_term"),
-        ).persist()
+        ))
 
     def certified(self, kind: str, strict: bool | None = None):
         """Condition on ``certificates`` under which reranking is skipped."""
@@ -121,15 +134,20 @@ class Retrieval:
     def _method_list(self) -> list[tuple[str, str, float | None]]:
         return [("CSLS", "csls", None), ("QB-Norm", "qb", None), ("DB-Norm", "db", self.params.db_tau), ("NNN", "nnn", None)]
 
+    @cached_property
+    def scored_gallery(self) -> DataFrame:
+        """The gallery with its penalties; every second pass reads it."""
+        return self._keep(self.g.join(self.psi_wide, "cid"))
+
     def best(self, q: DataFrame, methods: list[tuple[str, str, float | None]], k: int) -> DataFrame:
         """``method, qid, rank, cid, s, score`` by method score over the whole gallery."""
         w = Window.partitionBy("method", "qid").orderBy(F.desc("score"), F.desc("s"), "cid")
-        found = blocks.reranked(q, self.g.join(self.psi_wide, "cid"), methods, k, self.sizes)
+        found = blocks.reranked(q, self.scored_gallery, methods, k, self.sizes)
         return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("method", "qid", "rank", "cid", "s", "score")
 
     @cached_property
     def rerank_list(self) -> DataFrame:
-        return self.best(self.q, self._method_list(), min(self.params.rerank_k, self.n_gallery)).persist()
+        return self._keep(self.best(self.q, self._method_list(), min(self.params.rerank_k, self.n_gallery)))
 
     @cached_property
     def full_top(self) -> DataFrame:
@@ -139,7 +157,10 @@ class Retrieval:
     @cached_property
     def pool_top(self) -> DataFrame:
         """``method, qid, pool``: reranked top-1 within the cosine pool."""
-        own = self.scored_shortlist.filter(F.col("rank") <= self.params.pool_k)
+        return self._best_of_pool(self.scored_shortlist)
+
+    def _best_of_pool(self, scored: DataFrame) -> DataFrame:
+        own = scored.filter(F.col("rank") <= self.params.pool_k)
         w = Window.partitionBy("method", "qid").orderBy(F.desc(self.score()), F.desc("s"), "cid")
         return own.withColumn("r", F.row_number().over(w)).filter("r = 1").select("method", "qid", F.col("cid").alias("pool"))
 
@@ -148,13 +169,20 @@ class Retrieval:
         plain = F.col("s") - F.col("psi")
         return F.when(F.col("method") == "DB-Norm", F.ln(F.greatest("s", F.lit(1e-12))) + self.params.db_tau * plain).otherwise(plain)
 
-    def gated(self, kind: str, methods: tuple[str, ...] = METHODS) -> DataFrame:
-        """``method, qid, top1, skipped`` where the second pass runs only over queries that are not certified."""
-        flagged = self.certificates.filter(F.col("method").isin(*methods)).select("method", "qid", "c1", self.certified(kind).alias("skipped")).persist()
+    def gated(self, kind: str, methods: tuple[str, ...] = METHODS, scope: str = "full", strict: bool | None = None) -> DataFrame:
+        """``method, qid, top1, skipped`` where reranking, over the whole gallery or the cosine pool, runs only over
+        queries that are not certified."""
+        flagged = self.certificates.filter(F.col("method").isin(*methods)).select("method", "qid", "c1", self.certified(kind, strict).alias("skipped"))
         out = flagged.filter("skipped").select("method", "qid", F.col("c1").alias("top1"), "skipped")
-        for m in (x for x in self._method_list() if x[0] in methods):
-            rest = flagged.filter(~F.col("skipped") & (F.col("method") == m[0])).select("qid")
-            found = self.best(self.q.join(rest, "qid", "left_semi"), [m], 1)
+        rest = self._keep(flagged.filter(~F.col("skipped")).select("method", "qid"))
+        if scope == "pool":
+            done = self._best_of_pool(self.scored_shortlist.join(rest, ["method", "qid"], "left_semi")).withColumnRenamed("pool", "top1")
+            return out.unionByName(done.withColumn("skipped", F.lit(False)))
+        own = [m for m in self._method_list() if m[0] in methods]
+        # without a certificate all methods have the same queries, so they share one pass
+        for some in [own] if kind == "never" else [[m] for m in own]:
+            asked = rest.filter(F.col("method") == some[0][0]).select("qid")
+            found = self.best(self.q.join(asked, "qid", "left_semi"), some, 1)
             out = out.unionByName(found.select("method", "qid", F.col("cid").alias("top1"), F.lit(False).alias("skipped")))
         return out
 
@@ -163,25 +191,32 @@ class Retrieval:
         """Everything per method and query: certificates, their flags, and cosine, full and pool top-1 with hits."""
         flags = [self.certified(k).alias(f"cert_{k}") for k in ("global", "local", "maxform", "naive")]
         out = self.certificates.select("*", *flags).join(self.full_top, ["method", "qid"]).join(self.pool_top, ["method", "qid"])
-        has = self.matches.select("qid").distinct().withColumn("has_gt", F.lit(True))
+        has = self.truth.sizes().select("qid", F.lit(True).alias("has_gt"))
         out = out.join(has, "qid", "left").withColumn("has_gt", F.coalesce("has_gt", F.lit(False)))
         for name, column in (("hit_cos", "c1"), ("hit_full", "full"), ("hit_pool", "pool")):
-            hit = self.matches.select("qid", F.col("cid").alias(column), F.lit(True).alias(name))
-            out = out.join(hit, ["qid", column], "left").withColumn(name, F.coalesce(name, F.lit(False)))
-        return out.persist()
+            out = self.truth.with_hit(out, column, name)
+        return self._keep(out)
 
 
 _known: dict[tuple[str, str], Retrieval] = {}
 
 
+def forget() -> None:
+    """Give back what the queries of a session share, so that the next one computes it again."""
+    for known in _known.values():
+        known.release()
+    _known.clear()
+
+
 def demo(spark, sf_dir: str) -> Retrieval:
     """The analysis of the ``embeddings`` table; intermediates are shared by all queries of a session."""
-    from ..operators.pairs import matches_by_label
     from ..sources.bank import demo_pair
 
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _known:
-        q, g = demo_pair(spark, sf_dir)
+        if all(app == key[0] for app, _ in _known):
+            forget()
         _known.clear()
-        _known[key] = Retrieval(q, g, matches_by_label(q, g))
+        q, g = demo_pair(spark, sf_dir)
+        _known[key] = Retrieval(q, g, Truth.by_label(q, g))
     return _known[key]

@@ -152,13 +152,13 @@ def jn4_match_images(spark, sf_dir):
 @register("jn5_has_match", sql("SELECT qid FROM q WHERE EXISTS (SELECT 1 FROM gt WHERE gt.qid = q.qid)"))
 def jn5_has_match(spark, sf_dir):
     r = demo(spark, sf_dir)
-    return r.q.select("qid").join(r.matches, "qid", "left_semi")
+    return r.q.select("qid").join(r.truth.sizes(), "qid", "left_semi")
 
 
 @register("jn6_top1_hits", sql("SELECT qid, c1 FROM top WHERE (qid, c1) IN (SELECT (qid, cid) FROM gt)"))
 def jn6_top1_hits(spark, sf_dir):
     r = demo(spark, sf_dir)
-    return r.top.select("qid", "c1").join(r.matches.withColumnRenamed("cid", "c1"), ["qid", "c1"], "left_semi")
+    return r.truth.with_hit(r.top.select("qid", "c1"), "c1", "hit").filter("hit").select("qid", "c1")
 
 
 @register("jn7_psi_gather", sql("SELECT method, qid, rn::INT AS rank, cid, round(psi, 6) AS psi FROM sl"))
@@ -231,7 +231,7 @@ def top7_gated_pool(spark, sf_dir):
 
 @register("top8_block_merge", sql("SELECT qid, rn::INT AS rank, cid, round(s, 6) AS s FROM r WHERE rn <= 5"))
 def top8_block_merge(spark, sf_dir):
-    """The shortlist by the plan for two large sides, in small blocks."""
+    """The shortlist by the plan for a query side beyond the broadcast bound, in small blocks and parts."""
     from .blocks import Blocks, shortlist
 
     r = demo(spark, sf_dir)
@@ -370,7 +370,7 @@ def met5_margin_buckets(spark, sf_dir):
 @register("viz6_localization_grid", sql(_BUCKETS.format(f="(\"full\" = gt)::INT", c="(c1 = gt)::INT"), _SPINE))
 def met6_localization_first_match(spark, sf_dir):
     r = demo(spark, sf_dir)
-    d = r.decisions.join(pairs.first_match(r.q, r.matches), "qid")
+    d = r.decisions.join(pairs.first_match(r.q, r.truth), "qid")
     d = d.withColumn("first_cos", F.col("c1") == F.col("gt")).withColumn("first_full", F.col("full") == F.col("gt"))
     return rounded(metrics.margin_buckets(d, "cert_global", "first_cos", "first_full"))
 
@@ -378,7 +378,7 @@ def met6_localization_first_match(spark, sf_dir):
 @register("met7_first_match", sql("SELECT q.qid, coalesce(min(cid), -1) AS gt FROM q LEFT JOIN gt USING (qid) GROUP BY q.qid"))
 def met7_first_match(spark, sf_dir):
     r = demo(spark, sf_dir)
-    return pairs.first_match(r.q, r.matches)
+    return pairs.first_match(r.q, r.truth)
 
 
 @register("met8_10_rank_drift", sql("SELECT method, qid, round(mrr_cosine, 6) AS mrr_cosine, round(ndcg_cosine, 6) AS ndcg_cosine, round(mrr_rerank, 6) AS mrr_rerank, round(ndcg_rerank, 6) AS ndcg_rerank, round(mrr_drift, 6) AS mrr_drift, round(ndcg_drift, 6) AS ndcg_drift FROM dr", _at_k(_QUALITY, 10)))
@@ -458,7 +458,7 @@ def viz4_margin_scatter(spark, sf_dir):
 @register("snk2_margin_dump", sql("SELECT method, d.qid, round(margin, 6) AS margin, cert_global AS certified, c1 AS base_top1, \"full\" AS refined_top1, coalesce(f.gt, -1) AS gt FROM d LEFT JOIN (SELECT qid, min(cid) AS gt FROM gt GROUP BY qid) f ON f.qid = d.qid"))
 def snk2_margin_dump(spark, sf_dir):
     r = demo(spark, sf_dir)
-    d = r.decisions.join(pairs.first_match(r.q, r.matches), "qid")
+    d = r.decisions.join(pairs.first_match(r.q, r.truth), "qid")
     return rounded(d.select("method", "qid", "margin", F.col("cert_global").alias("certified"), F.col("c1").alias("base_top1"), F.col("full").alias("refined_top1"), "gt"))
 
 
@@ -641,7 +641,7 @@ def lrn7_gate_evaluation(spark, sf_dir):
 def lrn8_recompute_difference(spark, sf_dir):
     """Stored certificates against the same from a pass of its own, by the plan for two large sides."""
     r = demo(spark, sf_dir)
-    again = retrieval.Retrieval(r.q, r.g, r.matches, r.params, blocks.Blocks(broadcast_bytes=0))
+    again = retrieval.Retrieval(r.q, r.g, r.truth, r.params, blocks.Blocks(queries=256, broadcast_bytes=0))
     near = again.shortlist.filter(F.col("rank") <= r.params.local_k).join(again.psi, "cid")
     at = lambda k, c: F.max(F.when(F.col("rank") == k, F.col(c)))
     own = near.groupBy("method", "qid").agg((at(1, "psi") - F.min("psi")).alias("b_local"), (at(1, "s") - at(2, "s") - at(1, "psi") + F.min("psi")).alias("slack_local"))

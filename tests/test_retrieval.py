@@ -89,7 +89,7 @@ def test_gated_second_pass_gives_the_full_result(cell):
 
 def test_block_plans_agree(spark, cell):
     _, match, r = cell
-    other = Retrieval(r.q, r.g, r.matches, P, blocks.Blocks(7, 9, 0))
+    other = Retrieval(r.q, r.g, r.truth, P, blocks.Blocks(7, 9, 0))
     key = lambda rows: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in row) for row in rows)
     assert key(r.psi_wide.collect()) == key(other.psi_wide.collect())
     assert key(r.shortlist.collect()) == key(other.shortlist.collect())
@@ -142,7 +142,7 @@ def test_rank_quality_matches_python(cell):
         hits = [i for i, c in enumerate(ranked) if c in own]
         dcg = sum(1 / np.log2(i + 2) for i in hits)
         want[q] = (1 / (hits[0] + 1) if hits else 0.0, dcg / sum(1 / np.log2(i + 2) for i in range(min(len(own), 5))))
-    got = {x.qid: (x.mrr, x.ndcg) for x in metrics.rank_quality(r.shortlist, r.matches, 5).collect()}
+    got = {x.qid: (x.mrr, x.ndcg) for x in metrics.rank_quality(r.shortlist, r.truth, 5).collect()}
     assert set(got) == set(want)
     for q in want:
         assert got[q] == pytest.approx(want[q])
