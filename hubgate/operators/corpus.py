@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import with_rank
 from ..functions.text import hash_uniform, padded_stem
 
 #: Splits, best first, with their shares.
@@ -33,8 +34,7 @@ def assign_split(df: DataFrame, key: str, seed: int = 42, splits: Sequence[str]
 
 def number_stems(df: DataFrame, key: str) -> DataFrame:
     """``df`` with ``stem``: eight digits, counted from 0 within the split in order of the key."""
-    w = Window.partitionBy("split").orderBy(key)
-    return df.withColumn("stem", padded_stem(F.row_number().over(w) - 1))
+    return with_rank(df, ["split"], key).withColumn("stem", padded_stem(F.col("__rank") - 1)).drop("__rank", "__n")
 
 
 def sample_exactly(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

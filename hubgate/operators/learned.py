@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import with_rank
 from ..functions.text import hash_uniform
 from ..functions.vectors import entropy_term, softmax_over
 
-#: Feature columns in their fixed order.
+# The feature columns in their order.
 FEATURES = (
     "margin", "cos_rank2", "cos_rank3", "cos_rank4", "cos_rank5", "gap_s2_s3", "gap_s3_s4", "gap_s4_s5", "b_global", "b_local",
     "psi_c1", "psi_min_topk", "psi_max_topk", "psi_mean_topk", "psi_std_topk", "entropy_softmax_topk", "rank_argmin_psi_topk",
@@ -44,8 +45,7 @@ def feature_table(retrieval) -> DataFrame:
 def fold_by_rank(df: DataFrame, fraction: float, seed: int, keys: tuple[str, ...] = (), id_col: str = "qid", names: tuple[str, str] = ("train", "eval")) -> DataFrame:
     """``df`` with ``fold``: per key the first round(fraction * n) rows by hash of the id (at least one, at most n - 1)
     are ``names[0]``. Keys are strata; the order is the same for every run and partitioning."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumn("__u", hash_uniform(F.col(id_col), seed)).withColumn("__r", F.row_number().over(w.orderBy("__u", id_col))).withColumn("__n", F.count("*").over(w))
+    ranked = with_rank(df.withColumn("__u", hash_uniform(F.col(id_col), seed)), keys, "__u", [id_col], rank="__r")
     size = F.least(F.greatest(F.bround(F.col("__n") * fraction, 0), F.lit(1)), F.col("__n") - 1)
     return ranked.withColumn("fold", F.when(F.col("__r") <= size, names[0]).otherwise(names[1])).drop("__u", "__r", "__n")
 

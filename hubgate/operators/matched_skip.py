@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import quantiles, with_rank
 from .metrics import as_double
 
+# The rates at which gates are compared.
 LAION_RATES = (0.15, 0.25, 0.35, 0.45, 0.55, 0.60, 0.62, 0.65, 0.69, 0.71)
 MARGIN_RATES = (0.15, 0.25, 0.35, 0.45)
 LEARNED_RATES = (0.15, 0.25, 0.35, 0.45, 0.55)
@@ -22,9 +24,8 @@ def rate_table(spark: SparkSession, rates: Sequence[float]) -> DataFrame:
 def thresholds(df: DataFrame, score: str, rates: Sequence[float], keys: Sequence[str], name: str, upper: bool = True) -> DataFrame:
     """``keys, rate, name``: the quantile at 1 - rate of a score (at rate for ``upper=False``)."""
     rates = [float(r) for r in rates if 0 < r < 1]
-    qs = F.percentile(score, F.array(*[F.lit(1.0 - r if upper else r) for r in rates]))
     pairs = F.arrays_zip(F.array(*map(F.lit, rates)).alias("rate"), F.col("q").alias("t"))
-    out = df.groupBy(*keys).agg(qs.alias("q")).select(*keys, F.explode(pairs).alias("x"))
+    out = quantiles(df, score, [1.0 - r if upper else r for r in rates], keys).select(*keys, F.explode(pairs).alias("x"))
     return out.select(*keys, F.col("x.rate").alias("rate"), F.col("x.t").alias(name))
 
 
@@ -48,9 +49,7 @@ def skip_curve(decisions: DataFrame, rates: Sequence[float] = LAION_RATES, stric
 def skip_exactly(df: DataFrame, score: str, order: str, rates: Sequence[float], keys: Sequence[str], largest: bool = True) -> DataFrame:
     """``df`` with ``rate`` and ``skip``: exactly round(rate * n) rows per key (halves to even), by score, ties by
     ``order``."""
-    w = Window.partitionBy(*keys)
-    by = F.desc(score) if largest else F.asc(score)
-    ranked = df.withColumn("__rank", F.row_number().over(w.orderBy(by, order))).withColumn("__n", F.count("*").over(w))
+    ranked = with_rank(df, keys, score, [order], descending=largest)
     out = ranked.crossJoin(F.broadcast(rate_table(df.sparkSession, rates)))
     return out.withColumn("skip", F.col("__rank") <= F.bround(F.col("rate") * F.col("__n"), 0)).drop("__rank", "__n")
 

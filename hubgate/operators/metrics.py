@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import quantiles, with_rank
 from .pairs import Truth, truth_of
 
-#: Margin buckets: lower bound, upper bound (None: open), label.
+# Margin buckets (lower bound, upper bound or None for open, label).
 MARGIN_BUCKETS = ((0.0, 0.01, "[0, 0.01)"), (0.01, 0.03, "[0.01, 0.03)"), (0.03, 0.05, "[0.03, 0.05)"), (0.05, None, "[0.05, inf)"))
 
 
@@ -87,21 +88,29 @@ def histogram(df: DataFrame, value: str, bins: int, keys: Sequence[str] = ()) ->
     return spine.join(counts, [*keys, "bin"], "left").select(*keys, "bin", (F.col("from_") + F.col("bin") * width).alias("lo"), (F.col("from_") + (F.col("bin") + 1) * width).alias("hi"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
+def _joined(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return a.join(b, list(keys)) if keys else a.crossJoin(b)
+
+
 def summary(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """n, mean, median, population deviation, extremes and shares by sign."""
     x = F.col(value)
-    return df.filter(x.isNotNull() & ~F.isnan(value)).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
+    own = df.filter(x.isNotNull() & ~F.isnan(value))
+    found = own.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
         F.avg(as_double(x > 0)).alias("frac_positive"), F.avg(as_double(x >= 0)).alias("frac_nonneg"), F.avg(as_double(x <= 0)).alias("frac_nonpositive"),
     )
+    middle = quantiles(own, value, [0.5], keys).select(*keys, F.col("q")[0].alias("median"))
+    return _joined(found, middle, keys).select(*keys, "n", "mean", "median", "std", "min", "max", "frac_positive", "frac_nonneg", "frac_nonpositive")
 
 
 def describe(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """n, mean, population deviation and the quantiles 5, 25, 50, 75, 95 and 99."""
     x = F.col(value)
     qs = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
-    out = df.filter(x.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.percentile(x, F.array(*map(F.lit, qs))).alias("p"))
-    return out.select(*keys, "n", "mean", "std", *[F.col("p")[i].alias(f"p{round(100 * v)}") for i, v in enumerate(qs)])
+    own = df.filter(x.isNotNull())
+    out = _joined(own.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std")), quantiles(own, value, qs, keys), keys)
+    return out.select(*keys, "n", "mean", "std", *[F.col("q")[i].alias(f"p{round(100 * v)}") for i, v in enumerate(qs)])
 
 
 def ks_statistic(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
@@ -130,13 +139,13 @@ def ks_statistic(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
 
 def ecdf(df: DataFrame, value: str, keys: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
     """Every row with the share of rows up to it, in order of value (then of ``ties``), within the keys."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn("share", F.row_number().over(w.orderBy(value, *ties)) / F.count("*").over(w))
+    return with_rank(df, keys, value, ties).withColumn("share", F.col("__rank") / F.col("__n")).drop("__rank", "__n")
 
 
 def rescaled_slack(df: DataFrame, margin: str, b: str, keys: Sequence[str]) -> DataFrame:
     """margin / median(margin) - b / median(b) within the keys; groups with a median that is not positive are left out."""
-    medians = df.groupBy(*keys).agg(F.median(margin).alias("mm"), F.median(b).alias("mb")).filter("mm > 0 and mb > 0")
+    middle = lambda c, name: quantiles(df, c, [0.5], keys).select(*keys, F.col("q")[0].alias(name))
+    medians = middle(margin, "mm").join(middle(b, "mb"), list(keys)).filter("mm > 0 and mb > 0")
     return df.join(F.broadcast(medians), list(keys)).withColumn("rescaled", F.col(margin) / F.col("mm") - F.col(b) / F.col("mb")).drop("mm", "mb")
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hubgate.functions import ranks
 from hubgate.operators import learned, matched_skip, metrics, order, strategies
 from hubgate.plans import blocks, retrieval_queries
 from hubgate.plans.retrieval import METHODS, Params, Retrieval
@@ -251,3 +252,18 @@ def test_pair_queries_have_no_bound_on_pairs(spark, tmp_path):
     assert row.n == s.size and row.s == pytest.approx(s.sum(), abs=1)
     row = retrieval_queries.fn18_clamped_log(spark, folder).agg(F.count("*").alias("n"), F.sum("log_s").alias("s")).first()
     assert row.n == s.size and row.s == pytest.approx(np.log(np.maximum(s, 1e-12)).sum(), rel=1e-6)
+
+
+def test_ranks_and_quantiles_in_buckets(spark):
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 17 == 0 else ("a", "b", "a")[i % 3], None if i % 13 == 0 else float(rng.integers(0, 9)) if i % 2 else float(rng.normal()), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, x double, i long")
+    for down in (False, True):
+        got = {r.i: (r.rank, r.n) for r in ranks.with_rank(df, ["k"], "x", ["i"], descending=down, rank="rank", total="n", buckets=7).collect()}
+        for k in ("a", "b", None):
+            own = sorted((r for r in rows if r[0] == k), key=lambda r: ((r[1] is None) == down, (-1 if down else 1) * (r[1] or 0) if r[1] is not None else 0, r[2]))
+            assert [got[r[2]] for r in own] == [(j + 1, len(own)) for j in range(len(own))]
+    shares = [0.0, 0.15, 0.5, 1.0]
+    for r in ranks.quantiles(df.filter("k is not null"), "x", shares, ["k"]).collect():
+        assert r.q == pytest.approx(np.quantile([x for k, x, _ in rows if k == r.k and x is not None], shares).tolist(), abs=1e-12)
+    assert ranks.with_rank(df.limit(0), ["k"], "x").count() == 0 and ranks.with_rank(df, [], "i").count() == 400
