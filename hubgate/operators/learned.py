@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.ranks import with_rank
 from ..functions.text import hash_uniform
 from ..functions.vectors import entropy_term, softmax_over
+from ..sinks import stored
 
 # The feature columns in their order.
 FEATURES = (
@@ -53,8 +54,8 @@ def fold_by_rank(df: DataFrame, fraction: float, seed: int, keys: tuple[str, ...
 def anchored_folds(features: DataFrame, seed: int = 42, anchor: str = "CSLS") -> DataFrame:
     """``qid, fold`` (train, test) stratified by the anchor method's label; a quarter of train is ``calib`` in
     ``slice``, the rest ``fit``. All methods share the folds."""
-    base = features.filter(F.col("method") == anchor).select("qid", "y")
-    folds = fold_by_rank(base, 0.8, seed, ("y",), names=("train", "test"))
+    base = stored(features.filter(F.col("method") == anchor).select("qid", "y"), "fold-labels")
+    folds = stored(fold_by_rank(base, 0.8, seed, ("y",), names=("train", "test")), "folds")
     train = fold_by_rank(folds.filter("fold = 'train'").drop("fold"), 0.75, seed + 1, ("y",), names=("fit", "calib")).select("qid", F.col("fold").alias("slice"))
     return folds.join(train, "qid", "left").select("qid", "fold", F.coalesce("slice", "fold").alias("slice"))
 

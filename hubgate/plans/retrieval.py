@@ -10,6 +10,7 @@ output exactly.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.pairs import Truth, truth_of
+from ..sinks import stored
 from . import blocks
 
 METHODS = ("CSLS", "QB-Norm", "DB-Norm", "NNN")
@@ -46,16 +48,24 @@ class Retrieval:
         self.q, self.g, self.params, self.sizes = q.select("qid", "v"), g.select("cid", "v"), params, sizes
         self.truth = truth_of(matches)
         self._kept: list[DataFrame] = []
+        self._shared: dict[str, DataFrame] = {}
 
     def _keep(self, df: DataFrame) -> DataFrame:
         self._kept.append(df.persist())
         return df
 
+    def share(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A further intermediate that several queries want, made and stored once: plans that read it start there."""
+        if name not in self._shared:
+            self._shared[name] = stored(make(), name)
+        return self._shared[name]
+
     def release(self) -> None:
         """Give the memory of all shared intermediates back."""
         for df in self._kept:
             df.unpersist()
         self._kept.clear()
+        self._shared.clear()
 
     @cached_property
     def n_gallery(self) -> int:

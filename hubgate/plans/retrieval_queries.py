@@ -444,10 +444,10 @@ def met23_margin_bands(spark, sf_dir):
     return rounded(p.select(*[F.col("p")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))]))
 
 
-@register("met24_curve_mean_std", sql(f"SELECT bucket_no, round(avg(pct_changed), 6) AS mean, round(stddev_pop(pct_changed), 6) AS std FROM ({_BUCKETS.format(f='hit_full::INT', c='hit_cos::INT')}) GROUP BY bucket_no", _SPINE))
+@register("met24_curve_mean_std", sql(f"SELECT bucket_no, round(avg(pct_changed), 4) AS mean, round(stddev_pop(pct_changed), 4) AS std FROM ({_BUCKETS.format(f='hit_full::INT', c='hit_cos::INT')}) GROUP BY bucket_no", _SPINE))
 def met24_curve_mean_std(spark, sf_dir):
     b = rounded(metrics.margin_buckets(demo(spark, sf_dir).decisions, "cert_global"))
-    return rounded(b.groupBy("bucket_no").agg(F.avg("pct_changed").alias("mean"), F.stddev_pop("pct_changed").alias("std")))
+    return rounded(b.groupBy("bucket_no").agg(F.avg("pct_changed").alias("mean"), F.stddev_pop("pct_changed").alias("std")), 4)
 
 
 @register("viz4_margin_scatter", sql("SELECT method, qid, round(margin, 6) AS margin, round(b_global, 6) AS b_global, cert_global AS certified, c1 <> \"full\" AS flipped FROM d"))
@@ -524,7 +524,7 @@ def lrn3_random_split(spark, sf_dir):
 
 @register("lrn4_anchored_folds", sql("SELECT qid, fold, slice FROM fo", _FOLDS))
 def lrn4_anchored_folds(spark, sf_dir):
-    return learned.anchored_folds(learned.feature_table(demo(spark, sf_dir)))
+    return _folds(demo(spark, sf_dir))
 
 
 @register(
@@ -539,7 +539,7 @@ def lrn4_anchored_folds(spark, sf_dir):
     ),
 )
 def lrn1_features(spark, sf_dir):
-    return rounded(learned.feature_table(demo(spark, sf_dir)))
+    return rounded(_features(demo(spark, sf_dir)))
 
 
 @register("lrn2_labels", sql("SELECT method, qid, (c1 = \"full\")::INT AS y FROM d"))
@@ -547,10 +547,18 @@ def lrn2_labels(spark, sf_dir):
     return demo(spark, sf_dir).decisions.select("method", "qid", (F.col("c1") == F.col("full")).cast("int").alias("y"))
 
 
+def _features(r) -> DataFrame:
+    return r.share("features", lambda: learned.feature_table(r))
+
+
+def _folds(r) -> DataFrame:
+    return r.share("folds", lambda: learned.anchored_folds(_features(r)))
+
+
 def _folded(spark, sf_dir) -> DataFrame:
     r = demo(spark, sf_dir)
     first = learned.shortlist_probabilities(r).filter("rank = 1").select("qid", F.col("p").alias("p1"), (1 - F.col("p")).alias("u"))
-    return r.decisions.join(learned.anchored_folds(learned.feature_table(r)), "qid").join(first, "qid")
+    return r.share("folded", lambda: r.decisions.join(_folds(r), "qid").join(first, "qid"))
 
 
 def _quantile_rows(alias: str, value: str, source: str, upper: bool) -> str:
@@ -619,15 +627,15 @@ def lrn5_logistic_gate(spark, sf_dir):
 
 @register("lrn6_tree_gate")
 def lrn6_tree_gate(spark, sf_dir):
-    f = learned.feature_table(demo(spark, sf_dir))
-    d = f.filter("method = 'CSLS'").join(learned.anchored_folds(f), "qid").persist()
+    r = demo(spark, sf_dir)
+    d = _features(r).filter("method = 'CSLS'").join(_folds(r), "qid").persist()
     return rounded(learned.tree_gate(d.filter("slice = 'fit'"), d.filter("fold = 'test'")).select("qid", "y", "p"))
 
 
 @register("lrn7_gate_evaluation")
 def lrn7_gate_evaluation(spark, sf_dir):
     own = _folded(spark, sf_dir)
-    f = learned.feature_table(demo(spark, sf_dir)).filter("method = 'CSLS'")
+    f = _features(demo(spark, sf_dir)).filter("method = 'CSLS'")
     d = f.join(own.filter("method = 'CSLS'").select("qid", "fold", "slice", "c1", "full", "hit_cos", "hit_full", "has_gt", "slack_local", "p1"), "qid").persist()
     d = learned.tree_gate(d.filter("slice = 'fit'"), d.filter("fold = 'test'")).persist()
     rows = None

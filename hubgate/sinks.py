@@ -22,6 +22,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: its plan ends there, and lost executors cost nothing."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_dump(df: DataFrame, path: str, partition_by: Sequence[str] = ("method",)) -> None:
     """Per-query rows as Parquet, a folder per partition value."""
     df.write.mode("overwrite").partitionBy(*partition_by).option("compression", "zstd").parquet(path)
