@@ -5,22 +5,23 @@ words. Passages and windows are compared as bags of shingles of ``shingle`` word
 shingle): the similarity is the sum of the smaller over the sum of the larger counts, and a window of at least
 ``similar`` percent is a hit.
 
-SimHash decides what is compared: the sign of each of 64 bits summed over a bag's shingles. The second and later
+SimHash decides what is compared: the sign of each of 128 bits summed over a bag's shingles. The second and later
 occurrences of a shingle in a bag have signs of their own, so a repeated word does not weigh as one large vector and the
-shared part of two bags is the shared part of their sums. Fingerprints are cut into
-``blocks`` blocks. If two of them differ in at most ``radius`` bits, some block differs in at most radius // blocks
-bits (pigeonhole); every item is filed in each block's table under all values within that distance, so probing a
-window's own block values finds every item within the radius, for certain. Candidates within the radius are verified
-on the full bags.
+shared part of two bags is the shared part of their sums. Fingerprints are cut into 8 blocks of 16 bits. If two of them
+differ in at most ``radius`` bits, some block differs in at most radius // 8 bits (pigeonhole); every item is filed in
+each block's table under all values within that distance, so probing a window's own block values finds every item
+within the radius, for certain. Candidates within the radius are verified on the full bags.
+
+Radius: at a similarity of 0.8 the cosine of two bags of equal size is 0.89, and a bit differs with a probability of
+0.15; by the binomial, 31 or fewer of 128 bits then differ for 0.998 of the pairs, for 0.99995 at 0.85, and for nearly
+all above. An item's values within 3 bits are 697 of 65,536 in each of 8 tables, so a window that has nothing in common
+with an item becomes its candidate once in 12 times.
 
 A window without any shingle of any item has similarity 0 to all of them. Only windows that hold one are
 fingerprinted, which loses nothing.
 
-Radius: at a similarity of 0.8 the cosine of two bags of equal size is 0.89, and a bit differs with a probability of
-0.15; 24 or fewer of 64 bits then differ but for one pair in 100,000. Exact and nearly exact passages differ in few.
-
 The benchmark is broadcast in blocks of at most ``block_items`` items and ``block_words`` words, each of which is held
-against all documents; an item longer than that is a block of its own.
+against all documents; an item longer than that is a block of its own. A Python worker builds a block's index once.
 
 Rows: null and empty texts and items have no words and no hits. An item without an id counts like any other; its hits
 have a null ``item_id``, one for each such item. A passage of a longer item is no hit for it (windows
@@ -29,6 +30,7 @@ have the item's size). Repeated rows give hits each.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -38,21 +40,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._storage import prepare
-from ._text import mix, pieces, span_hashes, text_buffer, window_hashes, word_spans
+from ._text import gather_runs, mix, pieces, span_hashes, text_buffer, window_hashes, word_spans
 
-_SIGN_SALT = np.uint64(0x452821E638D01377)
+_SIGN_SALTS = np.array([0x452821E638D01377, 0xBE5466CF34E90C6C], np.uint64)
+_BITS, _BLOCK = 128, 16
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 
 
 def signs(shingles: np.ndarray) -> np.ndarray:
-    """+1 and -1 for each of 64 bits of each shingle's hash."""
-    bits = np.unpackbits(mix(shingles ^ _SIGN_SALT).view(np.uint8).reshape(-1, 8), axis=1)
-    return bits.astype(np.int32) * 2 - 1
+    """+1 and -1 for each of 128 bits of each shingle's hashes."""
+    bits = np.unpackbits(mix(shingles[:, None] ^ _SIGN_SALTS).view(np.uint8).reshape(-1, _BITS // 8), axis=1)
+    return bits.view(np.int8) * np.int8(2) - np.int8(1)
 
 
 def fingerprints(sums: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of rows of 64 sums."""
-    return np.packbits(sums > 0, axis=1).view("<u8").reshape(-1).astype(np.uint64)
+    """Fingerprints of rows of 128 sums: the 8 block values of each."""
+    return np.packbits(sums > 0, axis=1).view("<u2").reshape(-1, _BITS // _BLOCK)
 
 
 def occurrences(shingles: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -63,7 +66,7 @@ def occurrences(shingles: np.ndarray, number: np.ndarray) -> np.ndarray:
 def bag_sums(shingles: np.ndarray) -> np.ndarray:
     """Sums of the signs of a bag's occurrences."""
     own = np.sort(shingles)
-    return signs(occurrences(own, np.arange(len(own)) - np.searchsorted(own, own) + 1)).sum(axis=0)
+    return signs(occurrences(own, np.arange(len(own)) - np.searchsorted(own, own) + 1)).sum(axis=0, dtype=np.int32)
 
 
 def repeat_distances(runs: np.ndarray) -> np.ndarray:
@@ -102,8 +105,8 @@ def window_sums(runs: np.ndarray, distances: np.ndarray, starts: np.ndarray, siz
         taken[again] = occurrences(value, came)
         other = np.flatnonzero(came != went)
         other = other[np.argsort(again[other])]
-        change = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(occurrences(value[other], went[other])) - signs(taken[again[other]]), axis=0, dtype=np.int32)])
-    sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(taken), axis=0, dtype=np.int32)])
+        change = np.concatenate([np.zeros((1, _BITS), np.int32), np.cumsum(signs(occurrences(value[other], went[other])).astype(np.int16) - signs(taken[again[other]]), axis=0, dtype=np.int32)])
+    sums = np.concatenate([np.zeros((1, _BITS), np.int32), np.cumsum(signs(taken), axis=0, dtype=np.int32)])
     out = sums[place + size] - sums[place]
     return out - change[np.searchsorted(again[other], place)] if len(again) else out
 
@@ -111,34 +114,33 @@ def window_sums(runs: np.ndarray, distances: np.ndarray, starts: np.ndarray, siz
 class BlockIndex:
     """Items by the values of their fingerprint's blocks, each filed under all values within the block radius."""
 
-    def __init__(self, prints: np.ndarray, radius: int, blocks: int):
-        if 64 % blocks:
-            raise ValueError("64 bits must divide into the blocks")
-        self.prints, self.radius, self.blocks, self.bits = prints, radius, blocks, 64 // blocks
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.prints, self.radius = prints, radius
         near = [0]
-        for r in range(1, radius // blocks + 1):
-            near += [sum(1 << b for b in c) for c in combinations(range(self.bits), r)]
-        masks = np.array(near, np.uint64)
+        for r in range(1, radius // prints.shape[1] + 1):
+            near += [sum(1 << b for b in c) for c in combinations(range(_BLOCK), r)]
+        masks = np.array(near, np.uint16)
+        items = np.repeat(np.arange(len(prints), dtype=np.int32), len(masks))
         self.tables = []
-        for b in range(blocks):
-            values = (self.values(prints, b)[:, None] ^ masks[None, :]).reshape(-1)
-            items = np.repeat(np.arange(len(prints)), len(masks))
+        for b in range(prints.shape[1]):
+            values = (prints[:, b][:, None] ^ masks[None, :]).reshape(-1)
             order = np.argsort(values, kind="stable")
-            self.tables.append((np.searchsorted(values[order], np.arange((1 << self.bits) + 1, dtype=np.uint64)), items[order]))
+            self.tables.append((values[order], items[order]))
 
-    def values(self, prints: np.ndarray, block: int) -> np.ndarray:
-        return (prints >> np.uint64(block * self.bits)) & np.uint64((1 << self.bits) - 1)
+    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (fingerprint, item), each once, of which some block is within the block radius."""
+        pairs = []
+        for b, (values, items) in enumerate(self.tables):
+            own = np.ascontiguousarray(prints[:, b])
+            first = np.searchsorted(values, own)
+            n = np.searchsorted(values, own, side="right") - first
+            pairs.append(np.repeat(np.arange(len(prints)), n) * len(self.prints) + items[gather_runs(first, n, np.arange(len(n)))[0]])
+        return np.divmod(np.unique(np.concatenate(pairs)), max(1, len(self.prints)))
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (fingerprint, item) at a distance of at most the radius."""
-        pairs = []
-        for b, (ends, items) in enumerate(self.tables):
-            v = self.values(prints, b).astype(np.int64)
-            n = ends[v + 1] - ends[v]
-            at = np.repeat(ends[v] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            pairs.append(np.repeat(np.arange(len(prints)), n) * len(self.prints) + items[at])
-        q, i = np.divmod(np.unique(np.concatenate(pairs)), max(1, len(self.prints)))
-        near = np.bitwise_count(prints[q] ^ self.prints[i]) <= self.radius
+        q, i = self.candidates(prints)
+        near = np.bitwise_count(prints[q] ^ self.prints[i]).sum(axis=1) <= self.radius
         return q[near], i[near]
 
 
@@ -146,10 +148,10 @@ class ItemGroup:
     """Items of one length in words: their bags, sorted, and the index of their fingerprints. Ids are (False, id), or
     (True, place) for an item without one."""
 
-    def __init__(self, size: int, shingle: int, ids: list[tuple[bool, int]], bags: list[np.ndarray], radius: int, blocks: int):
+    def __init__(self, size: int, shingle: int, ids: list[tuple[bool, int]], bags: list[np.ndarray], radius: int):
         self.size, self.shingle, self.ids = size, min(shingle, size), ids
         self.bags = [np.unique(b, return_counts=True) for b in bags]
-        self.index = BlockIndex(fingerprints(np.stack([bag_sums(b) for b in bags])), radius, blocks)
+        self.index = BlockIndex(fingerprints(np.stack([bag_sums(b) for b in bags])), radius)
 
     @property
     def per_window(self) -> int:
@@ -162,7 +164,7 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(data, s, e, lower=True), of_text
 
 
-def group_items(items: list[tuple[int | None, str]], shingle: int, radius: int, blocks: int) -> list[ItemGroup]:
+def group_items(items: list[tuple[int | None, str]], shingle: int, radius: int) -> list[ItemGroup]:
     words, of_text = _words(pa.array([t for _, t in items], pa.string()))
     by_size: dict[int, tuple[list, list]] = {}
     for place, ((item, _), a, b) in enumerate(zip(items, of_text[:-1].tolist(), of_text[1:].tolist(), strict=True)):
@@ -170,7 +172,18 @@ def group_items(items: list[tuple[int | None, str]], shingle: int, radius: int,
             ids, bags = by_size.setdefault(b - a, ([], []))
             ids.append((True, place) if item is None else (False, item))
             bags.append(window_hashes(words[a:b], min(shingle, b - a)))
-    return [ItemGroup(n, shingle, ids, bags, radius, blocks) for n, (ids, bags) in sorted(by_size.items())]
+    return [ItemGroup(n, shingle, ids, bags, radius) for n, (ids, bags) in sorted(by_size.items())]
+
+
+_last: dict[str, list[ItemGroup]] = {}
+
+
+def _built(name: str, items: list[tuple[int | None, str]], shingle: int, radius: int) -> list[ItemGroup]:
+    """The groups of a block of items, kept for the worker's next task."""
+    if name not in _last:
+        _last.clear()
+        _last[name] = group_items(items, shingle, radius)
+    return _last[name]
 
 
 def _overlap(shingles: np.ndarray, bag: tuple[np.ndarray, np.ndarray]) -> int:
@@ -183,13 +196,23 @@ def _overlap(shingles: np.ndarray, bag: tuple[np.ndarray, np.ndarray]) -> int:
 def find_hits(column: pa.Array, groups: list[ItemGroup], similar: int) -> Iterator[tuple[int, int | None, int, int, int, int]]:
     """Text, item, first word of the best window, its words, smaller and larger counts; one per text and item."""
     words, of_text = _words(column)
+    every = {size: np.unique(np.concatenate([v for g in groups if g.shingle == size for v, _ in g.bags])) for size in {g.shingle for g in groups}}
+
+    def of_items(size: int) -> tuple[np.ndarray, np.ndarray]:
+        runs = window_hashes(words, size)
+        return runs, every[size][np.minimum(np.searchsorted(every[size], runs), len(every[size]) - 1)] == runs
+
+    # texts without any shingle of any item go at once
+    some = np.unique(np.concatenate([np.searchsorted(of_text, np.flatnonzero(of_items(size)[1]), side="right") - 1 for size in every]))
+    if not len(some):
+        return
+    at, ends = gather_runs(of_text[:-1], np.diff(of_text), some)
+    words, of_text = words[at], np.concatenate([[0], ends])
     end = np.repeat(of_text[1:], np.diff(of_text))
     known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    for size in {g.shingle for g in groups}:
-        runs = window_hashes(words, size)
-        every = np.unique(np.concatenate([v for g in groups if g.shingle == size for v, _ in g.bags]))
-        at = np.minimum(np.searchsorted(every, runs), len(every) - 1)
-        known[size] = runs, np.concatenate([[0], np.cumsum(every[at] == runs)]) if len(runs) else np.zeros(1, np.int64), repeat_distances(runs)
+    for size in every:
+        runs, held = of_items(size)
+        known[size] = runs, np.concatenate([[0], np.cumsum(held)]), repeat_distances(runs)
     best: dict[tuple[int, bool, int], tuple[float, int, int, int, int]] = {}
     for g in groups:
         runs, seen, distances = known[g.shingle]
@@ -212,7 +235,7 @@ def find_hits(column: pa.Array, groups: list[ItemGroup], similar: int) -> Iterat
                     if key not in best or found > best[key]:
                         best[key] = found
     for (text, nameless, item), (_, start, size, both, either) in sorted(best.items()):
-        yield text, None if nameless else item, -start, size, both, either
+        yield int(some[text]), None if nameless else item, -start, size, both, either
 
 
 def item_blocks(items: Iterable[tuple[int | None, str]], block_items: int, block_words: int) -> Iterator[list[tuple[int | None, str]]]:
@@ -238,8 +261,7 @@ def contaminated(
     item_text_col: str = "text",
     shingle: int = 5,
     similar: int = 80,
-    radius: int = 24,
-    blocks: int = 8,
+    radius: int = 31,
     block_items: int = 2_000,
     block_words: int = 400_000,
 ) -> DataFrame:
@@ -256,10 +278,10 @@ def contaminated(
     passages = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text")).filter("text is not null")
     out = None
     for block in item_blocks(((r[0], r[1]) for r in passages.toLocalIterator()), block_items, block_words):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            groups = group_items(shared.value, shingle, radius, blocks)
+            groups = _built(*shared.value, shingle, radius)
             for batch in batches:
                 for rows in pieces(batch, "text", 1 << 21):
                     hits = list(find_hits(rows.column(1), groups, similar)) if groups else []
@@ -272,7 +294,7 @@ def contaminated(
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, similar: int = 80, radius: int = 24, blocks: int = 8, block_items: int = 2_000, block_words: int = 400_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, similar: int = 80, radius: int = 31, block_items: int = 2_000, block_words: int = 400_000) -> DataFrame:
     """``docs`` without the rows that hold a passage; rows are judged where they are read, without a join."""
     spark = docs.sparkSession
     prepare(spark)
@@ -280,10 +302,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     at = docs.columns.index(text_col)
     out = docs
     for block in item_blocks(((r[0], r[1]) for r in passages.toLocalIterator()), block_items, block_words):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            groups = group_items(shared.value, shingle, radius, blocks)
+            groups = _built(*shared.value, shingle, radius)
             for batch in batches:
                 for rows in pieces(batch, text_col, 1 << 21):
                     clean = np.ones(rows.num_rows, bool)
