@@ -201,8 +201,10 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         .withColumn("__rank", F.sha2("__id", 256)).orderBy("__rank", "__id").limit(max_labels)
     )
     picked = docs.select(key.alias("__id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(sample), "__id")
-    found = with_statistics(picked).filter(~base_failed()).select("__rank", "__id", "__bad", *[feature(n).alias(n) for n in FEATURES]).orderBy("__rank", "__id", *FEATURES).limit(2 * max_labels).collect()
-    return [(tuple(r[3:]), bool(r[2])) for r in found]
+    # what the base rules reject is set aside on the driver: a filter here would be evaluated over all documents, below the join
+    columns = [F.col("__rank"), F.col("__id"), F.col("__bad"), base_failed().alias("__failed"), *[feature(n).alias(n) for n in FEATURES]]
+    found = with_statistics(picked).select(*columns).orderBy("__rank", "__id", *FEATURES).limit(2 * max_labels).collect()
+    return [(tuple(r[4:]), bool(r[2])) for r in found if not r[3]]
 
 
 def judge(docs: DataFrame, rules: DecisionList, *, text_col: str = "text") -> DataFrame:
