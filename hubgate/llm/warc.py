@@ -32,6 +32,8 @@ from ._storage import prepare, scratch_path, written
 from ._text import pieces
 
 RESPONSE, REVISIT = "response", "revisit"
+#: So many shared payloads (some 150 bytes each) are broadcast; more are joined, and each one's pages dealt so often.
+BROADCAST_DIGESTS, _SALTS = 200_000, 32
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -101,8 +103,16 @@ def write_archive(
     rows = pages.select(
         F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("size")
     )
+    # payloads are hashed where they are read; only digests are grouped
     shared = rows.filter(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.count("*").alias("n"), F.max("page_id").alias("holder")).filter("n > 1 and holder is not null").drop("n")
-    kept = rows.join(shared, ["digest", "size"], "left").select(
+    shared = written(shared, "shared-payloads", narrow=True)
+    if shared.count() <= BROADCAST_DIGESTS:
+        kept = rows.join(F.broadcast(shared), ["digest", "size"], "left")
+    else:
+        # a page that very many share is dealt to several tasks
+        every = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+        kept = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(_SALTS)).cast("int")).join(shared.withColumn("salt", every), ["digest", "size", "salt"], "left")
+    kept = kept.select(
         "page_id", "url", "html", "digest", F.when(F.col("page_id").eqNullSafe(F.col("holder")), None).otherwise(F.col("holder")).alias("refers_to"), capture_key(F.col("url"), F.col("page_id")).alias("key")
     )
     _store(folder)[0].create_dir(_store(folder)[1], recursive=True)
