@@ -2,14 +2,16 @@
 
 Texts are cut before ASCII white space that follows a visible byte. A tokenizer that drops white space, or binds it
 to the word after it, never crosses that boundary, so counts add up; equal chunks of a batch are encoded once, in
-calls of about the same number of characters. sentencepiece models are given whole texts, since their normalization
-may join white space; only the batches are balanced there.
+calls of about the same number of characters. Whether a JSON vocabulary is of that kind is read from its normalizer,
+pre-tokenizer and added tokens (``cuts_at_space``). Others, and sentencepiece models, whose normalization may join white
+space, are given whole texts; only the batches are balanced there.
 
 Rows: null and empty texts have 0 bytes and 0 tokens.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,6 +41,37 @@ def _counter(kind: str, content: bytes):
     return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
 
 
+_PLAIN_NORMALIZERS = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase"}
+
+
+def cuts_at_space(content: bytes) -> bool:
+    """Whether counts of a JSON vocabulary add up over texts cut before white space.
+
+    True for byte-level pre-tokenizers without a prefix space, and for splits that keep the matches of a pattern which
+    matches no white space; with normalizers that work on characters or make runs of white space one space; and with
+    added tokens that hold no white space and take none from around them.
+    """
+    import regex
+
+    d = json.loads(content)
+    flat = lambda x, inner: [] if x is None else [z for y in x[inner] for z in flat(y, inner)] if x["type"] == "Sequence" else [x]
+    for n in flat(d.get("normalizer"), "normalizers"):
+        if n["type"] not in _PLAIN_NORMALIZERS and (n["type"], n.get("pattern"), n.get("content")) != ("Replace", {"Regex": r"\s+"}, " "):
+            return False
+    for t in d.get("added_tokens") or []:
+        if regex.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"]:
+            return False
+    steps = flat(d.get("pre_tokenizer"), "pretokenizers")
+    if not steps or any(p["type"] == "ByteLevel" and p["add_prefix_space"] for p in steps):
+        return False
+    first = steps[0]
+    if first["type"] == "Split":
+        pattern = first["pattern"].get("Regex")
+        seen = pattern and any(regex.search(pattern, around) and regex.search(r"\s", regex.search(pattern, around)[0]) for c in " \t\n\v\f\r" for around in (c, f"a{c}", f"{c}a", f"{c}1", f".{c}"))
+        return bool(pattern) and first["behavior"] == "Removed" and first["invert"] and not seen
+    return first["type"] == "ByteLevel" and first["use_regex"]
+
+
 def count_column(count, column: pa.Array, cut: bool, cache: dict) -> np.ndarray:
     """Tokens of each text of a column."""
     data, offsets = text_buffer(column)
@@ -61,7 +94,7 @@ def count_tokens(docs: DataFrame, vocabulary: bytes, kind: str, *, text_col: str
         raise ValueError(f"unknown kind of vocabulary: {kind}")
     spark = docs.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared, cut = spark.sparkContext.broadcast(vocabulary), kind == "json" and cuts_at_space(vocabulary)
     keep = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (bytes_col, tokens_col, text_col)], F.col(f"`{text_col}`").cast("string").alias("__text"))
     i = len(keep.columns) - 1
     schema = T.StructType([*keep.schema.fields[:i], T.StructField(bytes_col, T.LongType()), T.StructField(tokens_col, T.LongType())])
@@ -72,7 +105,7 @@ def count_tokens(docs: DataFrame, vocabulary: bytes, kind: str, *, text_col: str
         for batch in batches:
             for rows in pieces(batch, "__text", 1 << 21):
                 _, offsets = text_buffer(rows.column(i))
-                out = [pa.array(np.diff(offsets)), pa.array(count_column(count, rows.column(i), kind == "json", cache))]
+                out = [pa.array(np.diff(offsets)), pa.array(count_column(count, rows.column(i), cut, cache))]
                 yield pa.RecordBatch.from_arrays([*rows.columns[:i], *out], names=schema.names)
 
     return keep.mapInArrow(run, schema)
