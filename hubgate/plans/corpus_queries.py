@@ -299,7 +299,7 @@ def snk8_sampled_rows(spark, sf_dir):
 def snk9_manifest_checksum(spark, sf_dir):
     d = corpus.number_stems(_split_documents(spark, sf_dir), "doc_id")
     m = corpus.manifest(d.select("split", "stem", F.encode("text", "utf-8").alias("image"), F.col("text").alias("caption")))
-    return sinks.csv_text(m.select("split", "stem", "caption_sha256")).select("sha256")
+    return sinks.csv_checksum(m.select("split", "stem", "caption_sha256")).select("sha256")
 
 
 @register("snk10_dedupe_report", f"WITH {_SPLIT_DOCS}, g AS (SELECT sha256(text) AS s, count(*) AS n, count(DISTINCT split) AS k FROM sd GROUP BY 1 HAVING count(*) > 1) SELECT count(*) AS groups, sum(n - 1)::BIGINT AS removed, count(*) FILTER (WHERE k > 1) AS cross_split FROM g")

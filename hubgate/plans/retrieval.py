@@ -49,6 +49,7 @@ class Retrieval:
         self.truth = truth_of(matches)
         self._kept: list[DataFrame] = []
         self._shared: dict[str, DataFrame] = {}
+        self._others: dict[blocks.Blocks, Retrieval] = {}
 
     def _keep(self, df: DataFrame) -> DataFrame:
         self._kept.append(df.persist())
@@ -60,12 +61,21 @@ class Retrieval:
             self._shared[name] = stored(make(), name)
         return self._shared[name]
 
+    def in_blocks(self, sizes: blocks.Blocks) -> Retrieval:
+        """The same analysis by passes of other block and part sizes, with intermediates of its own."""
+        if sizes not in self._others:
+            self._others[sizes] = Retrieval(self.q, self.g, self.truth, self.params, sizes)
+        return self._others[sizes]
+
     def release(self) -> None:
         """Give the memory of all shared intermediates back."""
         for df in self._kept:
             df.unpersist()
         self._kept.clear()
         self._shared.clear()
+        for other in self._others.values():
+            other.release()
+        self._others.clear()
 
     @cached_property
     def n_gallery(self) -> int:

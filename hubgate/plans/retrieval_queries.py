@@ -43,6 +43,12 @@ def sql(select: str, *ctes: str) -> str:
 demo = retrieval.demo
 
 
+def _in_parts(spark, sf_dir):
+    """The analysis as for a query side beyond the broadcast bound: parts of 64 queries, whose results are merged, and
+    gallery blocks of 96 rows, over which top lists run."""
+    return demo(spark, sf_dir).in_blocks(blocks.Blocks(64, 96, 0))
+
+
 def _demo_bank(spark, sf_dir) -> DataFrame:
     """The table as a bank with ids in the image and caption form, and splits by a rule on the id."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -134,6 +140,10 @@ def fn20_row_caps(spark, sf_dir):
 
 
 @register("jn2_blocked_shortlist", sql("SELECT qid, rn::INT AS rank, cid, round(s, 6) AS s FROM r WHERE rn <= 51"))
+def jn2_blocked_shortlist(spark, sf_dir):
+    return rounded(_in_parts(spark, sf_dir).shortlist)
+
+
 @register("top2_shortlist", sql("SELECT qid, rn::INT AS rank, cid, round(s, 6) AS s FROM r WHERE rn <= 51"))
 def top2_shortlist(spark, sf_dir):
     return rounded(demo(spark, sf_dir).shortlist)
@@ -193,11 +203,16 @@ for _key, _column in (("psi1_csls", "csls"), ("psi2_qb_norm", "qb"), ("psi3_db_n
 
 
 @register("psi5_all_in_one_pass", sql("SELECT cid, round(csls, 6) AS csls, round(qb, 6) AS qb, round(db, 6) AS db, round(nnn, 6) AS nnn FROM psi"))
-@register("psi6_partial_final", sql("SELECT cid, round(csls, 6) AS csls, round(qb, 6) AS qb, round(db, 6) AS db, round(nnn, 6) AS nnn FROM psi"))
 def psi5_all_in_one_pass(spark, sf_dir):
     return rounded(demo(spark, sf_dir).psi_wide)
 
 
+@register("psi6_partial_final", sql("SELECT cid, round(csls, 6) AS csls, round(qb, 6) AS qb, round(db, 6) AS db, round(nnn, 6) AS nnn FROM psi"))
+def psi6_partial_final(spark, sf_dir):
+    """Top lists and sums of every part of the queries, merged by item."""
+    return rounded(_in_parts(spark, sf_dir).psi_wide)
+
+
 @register("psi7_dispatch", sql("SELECT method, round(min(psi), 6) AS psi_min, round(max(psi), 6) AS psi_max FROM pl GROUP BY method"))
 def psi7_dispatch(spark, sf_dir):
     return rounded(demo(spark, sf_dir).psi.groupBy("method").agg(F.min("psi").alias("psi_min"), F.max("psi").alias("psi_max")))
@@ -219,11 +234,15 @@ def top4_full_db(spark, sf_dir):
 
 
 @register("top6_pool_top1", sql("SELECT method, qid, pool FROM d"))
-@register("top10_blocked_pool", sql("SELECT method, qid, pool FROM d"))
 def top6_pool_top1(spark, sf_dir):
     return demo(spark, sf_dir).pool_top
 
 
+@register("top10_blocked_pool", sql("SELECT method, qid, pool FROM d"))
+def top10_blocked_pool(spark, sf_dir):
+    return _in_parts(spark, sf_dir).pool_top
+
+
 @register("top7_gated_pool", sql("SELECT method, qid, CASE WHEN cert_local THEN c1 ELSE pool END AS top1, cert_local AS skipped FROM d"))
 def top7_gated_pool(spark, sf_dir):
     return strategies.run_strategy(demo(spark, sf_dir), "selective_top50_pool").select("method", "qid", "top1", "skipped")
@@ -242,7 +261,9 @@ def top8_block_merge(spark, sf_dir):
 
 @register("top9_running_best", sql("SELECT method, qid, \"full\" FROM d"))
 def top9_running_best(spark, sf_dir):
-    return demo(spark, sf_dir).full_top
+    """The best item so far runs on over gallery blocks, within tasks and then between them."""
+    r = _in_parts(spark, sf_dir)
+    return r.best(r.q, r._method_list(), 1).select("method", "qid", F.col("cid").alias("full"))
 
 
 @register("top11_rerank_list", sql("SELECT method, qid, rf::INT AS rank, cid, round(score, 6) AS score FROM rr WHERE rf <= 10"))
@@ -475,11 +496,20 @@ def snk5_json_report(spark, sf_dir):
     return nested_report(metrics.certificate_report(demo(spark, sf_dir).decisions, "cert_global"), {"dataset": "embeddings", "csls_k": "20"}, "demo|i2t")
 
 
-@register("snk6_margin_curve_json")
+@register(
+    "snk6_margin_curve_json",
+    sql("SELECT 'demo|i2t' AS cell, method, bucket_no, bucket, n, pct_certified, pct_changed, delta_r1, cumulative_delta_r1 FROM (" + _BUCKETS.format(f="hit_full::INT", c="hit_cos::INT") + ")", _SPINE),
+)
 def snk6_margin_curve_json(spark, sf_dir):
-    from ..sinks import margin_curve_report
+    """The report is written as JSON text and read back."""
+    from ..sinks import margin_curve_report, scratch_path
 
-    return margin_curve_report(rounded(metrics.margin_buckets(demo(spark, sf_dir).decisions, "cert_global")), "demo|i2t")
+    path = scratch_path(spark, "margin-curves")
+    margin_curve_report(rounded(metrics.margin_buckets(demo(spark, sf_dir).decisions, "cert_global")), "demo|i2t").write.text(path)
+    curve = "array<struct<bucket_no: int, bucket: string, n: bigint, pct_certified: double, pct_changed: double, delta_r1: double, cumulative_delta_r1: double>>"
+    report = spark.read.text(path, wholetext=True).select(F.from_json("value", f"cells array<struct<cell: string, methods: array<struct<method: string, margin_buckets: {curve}>>>>").alias("r"))
+    cells = report.select(F.explode("r.cells").alias("c")).select("c.cell", F.explode("c.methods").alias("m"))
+    return cells.select("cell", "m.method", F.inline("m.margin_buckets"))
 
 
 @register("snk7_markdown_report")
@@ -695,14 +725,21 @@ def met25_26_bank_verification(spark, sf_dir):
 
 @register("met29_gated_against_full")
 def met29_gated_against_full(spark, sf_dir):
-    """Seconds of the second pass over all queries and over those that are not certified (penalties are there)."""
+    """Seconds of reranking all queries and of reranking those that a certificate leaves, over all methods: the second
+    pass over the gallery, and the cosine pool. Penalties, shortlist and certificates are there in either case."""
     from ..operators.timing import mean_seconds
 
     r = demo(spark, sf_dir)
-    csls = [("CSLS", "csls", None)]
-    rest = r.q.join(r.certificates.filter((F.col("method") == "CSLS") & ~r.certified("global")).select("qid"), "qid", "left_semi").persist()
-    full, gated = (mean_seconds(lambda q=q: r.best(q, csls, 1)) for q in (r.q, rest))
-    return spark.createDataFrame([("CSLS", full, gated, full / gated)], "method string, full_seconds double, gated_seconds double, speedup double")
+    r.scored_gallery.count(), r.scored_shortlist.count(), r.certificates.count()
+    seconds = lambda kind, scope: mean_seconds(lambda: r.gated(kind, scope=scope), warm_ups=1, repeats=2)
+    rows = []
+    for scope, kinds in (("full", ("global", "local")), ("pool", ("local", "maxform"))):
+        whole = seconds("never", scope)
+        for kind in kinds:
+            skipped = r.gated(kind, scope=scope).agg(F.avg(metrics.as_double("skipped"))).first()[0]
+            part = seconds(kind, scope)
+            rows.append((scope, kind, skipped, whole, part, whole / part))
+    return spark.createDataFrame(rows, "scope string, certificate string, skip_rate double, all_seconds double, gated_seconds double, speedup double")
 
 
 @register("ext_stream_scoring", sql("SELECT qid, CASE WHEN cert_global THEN c1 ELSE \"full\" END AS top1, cert_global AS certified FROM d WHERE method = 'CSLS'"))

@@ -60,14 +60,24 @@ def markdown(df: DataFrame, title: str, digits: int = 4) -> str:
     return "\n".join([*lines, *("| " + " | ".join(show(x) for x in row) + " |" for row in df.collect())]) + "\n"
 
 
-def csv_text(ordered: DataFrame) -> DataFrame:
-    """``text, sha256``: the rows as CSV in their order, with a header and the checksum of the text."""
+def csv_lines(ordered: DataFrame) -> DataFrame:
+    """``line``: the rows as CSV in their order, without the header."""
     cell = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
-    line = F.concat_ws(",", *map(cell, ordered.columns))
-    numbered = ordered.withColumn("__at", F.monotonically_increasing_id()).select("__at", line.alias("line"))
-    whole = numbered.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__at", "line"))), lambda x: x.line), "\n").alias("body"))
-    text = F.concat(F.lit(",".join(ordered.columns) + "\n"), "body", F.lit("\n"))
-    return whole.select(text.alias("text"), F.sha2(text, 256).alias("sha256"))
+    return ordered.select(F.concat_ws(",", *map(cell, ordered.columns)).alias("line"))
+
+
+def csv_checksum(ordered: DataFrame) -> DataFrame:
+    """``n_rows, n_bytes, sha256`` of the rows as CSV with a header.
+
+    A checksum is sequential: lines come to the driver in order, a partition at a time, and none is kept.
+    """
+    header = (",".join(ordered.columns) + "\n").encode()
+    digest, rows, size = hashlib.sha256(header), 0, len(header)
+    for row in csv_lines(ordered).toLocalIterator(prefetchPartitions=True):
+        data = (row["line"] + "\n").encode()
+        digest.update(data)
+        rows, size = rows + 1, size + len(data)
+    return ordered.sparkSession.createDataFrame([(rows, size, digest.hexdigest())], "n_rows long, n_bytes long, sha256 string")
 
 
 def write_csv(ordered: DataFrame, path: str) -> None:

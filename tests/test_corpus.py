@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import tarfile
@@ -155,8 +156,9 @@ def test_report_round_trip_and_guards(spark, tmp_path):
 
 def test_manifest_text_is_the_same_twice(spark):
     df = spark.createDataFrame([("train", "0", 'a "b"'), ("val", "1", None)], "split string, stem string, t string")
-    one_, two = (sinks.csv_text(df.repartition(k).orderBy("stem")).first() for k in (1, 3))
-    assert one_ == two and one_.text == 'split,stem,t\n"train","0","a ""b"""\n"val","1",""\n'
+    one_, two = (sinks.csv_checksum(df.repartition(k).orderBy("stem")).first() for k in (1, 3))
+    text = 'split,stem,t\n"train","0","a ""b"""\n"val","1",""\n'
+    assert one_ == two and tuple(one_) == (2, len(text), hashlib.sha256(text.encode()).hexdigest())
 
 
 def test_bank_verification(spark):
