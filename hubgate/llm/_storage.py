@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -59,6 +60,13 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are done: it does so when the driver collects what stood for
+    them, which may be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: So many long keys (some 20 MB as a hash table) are broadcast, whatever the session's own threshold is.
 BROADCAST_KEYS = 1 << 20
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._storage import discard, only, prepare, written
+from ._storage import discard, only, prepare, tidy, written
 from ._text import gather_runs, mix, pieces, span_hashes, text_buffer, window_hashes, word_spans
 from .components import connected_components
 
@@ -183,10 +183,12 @@ def _labelled(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, simi
         if not rows.groupBy("key").count().filter("count > 1").join(nodes, "key", "left_semi").isEmpty():
             own = own.withColumn("t", F.xxhash64("text")).dropDuplicates(["key", "t"]).drop("t")
         texts = written(own, "candidate-texts")
+        tidy(spark)
         maps = written(_bitmaps(texts, shingle), "bitmaps", narrow=True)
         components = _settled(members, _Bench(texts, maps, shingle, similar))
         discard(texts, maps)
     discard(members, nodes)
+    tidy(spark)
 
     named = classes.select("d1", "d2", "n", "node")
     if components is not None:

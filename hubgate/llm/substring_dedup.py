@@ -12,9 +12,11 @@ at a tenth of all positions. Level lengths are ``window`` halved, rounded up, do
 
 Items (part hash, text, position) travel packed: a task gathers those of its texts, keeps one of each hash that it
 saw alone and two of each that it saw more often (the rest is known to be repeated), and deals them to buckets by
-hash. A bucket finds the hashes that came twice; their places go back to the text they came from. Texts are known by
-128 bits of hash, so copies of a text share one answer, and a group of copies of any size sends each task's share of
-it once. No list of places or texts is ever held in one task beyond a bucket's share.
+hash, whose number follows the size of all texts. A bucket finds the hashes that came twice; their places go back to the
+text they came from. Lower levels compare 64 bits, which only select; the full windows are compared by 128. Texts are
+known by 128 bits of hash, so copies of a text share one answer, and a group of copies of any size sends each task's
+share of it once. No list of places or texts is ever held in one task beyond a bucket's share. Where marks come back to
+the texts, one row of marks meets all copies of a text, so an adaptive plan can split the copies between tasks.
 
 Rows: null and empty texts have no words and keep an empty text; texts shorter than a window keep all words. Repeated
 rows are copies: both lose what they repeat. All other columns pass through; ``n_words``, ``n_removed`` and the text
@@ -32,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._storage import prepare, written
+from ._storage import discard, prepare, tidy, written
 from ._text import pieces, span_hashes, text_buffer, window_hashes, word_spans
 
 _PLACE = np.dtype([("text", "<u4"), ("at", "<u4")])
 _FLUSH_ITEMS = 2_000_000
+#: A bucket for so many bytes of text, of whose positions the first level sends one in ten: some 4 MB of items.
+_BUCKET_TEXT, _MOST_PARTITIONS = 16 << 20, 1 << 16
 
 
 def level_lengths(window: int, first: int) -> list[int]:
@@ -70,13 +74,23 @@ def named_parts(words: np.ndarray, of_text: np.ndarray, window: int, length: int
     return starts, named[starts], parts
 
 
+def _order(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal rows of ``items`` together, and which of the rows so ordered equal the one before."""
+    order = np.argsort(items[:, 0])
+    s = items[order]
+    same = np.zeros(len(s), bool)
+    same[1:] = s[1:, 0] == s[:-1, 0]
+    if items.shape[1] > 1 and len(s) and (s[1:, 1:] != s[:-1, 1:])[same[1:]].any():
+        order = np.lexsort(items.T[::-1])
+        s = items[order]
+        same[1:] = (s[1:] == s[:-1]).all(axis=1)
+    return order, same
+
+
 def _pack(buckets: int, chunk: str, keys: list[np.ndarray], hashes: list[np.ndarray], places: list[np.ndarray]) -> pa.RecordBatch:
     """Rows of one chunk: its texts' keys, places known to be repeated, and its items by bucket."""
     h, p = np.concatenate(hashes), np.concatenate(places)
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    same = np.zeros(len(s), bool)
-    same[1:] = s[1:] == s[:-1]
+    order, same = _order(h)
     more = same.copy()
     more[:-1] |= same[1:]
     third = same.copy()
@@ -84,11 +98,11 @@ def _pack(buckets: int, chunk: str, keys: list[np.ndarray], hashes: list[np.ndar
     send = np.sort(order[~third])
     known = order[more]
     rows = [(-1, b"".join(k.tobytes() for k in keys), b""), (-2, b"", p[known].tobytes())]
-    bucket = (h[send] >> np.uint64(40)) % np.uint64(buckets)
+    bucket = (h[send, 0] >> np.uint64(32)) % np.uint64(buckets)
     by = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=np.uint64))
-    for b in np.flatnonzero(np.diff(cuts)).tolist():
-        own = send[by[cuts[b] : cuts[b + 1]]]
+    some, cuts = np.unique(bucket[by], return_index=True)
+    for b, i, j in zip(some.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(by)], strict=True):
+        own = send[by[i:j]]
         rows.append((b, h[own].tobytes(), p[own].tobytes()))
     return pa.RecordBatch.from_arrays(
         [pa.array([chunk] * len(rows)), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
@@ -99,8 +113,10 @@ def _pack(buckets: int, chunk: str, keys: list[np.ndarray], hashes: list[np.ndar
 def _repeated(texts: DataFrame, length: int, window: int, buckets: int) -> DataFrame:
     """``k1, k2, marks``: the positions of the parts that are repeated, packed, for each text that has any.
 
-    ``texts`` has k1, k2, text and ``marks`` of the level before (null at the first).
+    ``texts`` has k1, k2, text and ``marks`` of the level before (null at the first). The last level, which decides,
+    compares 128 bits of hash.
     """
+    lanes = 2 if length == window else 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, hashes, places, n, texts_seen = [], [], [], 0, 0
@@ -128,7 +144,8 @@ def _repeated(texts: DataFrame, length: int, window: int, buckets: int) -> DataF
                 place["text"], place["at"] = text_no + texts_seen, at - of_text[text]
                 texts_seen += len(some)
                 keys.append(np.stack([rows.column(0).to_numpy()[some], rows.column(1).to_numpy()[some]], axis=1))
-                hashes.append(parts[at])
+                second = [window_hashes(span_hashes(data, s, e, lane=1), length, lane=1)[at]] * (lanes - 1)
+                hashes.append(np.stack([parts[at], *second], axis=1))
                 places.append(place)
                 n += len(at)
                 if n >= _FLUSH_ITEMS:
@@ -138,11 +155,13 @@ def _repeated(texts: DataFrame, length: int, window: int, buckets: int) -> DataF
             yield _pack(buckets, uuid.uuid4().hex, keys, hashes, places)
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
-        items = [np.frombuffer(x.as_py(), "<u8") for x in group.column("items")]
+        items = [np.frombuffer(x.as_py(), "<u8").reshape(-1, lanes) for x in group.column("items")]
         places = np.concatenate([np.frombuffer(x.as_py(), _PLACE) for x in group.column("places")])
         ends = np.cumsum([0, *map(len, items)])
-        _, place, count = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
-        twice = count[place] > 1
+        order, same = _order(np.concatenate(items))
+        same[:-1] |= same[1:]
+        twice = np.zeros(len(order), bool)
+        twice[order] = same
         found = [places[a:b][twice[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         some = [i for i, f in enumerate(found) if len(f)]
         return pa.table({"chunk": pa.array([group.column("chunk")[i].as_py() for i in some], pa.string()), "bucket": pa.array([-2] * len(some), pa.int32()), "items": pa.array([b""] * len(some), pa.binary()), "places": pa.array([found[i].tobytes() for i in some], pa.binary())})
@@ -158,10 +177,14 @@ def _repeated(texts: DataFrame, length: int, window: int, buckets: int) -> DataF
 
     schema = "chunk string, bucket int, items binary, places binary"
     packed = written(texts.select("k1", "k2", "text", "marks").mapInArrow(cut, schema), f"windows-{length}")
-    met = packed.filter("bucket >= 0").groupBy("bucket").applyInArrow(meet, schema)
+    own = packed.filter("bucket >= 0")
+    dealt = own.repartitionById(buckets, F.col("bucket")) if buckets <= _MOST_PARTITIONS else own.repartition(_MOST_PARTITIONS, "bucket")
+    met = dealt.groupBy("bucket").applyInArrow(meet, schema)
     marks = packed.filter("bucket < 0").unionByName(met).groupBy("chunk").applyInArrow(back, "k1 long, k2 long, marks binary")
     # copies of a text in several chunks got the same marks, but for those that one of the chunks knew by itself
-    return written(marks.groupBy("k1", "k2").agg(F.max_by("marks", F.length("marks")).alias("marks")), f"repeated-{length}")
+    found = written(marks.groupBy("k1", "k2").agg(F.max_by("marks", F.length("marks")).alias("marks")), f"repeated-{length}")
+    discard(packed)
+    return found
 
 
 def remove_repeats(docs: DataFrame, *, text_col: str = "text", window: int = 35, first: int = 16, words_col: str = "n_words", removed_col: str = "n_removed") -> DataFrame:
@@ -169,15 +192,20 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", window: int = 35,
     removed."""
     spark = docs.sparkSession
     prepare(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keep = [c for c in docs.columns if c not in (words_col, removed_col)]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     k1, k2 = F.xxhash64(text), F.xxhash64(F.lit(11), text, F.length(text))
     source = docs.select(k1.alias("k1"), k2.alias("k2"), text.alias("text"))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = 1 + size // _BUCKET_TEXT
     marks = None
     for length in level_lengths(window, first):
         texts = source.withColumn("marks", F.lit(None).cast("binary")) if marks is None else source.join(marks, ["k1", "k2"])
-        marks = _repeated(texts, length, window, buckets)
+        before, marks = marks, _repeated(texts, length, window, buckets)
+        del texts
+        tidy(spark)
+        if before is not None:
+            discard(before)
         if marks.isEmpty():
             break
     base = docs.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in keep], k1.alias("__k1"), k2.alias("__k2"))
