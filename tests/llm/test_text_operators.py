@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -96,14 +97,21 @@ def brute_url(url):
     return host, path, best and best.text, best.verdict if best else "allow"
 
 
-def test_url_filter_by_trie_and_by_join(spark):
+def test_url_filter_by_one_trie_and_by_shards(spark):
     df = spark.createDataFrame([(i, u, "own") for i, u in enumerate([*URLS, *URLS])], "page_id long, url string, rule string")
     want = {i: brute_url(u) for i, u in enumerate([*URLS, *URLS])}
-    for most in (10, 0):
-        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df, RULES, max_broadcast_rules=most).collect()}
-        assert got == want
-    assert url_filter.judge_urls(df.limit(0), RULES).count() == 0
+    tables = [url_filter.judge_urls(df, RULES, max_trie_bytes=most) for most in (1 << 20, 0)] + [url_filter.judge_urls_by_shards(df, RULES, shards=n, deals=2) for n in (1, 3)]
+    for found in tables:
+        assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in found.collect()} == want
+    for most in (1 << 20, 0):
+        assert url_filter.judge_urls(df.limit(0), RULES, max_trie_bytes=most).count() == 0
     assert {r.verdict for r in url_filter.judge_urls(df, [], default="block").collect()} == {"block"}
+    assert {r.verdict for r in url_filter.judge_urls_by_shards(df, [], shards=2, default="block").collect()} == {"block"}
+
+
+def test_trie_is_bounded_by_measured_bytes():
+    sizes = [url_filter.trie_bytes(url_filter.RuleTrie(url_filter.Rule("block", f"site{i}.example.org", f"/p{i}/") for i in range(n))) for n in (1000, 2000)]
+    assert sizes[0] > 1000 * 500 and 1.8 < sizes[1] / sizes[0] < 2.2
 
 
 # --- 2: near-duplicates ----------------------------------------------------------------------------------------
@@ -314,20 +322,37 @@ def test_window_sums_number_the_occurrences_of_each_window():
 
 def test_decontamination_finds_passages_beside_a_repeated_word():
     words = [[f"w{i}x{j}" for j in range(200)] for i in range(40)]
-    groups = decontaminate.group_items([(i, " ".join(w)) for i, w in enumerate(words)], 5, 24, 8)
+    groups = decontaminate.group_items([(i, " ".join(w)) for i, w in enumerate(words)], 5, 31)
     texts = pa.array([" ".join(w[:179] + ["so"] * 21) for w in words], pa.string())  # similarity 175 / 217
     assert [(h[0], h[1], h[4], h[5]) for h in decontaminate.find_hits(texts, groups, 80)] == [(i, i, 175, 217) for i in range(40)]
 
 
 def test_block_index_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
-    prints = rng.integers(0, 1 << 63, 50).astype(np.uint64)
+    prints = rng.integers(0, 1 << 16, (50, 8)).astype(np.uint16)
     asked = prints[rng.integers(0, 50, 400)]
-    for _ in range(20):
-        asked = asked ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
-    q, i = decontaminate.BlockIndex(prints, 24, 8).within(asked)
-    near = np.bitwise_count(asked[:, None] ^ prints[None, :]) <= 24
-    assert set(zip(q.tolist(), i.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(near)), strict=True))
+    for _ in range(33):
+        asked[np.arange(400), rng.integers(0, 8, 400)] ^= np.uint16(1) << rng.integers(0, 16, 400).astype(np.uint16)
+    index = decontaminate.BlockIndex(prints, 31)
+    q, i = index.within(asked)
+    near = np.bitwise_count(asked[:, None] ^ prints[None, :]).sum(axis=2) <= 31
+    assert set(zip(q.tolist(), i.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(near)), strict=True)) and near.any()
+    # what has nothing in common with an item is its candidate once in 12 times
+    looked_at = len(index.candidates(rng.integers(0, 1 << 16, (4000, 8)).astype(np.uint16))[0]) / (4000 * 50)
+    assert looked_at < 0.1
+
+
+@pytest.mark.parametrize("own,least", [(20, 0.99), (15, 0.998), (11, 1.0)])
+def test_fingerprints_of_similar_passages_are_within_the_radius(own, least):
+    """Passages of 180 shingles of which ``own`` differ: similarities of exactly 0.8, 0.85 (0.846) and 0.88."""
+    rng = np.random.default_rng(3)
+    found = 0
+    for _ in range(1000):
+        a = rng.integers(0, 1 << 63, 180).astype(np.uint64)
+        b = np.concatenate([a[: 180 - own], rng.integers(0, 1 << 63, own).astype(np.uint64)])
+        x, y = (decontaminate.fingerprints(decontaminate.bag_sums(v)[None]) for v in (a, b))
+        found += len(decontaminate.BlockIndex(x, 31).within(y)[0])
+    assert found >= least * 1000
 
 
 # --- 4: lines --------------------------------------------------------------------------------------------------
@@ -359,6 +384,8 @@ def test_line_dedup_broadcast_and_packets(spark, most):
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()), key=str) == brute_lines(texts, ids)
     assert [c for c in got.columns if c not in ("n_lines", "n_dropped")] == [c for c in df.columns if c != "n_lines"]
     assert line_dedup.drop_frequent_lines(df.limit(0), max_broadcast_bytes=most).count() == 0
+    whole = line_dedup.drop_frequent_lines(df, max_broadcast_bytes=most, shard_lines=20, index_docs=1)  # every distinct line
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in whole.collect()), key=str) == brute_lines(texts, ids)
 
 
 def test_perfect_hash_is_minimal_and_survives_equal_slots():
@@ -369,10 +396,21 @@ def test_perfect_hash_is_minimal_and_survives_equal_slots():
     assert sorted(few.index(keys[:10]).tolist()) == list(range(10)) and (few.index(keys[10:20]) == -1).all()
 
 
+def test_shards_tell_keys_with_an_equal_lane_apart():
+    one, two = np.array([5, 9, 5, 5], np.uint64), np.array([1, 2, 3, 4], np.uint64)
+    shard = line_dedup.Shard.build(one, two, np.array([5, 6, 7, 4]), np.array([10, 20, 30, 40]))
+    shard = line_dedup.Shard.unpack(shard.pack())
+    asked = np.array([5, 5, 5, 5, 9, 5], np.uint64), np.array([1, 3, 3, 4, 2, 8], np.uint64), np.array([11, 31, 30, 41, 21, 1])
+    assert shard.probe(*asked, 5).tolist() == [True, True, False, False, True, False]
+    assert shard.probe(*asked, 4).tolist() == [True, True, False, True, True, False]
+
+
 # --- 5: WARC ---------------------------------------------------------------------------------------------------
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_warc_round_trip(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", most)
     html = ["<p>a</p>", "<p>a</p>", None, "", "é\r\n\r\nWARC/1.1", "<p>a</p>", "x" * 5000, "lone"]
     urls = ["http://b.com/1", "http://a.com/", "http://a.com/?q=1 2", None, "HTTP://A.com/", "http://b.com/1", "no scheme\r\nX: y", ""]
     ids = [3, 9, 1, 2, 4, 5, 6, None]
@@ -476,6 +514,81 @@ def test_token_counts(spark):
         with open(public_tokenizers.path(name), "rb") as f:
             rows = token_count.count_tokens(df, f.read(), kind).collect()
         assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in rows} == {i: (len((t or "").encode()), count(t or "")) for i, t in enumerate(texts)}
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        word = f.read()
+    twice = token_count.count_tokens(docs_of(spark, ["a b", "a b"], ids=[1, 1]), word, "json").collect()
+    assert [(r.doc_id, r.n_tokens) for r in twice] == [(1, 2), (1, 2)] and token_count.count_tokens(df.limit(0), word, "json").count() == 0
+
+
+def test_json_vocabularies_are_cut_only_where_counts_add_up(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    content = {}
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        with open(public_tokenizers.path(name), "rb") as f:
+            content[name] = f.read()
+        assert token_count.cuts_at_space(content[name])
+    d = json.loads(content["byte_bpe_50k.json"])
+    other = [d | {"pre_tokenizer": d["pre_tokenizer"] | {"add_prefix_space": True}}, d | {"pre_tokenizer": None}, d | {"normalizer": {"type": "Strip", "strip_left": True, "strip_right": True}}, d | {"pre_tokenizer": {"type": "Split", "pattern": {"Regex": r"[^\d]+"}, "behavior": "Removed", "invert": True}}]
+    other.append(d | {"added_tokens": [d["added_tokens"][0] | {"lstrip": True}]})
+    texts = [t for t in HARD if t] + corpus(3, 5)[20:]
+    for x in other:
+        raw = json.dumps(x).encode()
+        assert not token_count.cuts_at_space(raw)
+        plain = Tokenizer.from_str(raw.decode())
+        rows = token_count.count_tokens(docs_of(spark, texts), raw, "json").collect()
+        assert [r.n_tokens for r in sorted(rows)] == [len(plain.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_ids_that_are_null_decode_to_nothing(spark, ranks):
+    df = spark.createDataFrame([(1, None), (2, b""), (3, b"\x05\x00\x00\x00")], "doc_id long, ids binary")
+    rows = byte_bpe.decode(df, ranks).collect()
+    assert [r.decoded and bytes(r.decoded) for r in rows][:2] == [b"", b""] and len(rows[2].decoded) == 1
+    assert byte_bpe.decode(df.limit(0), ranks).count() == 0
+
+
+def test_texts_longer_than_a_piece(spark, ranks):
+    """Texts of more than the bytes a worker takes at once, whole and right, in every operator."""
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(170_000)]
+    line = "a line that is long enough to be counted in every text"
+    body = lambda w: "\n".join(" ".join(w[i : i + 200]) for i in range(0, len(w), 200))
+    long = body(words)
+    near = body([*words[:90_000], "edited", *words[90_001:]])
+    texts = [long, line + "\n" + near, "short", " ".join(words[500:560]), *[line + f"\n{i}" for i in range(4)], "word" * 300_000]
+    assert all(len(texts[i]) > 1 << 20 for i in (0, 1, 8))
+    df = docs_of(spark, texts)
+    full = {i: t for i, t in enumerate(texts)}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(df).collect()} == brute_components(texts, 5, 80)
+    bench = spark.createDataFrame([(1, " ".join(words[169_000:169_040]))], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.first_word) for r in decontaminate.contaminated(df, bench).collect()) == [(0, 1, 169_000), (1, 1, 169_012)]
+    got = line_dedup.drop_frequent_lines(df).collect()
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got), key=str) == brute_lines(texts, list(range(len(texts))))
+    assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup.remove_repeats(df).collect()} == brute_repeats(texts, 35)
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(ranks), special_tokens={})
+    coded = byte_bpe.encode(df.filter("doc_id < 3"), ranks, public_tokenizers.PATTERN, ids_col="packed", decoded_col="decoded").select("doc_id", "packed", "decoded").collect()
+    assert all(np.frombuffer(r.packed, "<u4").tolist() == plain.encode_ordinary(full[r.doc_id]) and bytes(r.decoded).decode() == full[r.doc_id] for r in coded)
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        word = f.read()
+    whole = Tokenizer.from_str(word.decode())
+    counted = token_count.count_tokens(df.filter("doc_id < 3"), word, "json").collect()
+    assert {r.doc_id: r.n_tokens for r in counted} == {i: len(whole.encode(full[i], add_special_tokens=False).ids) for i in range(3)}
+    rows = quality_rules.with_statistics(df.filter("doc_id in (0, 1, 8)")).collect()
+    assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_lines, r.n_dup_lines, r.n_repeat_words) for r in rows} == {i: brute_statistics(full[i]) for i in (0, 1, 8)}
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", texts[8])], "conv_id long, turn int, role string, text string")
+    back = chat_format.read_back(chat_format.render(turns)).first()
+    assert back.targets == [texts[8]] and back.turns[0].text == long
+    pages = spark.createDataFrame([(1, "http://a.com/" + "p/" * 600_000 + "?q", long), (2, "http://b.com/", long)], "page_id long, url string, html string")
+    assert [(r.host, len(r.path), r.verdict) for r in url_filter.judge_urls(pages, RULES).collect()] == [("a.com", 1_200_001, "allow"), ("b.com", 1, "allow")]
+    folder = warc.archive_folder(pages)
+    index = warc.build_index(warc.write_archive(pages, folder), folder)
+    read = warc.read_archive(pages.select(warc.capture_key(F.col("url"), F.col("page_id"))), index, payloads=True).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.payload and len(r.payload)) for r in read) == [(1, len(long), "revisit", None), (2, len(long), "response", len(long))]
 
 
 # --- 7: chat ---------------------------------------------------------------------------------------------------
@@ -512,6 +625,12 @@ def test_chat_targets_are_what_the_spans_cut(spark):
     assert chat_format.read_back(rendered).first().targets == ["one ### \\ two", "four"]
     shifted = F.transform("examples", lambda x: x.withField("target_start", F.when(x.target_start < 0, x.target_start).otherwise(x.target_start + 1)))
     assert chat_format.read_back(rendered.withColumn("examples", shifted)).first().targets == ["ne ### \\ two", "our"]
+    outside = F.transform("examples", lambda x: x.withField("target_start", F.lit(9999).cast("long")).withField("target_end", F.lit(-5).cast("long")))
+    assert chat_format.read_back(rendered.withColumn("examples", outside)).first().targets == ["", "", ""]
+    examples = chat_format.expand(rendered).select(F.length(chat_format.example_text(F.col("rendered"), F.col("end")))).collect()
+    assert chat_format.read_back(rendered).first().formatted_chars == sum(n for (n,) in examples)
+    plan = chat_format.read_back(rendered)._jdf.queryExecution().toString()
+    assert plan[plan.index("== Physical Plan ==") :].count("Exchange hashpartitioning") <= 1 and "Python" not in plan
 
 
 # --- 8: substrings ---------------------------------------------------------------------------------------------
@@ -540,6 +659,14 @@ def test_substring_dedup(spark, window, first):
     assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in got.collect()} == brute_repeats(texts, window)
 
 
+def test_full_windows_are_told_apart_by_both_lanes():
+    items = np.array([[7, 1], [7, 2], [3, 5], [7, 1], [7, 2], [7, 9]], np.uint64)
+    order, same = substring_dedup._order(items)
+    assert sorted(order.tolist()) == list(range(6)) and same.sum() == 2
+    assert all((items[order[i]] == items[order[i - 1]]).all() for i in np.flatnonzero(same))
+    assert substring_dedup._order(items[:, :1])[1].sum() == 4 and substring_dedup._order(items[:0])[1].sum() == 0
+
+
 def test_substring_dedup_of_many_partitions_and_empty_tables(spark):
     texts = corpus(7, 30)
     assert substring_dedup.remove_repeats(docs_of(spark, []), window=9).count() == 0
@@ -608,9 +735,14 @@ def test_pipeline_stages_do_what_their_operators_say(spark, tmp_path):
     passage = " ".join(f"bench{i}" for i in range(30))
     texts += ["start " * 3 + "of a text that holds a passage and some more words " + passage, "## ** || " * 30 + "words of junk text in here too"]
     ids += [1000, 1001]
+    # documents of a kind that the labels call bad, the base rules let pass and the learned list must reject
+    rng = random.Random(1)
+    junk = list(range(2000, 2060))
+    texts += [" ".join(f"<{rng.randrange(10**4)}> $$" for _ in range(rng.randrange(10, 60))) for _ in junk]
+    ids += junk
     d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, lang string, source string, n_chars long")
     d.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 1, 0) for i in ids[7:30]], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(i, int(i < 2000), 0) for i in [*ids[7:30], 1000, *junk]], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(0, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs, by_stage = d, {}
     for name, stage in corpus_pipeline.STAGES:
@@ -619,7 +751,15 @@ def test_pipeline_stages_do_what_their_operators_say(spark, tmp_path):
         if name != "byte_bpe":
             assert docs.columns == d.columns
     text = lambda df: {r.doc_id: r.text for r in df.collect()}
-    assert set(text(by_stage["quality_rules"][1])) == {i for i, t in zip(ids, texts, strict=True) if not (lambda x: x[0] < 10 or 100 * x[5] > 20 * x[0])(brute_statistics(t))}
+    rules = quality_rules.learn(quality_rules.labelled_rows(d, spark.read.parquet(str(tmp_path / "labels.parquet"))))
+
+    def keeps(t):
+        x = brute_statistics(t)
+        return not (x[0] < 10 or 100 * x[5] > 20 * x[0]) and not rules.rejects((x[0], x[1] / x[0], x[2] / x[0], x[4] / max(x[3], 1), x[5] / x[0]))
+
+    kept = {i for i, t in zip(ids, texts, strict=True) if keeps(t)}
+    assert rules.rules and not kept & set(junk) and {1000, *range(7, 30)} <= kept
+    assert set(text(by_stage["quality_rules"][1])) == kept
     before, after = (text(x) for x in by_stage["line_dedup"])
     assert after == {i: t for i, _, _, t in brute_lines(list(before.values()), list(before))}
     before, after = (text(x) for x in by_stage["minhash_dedup"])
