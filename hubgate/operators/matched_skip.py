@@ -95,3 +95,22 @@ def gate_pair_disagreement(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> D
     top: Column = F.when(F.col("skip"), F.col("c1")).otherwise(F.col("full"))
     other: Column = F.when(F.col("skip_b"), F.col("c1")).otherwise(F.col("full"))
     return d.groupBy(*keys).agg((100 * F.avg(as_double(F.col("skip") != F.col("skip_b")))).alias("decision_pct"), (100 * F.avg(as_double(top != other))).alias("top1_pct"))
+
+
+def evaluate_cell(retrieval, backbone: str, direction: str, rates: Sequence[float] = MARGIN_RATES, learned_share: float | None = None, seed: int = 7) -> DataFrame:
+    """The skip curves of one cell, ``cell, cert_local_topk, gate`` before the columns of ``skip_curve``: both
+    thresholds over all queries (gate ``threshold``), and, if ``learned_share`` of the queries is given to train on, the
+    same over the others with the score of a logistic gate in place of the slack (gate ``logistic``)."""
+    from . import learned
+
+    k = min(retrieval.params.local_k, retrieval.n_gallery)
+    curves = skip_curve(retrieval.decisions, rates).withColumn("gate", F.lit("threshold"))
+    if learned_share is not None:
+        own = retrieval.decisions.select("method", "qid", "margin", "slack_local", "c1", "full", (F.col("c1") == F.col("full")).cast("int").alias("y"))
+        folds = learned.fold_by_rank(own.select("qid").distinct(), learned_share, seed)
+        own = learned.stored(own.join(folds, "qid"), "cell-folds")
+        for (method,) in own.select("method").distinct().collect():
+            one = own.filter(F.col("method") == method)
+            scored = learned.logistic_gate(one.filter("fold = 'train'"), one.filter("fold = 'eval'"))
+            curves = curves.unionByName(skip_curve(scored.withColumn("slack_local", F.col("p")), rates).withColumn("gate", F.lit("logistic")))
+    return curves.select(F.lit(f"{backbone}|{direction}").alias("cell"), F.lit(k).alias("cert_local_topk"), "gate", *[c for c in curves.columns if c != "gate"])

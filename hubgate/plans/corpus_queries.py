@@ -267,11 +267,15 @@ def smp4_stems(spark, sf_dir):
 
 
 @register("smp5_calibration_head", f"WITH {_SPLIT_DOCS} SELECT doc_id FROM sd WHERE split = 'train' ORDER BY doc_id LIMIT 5000")
-@register("aux16_calibration_conversion", f"WITH {_SPLIT_DOCS} SELECT doc_id FROM sd WHERE split = 'train' ORDER BY doc_id LIMIT 5000")
 def smp5_calibration_head(spark, sf_dir):
     return _split_documents(spark, sf_dir).filter("split = 'train'").select("doc_id").orderBy("doc_id").limit(5000)
 
 
+@register("aux16_calibration_conversion", f"WITH {_SPLIT_DOCS} SELECT doc_id, split FROM sd UNION ALL (SELECT doc_id, 'train_calib' AS split FROM sd WHERE split = 'train' ORDER BY doc_id LIMIT 5000)")
+def aux16_calibration_conversion(spark, sf_dir):
+    return source.experiment_splits(_split_documents(spark, sf_dir).select("doc_id", "split"), "doc_id")
+
+
 @register("smp6_shuffle", f"WITH {_SPLIT_DOCS} SELECT doc_id, round({_U.format(key='doc_id', seed=1)}, 6) AS u FROM sd WHERE split = 'train'")
 def smp6_shuffle(spark, sf_dir):
     d = _split_documents(spark, sf_dir).filter("split = 'train'").withColumn("u", text.hash_uniform(F.col("doc_id"), 1))
@@ -339,6 +343,28 @@ def udf10_caption_bank(spark, sf_dir):
     return embed.embed_captions(c, "bench", "test").select("id", "idx", "split", "modality", F.size("v").alias("dim"))
 
 
+@register(
+    "udf10_image_text_split",
+    """WITH i AS (SELECT 'pages_test_' || page_id AS id, row_number() OVER (ORDER BY page_id) - 1 AS idx, 'image' AS modality FROM pages),
+c AS (SELECT 'pages_test_' || page_id || '_cap' || j AS id, row_number() OVER (ORDER BY page_id, j) - 1 AS idx, 'text' AS modality FROM pages, (SELECT unnest([0, 1]) AS j))
+SELECT id, idx, modality, 'test' AS split, 1.0::DOUBLE AS norm FROM i UNION ALL SELECT id, idx, modality, 'test', 1.0::DOUBLE FROM c""",
+)
+def udf10_image_text_split(spark, sf_dir):
+    """Pages as samples: the bytes of the url as the image, the url and its host as captions."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("idx"), F.encode("url", "utf-8").alias("image"), F.array(F.col("url"), F.coalesce(text.url_domain(F.col("url")), F.lit(""))).alias("sentences"))
+    bank = embed.split_bank(p, "pages", "test")
+    return rounded(bank.select("id", "idx", "modality", "split", vectors.norm(F.col("v")).alias("norm")))
+
+
+_TYPES = ", ".join(f"('{k}', '{m.name}', '{m.library}', '{m.dtype}', {m.batch}, '{m.modality}')" for k, m in embed.SPECS.items())
+
+
+@register("udf9_model_types", f"SELECT * FROM (VALUES {_TYPES}) t(kind, model_name, library, dtype, batch, modality)")
+def udf9_model_types(spark, sf_dir):
+    rows = [(k, m.name, m.library, m.dtype, m.batch, m.modality) for k, m in embed.SPECS.items()]
+    return spark.createDataFrame(rows, "kind string, model_name string, library string, dtype string, batch int, modality string")
+
+
 @register("aux12_meta_map", "SELECT doc_id, lang AS language FROM documents")
 def aux12_meta_map(spark, sf_dir):
     d = _documents(spark, sf_dir).select("doc_id", F.create_map(F.lit("language"), "lang").alias("meta"))

@@ -535,6 +535,10 @@ for _key, _rates in (("msk1_4_skip_curve", matched_skip.MARGIN_RATES), ("msk2_3_
     register(_key, sql(_CURVE_SELECT, _curve_rates(_rates)))(lambda spark, sf_dir, r=_rates: rounded(matched_skip.skip_curve(demo(spark, sf_dir).decisions, r)))
 
 
+register("aux7_cell_evaluation", sql("SELECT 'demo|i2t' AS cell, 50 AS cert_local_topk, 'threshold' AS gate, * FROM (" + _CURVE_SELECT + ")", _curve_rates(matched_skip.MARGIN_RATES)))(
+    lambda spark, sf_dir: rounded(matched_skip.evaluate_cell(demo(spark, sf_dir), "demo", "i2t"))
+)
+
 # Folds by hash: the same rows are train in both engines.
 _HASHED = "round_even(0.8 * n, 0)"
 _FOLDS = """

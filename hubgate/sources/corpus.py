@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import clean_string, eligible, json_number
 
@@ -206,15 +208,131 @@ def parse_cells(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def read_corpus(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Reader dispatch by kind: parquet, csv, json, pairs or tar."""
+def jpeg_bytes(df: DataFrame, column: str = "image", quality: int = 95) -> DataFrame:
+    """``df`` with ``column`` as encoded images: bytes stay, strings are their Latin-1 bytes ("?" for what is beyond),
+    and raw pixels (the struct of Spark's image source) become RGB JPEG where an image library is installed, else
+    null."""
+    kind = df.schema[column].dataType.typeName()
+    if kind == "binary":
+        return df
+    rest = [c for c in df.columns if c != column]
+    if kind == "string":
+        return df.select(*rest, F.encode(F.regexp_replace(F.col(column), "[^\\x{0}-\\x{FF}]", "?"), "iso-8859-1").alias(column))
+    pixels = df.select(*rest, F.col(f"{column}.height").alias("__h"), F.col(f"{column}.width").alias("__w"), F.col(f"{column}.nChannels").alias("__n"), F.col(f"{column}.data").alias("__data"))
+    schema = T.StructType([*[df.schema[c] for c in rest], T.StructField(column, T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+
+        import numpy as np
+
+        try:
+            from PIL import Image
+        except ImportError:
+            Image = None
+
+        def one(h, w, n, data) -> bytes | None:
+            if Image is None or not data:
+                return None
+            x = np.frombuffer(data, np.uint8).reshape(h, w, n)
+            out = io.BytesIO()  # the source has blue first
+            Image.fromarray(x[:, :, 2::-1] if n >= 3 else np.repeat(x, 3, axis=2)).convert("RGB").save(out, format="JPEG", quality=quality)
+            return out.getvalue()
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[len(rest) :]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array([one(*x) for x in zip(*columns, strict=True)], pa.binary())], names=schema.names)
+
+    return pixels.mapInArrow(run, schema)
+
+
+def flickr_captions(spark: SparkSession, captions: str, names: DataFrame) -> DataFrame:
+    """``idx, image, captions`` of the images of a split (``names``: image), from a caption file with image and caption
+    columns. Images are numbered in order of their names; those without captions keep their number and are left out."""
+    from ..functions.ranks import with_rank
+
+    lines = spark.read.option("header", "true").option("quote", '"').option("escape", '"').csv(captions)
+    own = captions_by_image(lines.withColumn("ordinal", F.monotonically_increasing_id()))
+    numbered = with_rank(names.select("image"), [], "image").select((F.col("__rank") - 1).alias("idx"), "image")
+    return numbered.join(own, "image").select("idx", "image", "captions")
+
+
+def organised_splits(images: DataFrame) -> DataFrame:
+    """``filename, split`` of split files: unknown and missing splits count as train, entries without a name go."""
+    known = F.when(F.col("split").isin("train", "val", "test"), F.col("split")).otherwise("train")
+    return images.filter(F.coalesce(F.col("filename"), F.lit("")) != "").select("filename", known.alias("split"))
+
+
+def experiment_splits(df: DataFrame, order: str, calibration: int = 5000, renamed: dict[str, str] | None = None) -> DataFrame:
+    """``df`` (with split) as experiments want it: ``validation`` is named val, and the first rows of train, by
+    ``order``, are there a second time as train_calib. That number of rows is the feature."""
+    names = {"validation": "val"} if renamed is None else renamed
+    split = F.col("split")
+    for old, new in names.items():
+        split = F.when(F.col("split") == old, new).otherwise(split)
+    out = df.withColumn("split", split)
+    head = out.filter("split = 'train'").orderBy(order).limit(calibration)
+    return out.unionByName(head.withColumn("split", F.lit("train_calib")))
+
+
+# Value types of a data set description and their Spark types.
+_VALUE_TYPES = {
+    "string": "string", "large_string": "string", "bool": "boolean", "int8": "byte", "int16": "short", "int32": "int", "int64": "bigint", "float32": "float", "float64": "double", "binary": "binary",
+}
+
+
+def _feature_type(feature) -> str:
+    if isinstance(feature, list):
+        return f"array<{_feature_type(feature[0])}>"
+    kind = feature.get("_type")
+    if kind == "Value":
+        return _VALUE_TYPES[feature["dtype"]]
+    if kind in ("Image", "Audio"):
+        return "struct<bytes: binary, path: string>"
+    if kind == "ClassLabel":
+        return "bigint"
+    if kind in ("Sequence", "List"):
+        return f"array<{_feature_type(feature['feature'])}>"
+    return "struct<" + ", ".join(f"`{k}`: {_feature_type(v)}" for k, v in feature.items()) + ">"
+
+
+def saved_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """A data set saved with its description (``dataset_info.json``) beside Arrow stream files; files are read in
+    parallel, record batches one at a time."""
+    info = json.loads(spark.read.text(f"{path}/dataset_info.json", wholetext=True).first()[0])
+    schema = ", ".join(f"`{k}` {_feature_type(v)}" for k, v in info["features"].items())
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(path).select("content")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                yield from pa.ipc.open_stream(content)
+
+    return files.mapInArrow(unpack, schema)
+
+
+def detected_kind(spark: SparkSession, path: str) -> str:
+    """What a folder holds: a saved data set, image and caption pairs, or files of one ending."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    there = lambda pattern: bool(store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{pattern}")))
+    for kind, patterns in {"saved": ["dataset_info.json"], "pairs": ["*.jpg", "*/*.jpg"], "tar": ["*.tar"], "parquet": ["*.parquet"], "csv": ["*.csv"], "json": ["*.json"]}.items():
+        if any(map(there, patterns)):
+            return kind
+    raise ValueError(f"nothing known in {path}")
+
+
+def read_corpus(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """Reader dispatch by kind: saved, parquet, csv, json, pairs or tar; without a kind it is detected."""
     readers = {
+        "saved": lambda: saved_dataset(spark, path),
         "parquet": lambda: spark.read.parquet(path),
         "csv": lambda: spark.read.option("header", "true").csv(path),
         "json": lambda: spark.read.json(path),
         "pairs": lambda: image_caption_pairs(spark, path),
-        "tar": lambda: tar_pairs(spark, path),
+        "tar": lambda: tar_pairs(spark, f"{path}/*.tar" if kind is None else path),
     }
-    if kind not in readers:
+    found = kind or detected_kind(spark, path)
+    if found not in readers:
         raise ValueError(f"unknown kind of corpus: {kind}")
-    return readers[kind]()
+    return readers[found]()

@@ -6,8 +6,10 @@ import hashlib
 import io
 import json
 import tarfile
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +221,144 @@ def test_audio_is_embedded_whole(spark):
     df = spark.createDataFrame([(quiet + [0.5, 0.25],), (quiet + [0.75, 0.125],), (quiet + [0.5, 0.25],), (None,)], "x array<float>")
     v = [r.v for r in embed.embed_column(df, "x", modality="audio").collect()]
     assert v[0] == v[2] and v[0] != v[1] and np.linalg.norm(v, axis=1) == pytest.approx(1.0)
+
+
+class FakeBackend:
+    """Remembers what it was given; vectors follow from it."""
+
+    def __init__(self, **out):
+        self.calls, self.out = [], out
+
+    def decode(self, data):
+        if data == b"broken":
+            raise ValueError("no image")
+        return ("decoded", data)
+
+    def blank(self, width, height):
+        return ("blank", width, height)
+
+    def images(self, images):
+        self.calls.append(images)
+        return self.wrap(np.array([[3.0, 4.0 + len(str(x))] for x in images]))
+
+    def texts(self, texts, padding):
+        self.calls.append((texts, padding))
+        return self.wrap(np.array([[len(t), 1.0] for t in texts]))
+
+    def audio(self, samples, rate):
+        self.calls.append((len(samples), rate))
+        return np.array([[samples.sum(), 1.0]])
+
+    def wrap(self, x):
+        if self.out.get("states"):
+            return (np.stack([x, x * 7], axis=1),)
+        if self.out.get("hidden"):
+            return SimpleNamespace(last_hidden_state=np.stack([x, x * 7], axis=1), pooler_output=None)
+        return SimpleNamespace(pooler_output=x) if self.out.get("pooler") else x
+
+    def project(self, modality, first):
+        return first[:, ::-1]
+
+    def metadata(self):
+        return {"embedding_dim": 2}
+
+
+def test_model_wrappers_follow_their_specs():
+    unit = lambda rows, dtype: embed.unit_rows(np.array(rows, float)).astype(dtype)
+    for kind, spec in embed.SPECS.items():
+        backend = FakeBackend(states=spec.projected)
+        model = embed.ModelEmbedder(spec, backend)
+        texts = ["t" * (i % 5) for i in range(spec.batch + 3)]
+        v = model.encode_texts(texts)
+        assert v.dtype == np.dtype(spec.dtype) and [len(c[0]) for c in backend.calls] == [spec.batch, 3] and {c[1] for c in backend.calls} == {spec.padding}
+        want = [[len(t), 1.0] for t in texts]
+        assert np.array_equal(v, unit([w[::-1] for w in want] if spec.projected else want, spec.dtype))
+        assert np.array_equal(model.encode_texts(texts[:2], normalize=False), np.array([w[::-1] if spec.projected else w for w in want[:2]], spec.dtype))
+        assert model.get_metadata() == {"model_name": spec.name, "dtype": spec.dtype, "library": spec.library, "embedding_dim": "2"}
+        backend.calls.clear()
+        if spec.placeholder:
+            model.encode_images([b"fine", b"broken", ("already", 1)])
+            assert backend.calls == [[("decoded", b"fine"), ("blank", 224, 224), ("already", 1)]]
+        else:
+            with pytest.raises(ValueError):
+                model.encode_images([b"broken"])
+    for out in ({}, {"pooler": True}, {"hidden": True}):
+        assert np.array_equal(embed.ModelEmbedder(embed.SPECS["siglip2"], FakeBackend(**out)).encode_texts(["ab"]), unit([[2, 1]], np.float32))
+    assert embed.ModelEmbedder(embed.SPECS["clip"], FakeBackend()).encode_texts([]).shape == (0, 0)
+
+
+def test_audio_goes_to_the_model_one_clip_at_a_time():
+    backend = FakeBackend()
+    model = embed.ModelEmbedder(embed.SPECS["clap"], backend)
+    clips = [np.ones(48_000), np.ones((2, 24_000 * 11)), np.ones(100)]
+    v = model.encode_audio(clips, [48_000, 24_000, 48_000])
+    assert backend.calls == [(480_000, 48_000)] * 3 and v.dtype == np.float16 and v.shape == (3, 2)
+    with pytest.raises(ValueError):
+        embed.ModelEmbedder(embed.SPECS["clip"], backend).encode_audio(clips)
+
+
+def test_registry_names_and_injected_backends(tmp_path):
+    assert {"clip", "siglip", "laion", "clap", "blip", "clip_b16", "openclip_vit_h14", "eva_clip_l14"} <= set(embed.REGISTRY) and set(embed.TYPES_SINGLE) <= set(embed.REGISTRY)
+    before = embed.REGISTRY["siglip2"]
+    embed.use_backend("siglip2", FakeBackend)
+    assert embed.embed_texts(["a"], "siglip2").dtype == np.float32 and embed.embed_images([b"x"], "siglip2").shape == (1, 2)
+    embed.REGISTRY["siglip2"] = before
+    assert not embed.only_pickled_weights(str(tmp_path))
+    (tmp_path / "pytorch_model.bin").write_bytes(b"")
+    assert embed.only_pickled_weights(str(tmp_path))
+    (tmp_path / "model.safetensors").write_bytes(b"")
+    assert not embed.only_pickled_weights(str(tmp_path))
+
+
+def test_split_banks(spark):
+    rows = [(0, b"a", ["x", "y"]), (3, None, ["gone"]), (5, b"b", ["z"]), (7, b"c", None)]
+    samples = spark.createDataFrame(rows, "idx long, image binary, sentences array<string>")
+    b = sorted((r.modality, r.idx, r.id, len(r.v)) for r in embed.split_bank(samples, "set", "val").collect())
+    assert b == [("image", 0, "set_val_0", 64), ("image", 1, "set_val_5", 64), ("text", 0, "set_val_0_cap0", 64), ("text", 1, "set_val_0_cap1", 64), ("text", 2, "set_val_5_cap0", 64)]
+    clips = spark.createDataFrame([(0, [0.5, 0.25], "one"), (1, [1.0], "two")], "idx long, audio array<float>, caption string")
+    b = sorted((r.modality, r.id) for r in embed.split_bank(clips, "set", "val", modality="audio").collect())
+    assert b == [("audio", "set_val_0"), ("audio", "set_val_1"), ("text", "set_val_0_cap0"), ("text", "set_val_1_cap0")]
+
+
+def test_saved_datasets_are_detected_and_read(spark, tmp_path):
+    info = {"features": {"id": {"dtype": "int64", "_type": "Value"}, "image": {"_type": "Image"}, "caption": [{"dtype": "string", "_type": "Value"}], "label": {"names": ["a"], "_type": "ClassLabel"}}}
+    (tmp_path / "dataset_info.json").write_text(json.dumps(info, indent=1))
+    data = pa.table({"id": [1, 2], "image": [{"bytes": b"x", "path": None}, None], "caption": [["c", "d"], []], "label": [0, None]}, schema=pa.schema([("id", pa.int64()), ("image", pa.struct([("bytes", pa.binary()), ("path", pa.string())])), ("caption", pa.list_(pa.string())), ("label", pa.int64())]))
+    with pa.OSFile(str(tmp_path / "data-00000-of-00001.arrow"), "wb") as f, pa.ipc.new_stream(f, data.schema) as out:
+        out.write_table(data)
+    got = source.read_corpus(spark, str(tmp_path)).orderBy("id").collect()
+    assert (got[0].id, bytes(got[0].image.bytes), got[0].caption, got[1].image, got[1].label) == (1, b"x", ["c", "d"], None, None)
+    other = tmp_path / "csv"
+    other.mkdir()
+    (other / "a.csv").write_text("image,caption\nb.jpg,two\na.jpg,one\nb.jpg,three\n")
+    assert source.detected_kind(spark, str(other)) == "csv" and source.read_corpus(spark, str(other)).count() == 3
+    names = spark.createDataFrame([("b.jpg",), ("a.jpg",), ("c.jpg",)], "image string")
+    assert [(r.idx, r.image, r.captions) for r in source.flickr_captions(spark, str(other / "a.csv"), names).orderBy("idx").collect()] == [(0, "a.jpg", ["one"]), (1, "b.jpg", ["two", "three"])]
+    with pytest.raises(ValueError):
+        source.detected_kind(spark, str(tmp_path / "nothing"))
+
+
+def test_splits_of_data_sets(spark):
+    images = spark.createDataFrame([("a", "train"), ("b", "restval"), ("c", None), ("d", "val"), ("", "test"), (None, "test")], "filename string, split string")
+    assert sorted(map(tuple, source.organised_splits(images).collect())) == [("a", "train"), ("b", "train"), ("c", "train"), ("d", "val")]
+    rows = spark.createDataFrame([(i, "train" if i < 4 else "validation") for i in range(6)], "i long, split string")
+    got = sorted((r.split, r.i) for r in source.experiment_splits(rows, "i", 2).collect())
+    assert got == [*[("train", i) for i in range(4)], ("train_calib", 0), ("train_calib", 1), ("val", 4), ("val", 5)]
+
+
+def test_images_as_jpeg(spark):
+    df = spark.createDataFrame([(1, b"\xff\xd8\xff")], "k int, image binary")
+    assert source.jpeg_bytes(df).first().image == b"\xff\xd8\xff"
+    text_ = source.jpeg_bytes(spark.createDataFrame([(1, "\xff\xd8中"), (2, None)], "k int, image string")).orderBy("k").collect()
+    assert bytes(text_[0].image) == b"\xff\xd8?" and text_[1].image is None
+    raw = spark.createDataFrame([(1, (1, 1, 3, b"\x01\x02\x03"))], "k int, image struct<height: int, width: int, nChannels: int, data: binary>")
+    out = source.jpeg_bytes(raw).first().image
+    assert out is None or bytes(out[:3]) == b"\xff\xd8\xff"
+
+
+def test_command_line_lists_and_refuses(capsys):
+    from hubgate.__main__ import main
+
+    assert main([]) == 0 and "top2_shortlist" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["no such query", "--tables", "x"])

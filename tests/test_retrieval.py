@@ -267,3 +267,10 @@ def test_ranks_and_quantiles_in_buckets(spark):
     for r in ranks.quantiles(df.filter("k is not null"), "x", shares, ["k"]).collect():
         assert r.q == pytest.approx(np.quantile([x for k, x, _ in rows if k == r.k and x is not None], shares).tolist(), abs=1e-12)
     assert ranks.with_rank(df.limit(0), ["k"], "x").count() == 0 and ranks.with_rank(df, [], "i").count() == 400
+
+
+def test_cells_with_a_learned_gate(cell):
+    _, _, r = cell
+    rows = matched_skip.evaluate_cell(r, "demo", "i2t", (0.25,), learned_share=0.5).collect()
+    assert {(x.cell, x.cert_local_topk, x.gate, x.method) for x in rows} == {("demo|i2t", 6, g, m) for g in ("threshold", "logistic") for m in METHODS}
+    assert {x.n_queries for x in rows if x.gate == "logistic"} == {11}
