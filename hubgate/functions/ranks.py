@@ -22,6 +22,13 @@ def _cuts(df: DataFrame, place: Column, buckets: int) -> list[Column]:
     return [F.struct(*[F.lit(x).cast(k).alias(f"f{j}") for j, (x, k) in enumerate(zip(p, kinds, strict=True))]) for p in picked]
 
 
+def bucket_of(df: DataFrame, value: Column, buckets: int) -> Column:
+    """The number of the bucket of neighbouring values that a row of ``df`` belongs to, the same in every use."""
+    place = F.struct(value.alias("f0"))
+    cuts = _cuts(df, place, buckets)
+    return F.size(F.filter(F.array(*cuts), lambda c: c < place)) if cuts else F.lit(0)
+
+
 def with_rank(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str] = (), *, descending: bool = False, rank: str = "__rank", total: str = "__n", buckets: int | None = None) -> DataFrame:
     """``df`` with the row number (from 1) by ``value`` and then ``ties`` within ``keys``, and the number of rows there.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import quantiles, with_rank
+from ..functions.ranks import bucket_of, quantiles, with_rank
 from .pairs import Truth, truth_of
 
 # Margin buckets (lower bound, upper bound or None for open, label).
@@ -123,7 +123,7 @@ def ks_statistic(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     both = a.select(x, F.lit(1).alias("i"), F.lit(0).alias("j")).unionAll(b.select(x, F.lit(0).alias("i"), F.lit(1).alias("j"))).filter("x is not null and not isnan(x)")
     counted = both.groupBy("x").agg(F.sum("i").alias("i"), F.sum("j").alias("j"))
     parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = counted.repartitionByRange(parts, "x").withColumn("part", F.spark_partition_id())
+    dealt = counted.withColumn("part", bucket_of(counted, F.col("x"), parts))
     own = Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     running = dealt.withColumn("ri", F.sum("i").over(own)).withColumn("rj", F.sum("j").over(own))
     totals = dealt.groupBy("part").agg(F.sum("i").alias("ti"), F.sum("j").alias("tj"))

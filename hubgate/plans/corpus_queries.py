@@ -60,7 +60,7 @@ def src5_parquet_listing(spark, sf_dir):
     return source.parquet_names(pages.select(name.alias("name")), "^part-", 20, pages.filter("page_id % 3 = 0").select(name.alias("name")))
 
 
-@register("src11_captions_by_image", "SELECT source AS image, count(*) AS n, sha256(string_agg(substr(text, 1, 40), '|' ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
+@register("src11_captions_by_image", "SELECT source AS image, count(*) AS n, sha256(string_agg(sha256(text), '|' ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
 def src11_captions_by_image(spark, sf_dir):
     # whole texts by their hash, which keeps an image's row small
     c = _documents(spark, sf_dir).select(F.col("source").alias("image"), F.sha2("text", 256).alias("caption"), F.col("doc_id").alias("ordinal"))

@@ -104,7 +104,7 @@ def jn1_all_pairs(spark, sf_dir):
     return rounded(blocks.all_pairs(r.q, r.g))
 
 
-@register("fn3_scaled_similarity", sql("SELECT qid, cid, round(s * 112.5 - 10.0, 6) AS s FROM r WHERE rn <= 5"))
+@register("fn3_scaled_similarity", sql("SELECT qid, cid, round(s * 112.5 - 10.0, 6) AS s FROM sim"))
 def fn3_scaled_similarity(spark, sf_dir):
     r = demo(spark, sf_dir)
     return rounded(blocks.all_pairs(r.q, r.g).select("qid", "cid", vectors.scaled_similarity(F.col("s"), 112.5, -10.0).alias("s")))
