@@ -20,8 +20,9 @@ with an item becomes its candidate once in 12 times.
 A window without any shingle of any item has similarity 0 to all of them. Only windows that hold one are
 fingerprinted, which loses nothing.
 
-The benchmark is broadcast in blocks of at most ``block_items`` items and ``block_words`` words, each of which is held
-against all documents; an item longer than that is a block of its own. A Python worker builds a block's index once.
+The benchmark is broadcast in blocks of at most ``block_items`` items and ``block_words`` words; an item longer than that
+is a block of its own. A scan of the documents holds them against ``scan_blocks`` blocks, whose indexes (some 70 MB each
+at most) a Python worker builds once; a larger benchmark takes several scans.
 
 Rows: null and empty texts and items have no words and no hits. An item without an id counts like any other; its hits
 have a null ``item_id``, one for each such item. A passage of a longer item is no hit for it (windows
@@ -36,6 +37,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,13 +166,14 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(data, s, e, lower=True), of_text
 
 
-def group_items(items: list[tuple[int | None, str]], shingle: int, radius: int) -> list[ItemGroup]:
+def group_items(items: list[tuple[int | None, str]], shingle: int, radius: int, first: int = 0) -> list[ItemGroup]:
+    """Items by length; ``first`` is the place of the first one in the benchmark."""
     words, of_text = _words(pa.array([t for _, t in items], pa.string()))
     by_size: dict[int, tuple[list, list]] = {}
     for place, ((item, _), a, b) in enumerate(zip(items, of_text[:-1].tolist(), of_text[1:].tolist(), strict=True)):
         if b > a:
             ids, bags = by_size.setdefault(b - a, ([], []))
-            ids.append((True, place) if item is None else (False, item))
+            ids.append((True, first + place) if item is None else (False, item))
             bags.append(window_hashes(words[a:b], min(shingle, b - a)))
     return [ItemGroup(n, shingle, ids, bags, radius) for n, (ids, bags) in sorted(by_size.items())]
 
@@ -178,11 +181,12 @@ def group_items(items: list[tuple[int | None, str]], shingle: int, radius: int)
 _last: dict[str, list[ItemGroup]] = {}
 
 
-def _built(name: str, items: list[tuple[int | None, str]], shingle: int, radius: int) -> list[ItemGroup]:
-    """The groups of a block of items, kept for the worker's next task."""
+def _built(blocks: list[tuple[str, int, list]], shingle: int, radius: int) -> list[ItemGroup]:
+    """The groups of a scan's blocks (name, place of the first item, items), kept for the worker's next task."""
+    name = "|".join(b[0] for b in blocks)
     if name not in _last:
         _last.clear()
-        _last[name] = group_items(items, shingle, radius)
+        _last[name] = [g for _, first, items in blocks for g in group_items(items, shingle, radius, first)]
     return _last[name]
 
 
@@ -251,6 +255,20 @@ def item_blocks(items: Iterable[tuple[int | None, str]], block_items: int, block
         yield block
 
 
+def _scans(benchmark: DataFrame, item_col: str, item_text_col: str, block_items: int, block_words: int, scan_blocks: int) -> Iterator[list[Broadcast]]:
+    """The benchmark as broadcast blocks, ``scan_blocks`` for each scan; items come to the driver one block at a time."""
+    passages = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text")).filter("text is not null")
+    scan, first = [], 0
+    for block in item_blocks(((r[0], r[1]) for r in passages.toLocalIterator()), block_items, block_words):
+        scan.append(benchmark.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, first, block)))
+        first += len(block)
+        if len(scan) == scan_blocks:
+            yield scan
+            scan = []
+    if scan:
+        yield scan
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -264,24 +282,20 @@ def contaminated(
     radius: int = 31,
     block_items: int = 2_000,
     block_words: int = 400_000,
+    scan_blocks: int = 4,
 ) -> DataFrame:
     """Hits: ``doc_id, item_id, first_word, n_words, n_common, n_either``, the best (then first) window of every row
-    of ``docs`` for every item it holds. Clean documents have no row.
-
-    Items come to the driver one block at a time.
-    """
+    of ``docs`` for every item it holds. Clean documents have no row."""
     spark = docs.sparkSession
     prepare(spark)
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     names = ["doc_id", "item_id", "first_word", "n_words", "n_common", "n_either"]
     schema = ", ".join(f"{n} long" for n in names)
-    passages = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text")).filter("text is not null")
     out = None
-    for block in item_blocks(((r[0], r[1]) for r in passages.toLocalIterator()), block_items, block_words):
-        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
+    for scan in _scans(benchmark, item_col, item_text_col, block_items, block_words, scan_blocks):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            groups = _built(*shared.value, shingle, radius)
+        def run(batches: Iterator[pa.RecordBatch], scan=scan) -> Iterator[pa.RecordBatch]:
+            groups = _built([b.value for b in scan], shingle, radius)
             for batch in batches:
                 for rows in pieces(batch, "text", 1 << 21):
                     hits = list(find_hits(rows.column(1), groups, similar)) if groups else []
@@ -294,18 +308,16 @@ def contaminated(
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, similar: int = 80, radius: int = 31, block_items: int = 2_000, block_words: int = 400_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, similar: int = 80, radius: int = 31, block_items: int = 2_000, block_words: int = 400_000, scan_blocks: int = 4) -> DataFrame:
     """``docs`` without the rows that hold a passage; rows are judged where they are read, without a join."""
     spark = docs.sparkSession
     prepare(spark)
-    passages = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text")).filter("text is not null")
     at = docs.columns.index(text_col)
     out = docs
-    for block in item_blocks(((r[0], r[1]) for r in passages.toLocalIterator()), block_items, block_words):
-        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
+    for scan in _scans(benchmark, item_col, item_text_col, block_items, block_words, scan_blocks):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            groups = _built(*shared.value, shingle, radius)
+        def run(batches: Iterator[pa.RecordBatch], scan=scan) -> Iterator[pa.RecordBatch]:
+            groups = _built([b.value for b in scan], shingle, radius)
             for batch in batches:
                 for rows in pieces(batch, text_col, 1 << 21):
                     clean = np.ones(rows.num_rows, bool)

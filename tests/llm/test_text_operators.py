@@ -293,8 +293,8 @@ def test_decontamination(spark):
     texts = [say(80) + " " + items[0][1].upper() + "\n" + say(10), items[1][1], "x " + items[2][1] + " y", None, "", say(30), " ".join(changed) + " z", items[0][1] + "\n" + items[1][1], "a " * 30, say(20)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute_hits(texts, items)
-    for words in (400_000, 70):  # one block of items, and several
-        got = {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.n_common, r.n_either) for r in decontaminate.contaminated(docs_of(spark, texts), bench, block_words=words).collect()}
+    for words, scan in ((400_000, 4), (70, 4), (70, 1)):  # one block of items, several in a scan, and several scans
+        got = {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.n_common, r.n_either) for r in decontaminate.contaminated(docs_of(spark, texts), bench, block_words=words, scan_blocks=scan).collect()}
         assert got == want
     clean = decontaminate.drop_contaminated(docs_of(spark, texts), bench)
     assert sorted(r.doc_id for r in clean.collect()) == sorted(set(range(len(texts))) - {d for d, _ in want})
@@ -306,8 +306,9 @@ def test_decontamination_by_items_without_an_id(spark):
     say = lambda k, n: " ".join(f"{k}{j}" for j in range(n))
     bench = spark.createDataFrame([(None, say("a", 20)), (None, say("b", 20)), (7, say("c", 20)), (None, None)], "item_id long, text string")
     texts = ["x " + say("a", 20) + " " + say("b", 20), say("c", 20), say("d", 40)]
-    hits = decontaminate.contaminated(docs_of(spark, texts), bench).collect()
-    assert sorted((r.doc_id, r.item_id or -1, r.first_word) for r in hits) == [(0, -1, 1), (0, -1, 21), (1, 7, 0)]
+    for most in (2000, 1):
+        hits = decontaminate.contaminated(docs_of(spark, texts), bench, block_items=most).collect()
+        assert sorted((r.doc_id, r.item_id or -1, r.first_word) for r in hits) == [(0, -1, 1), (0, -1, 21), (1, 7, 0)]
     assert [r.doc_id for r in decontaminate.drop_contaminated(docs_of(spark, texts), bench).collect()] == [2]
 
 
