@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import json
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +65,90 @@ def src5_parquet_listing(spark, sf_dir):
     return source.parquet_names(pages.select(name.alias("name")), "^part-", 20, pages.filter("page_id % 3 = 0").select(name.alias("name")))
 
 
+def _stem(column: str):
+    return F.lpad(F.col(column).cast("string"), 8, "0")
+
+
+@register("src8_tar_shards", "SELECT 'shard-' || (page_id % 4) AS shard, lpad(page_id::VARCHAR, 8, '0') AS stem, octet_length(encode(url)) AS image_bytes, sha256(html) AS caption_sha256 FROM pages WHERE url IS NOT NULL AND html IS NOT NULL")
+def src8_tar_shards(spark, sf_dir):
+    """Pages are packed into tar shards (the bytes of the url as the image, the html as the caption) and read back."""
+    p = table(spark, sf_dir, "pages").filter("url is not null and html is not null")
+    member = lambda c, ending: p.select(F.concat(F.lit("shard-"), (F.col("page_id") % 4).cast("string")).alias("shard"), _stem("page_id").alias("stem"), F.lit(ending).alias("ending"), F.encode(c, "utf-8").alias("content"))
+    folder = sinks.scratch_path(spark, "tar-shards")
+    sinks.write_files(sinks.tar_files(member("url", "jpg").unionByName(member("html", "txt")), "shard"), folder)
+    back = source.tar_pairs(spark, f"{folder}/*.tar")
+    return back.select(F.regexp_extract("shard", r"([^/]+)\.tar$", 1).alias("shard"), "stem", F.octet_length("image").cast("long").alias("image_bytes"), F.sha2("caption", 256).alias("caption_sha256"))
+
+
+@register("src9_10_image_caption_files", "SELECT CASE WHEN item_id % 2 = 0 THEN 'test' ELSE 'val' END AS split, lpad(item_id::VARCHAR, 8, '0') AS stem, octet_length(encode(text)) AS image_bytes, sha256(text) AS caption_sha256 FROM benchmark WHERE item_id % 5 <> 0")
+def src9_10_image_caption_files(spark, sf_dir):
+    """Items become an image and a caption file each, but for every fifth caption; files without a partner are left
+    out."""
+    b = table(spark, sf_dir, "benchmark")
+    place = lambda ending: F.concat(F.when(F.col("item_id") % 2 == 0, "test/").otherwise("val/"), _stem("item_id"), F.lit(ending)).alias("name")
+    content = F.encode("text", "utf-8").alias("content")
+    folder = sinks.scratch_path(spark, "image-files")
+    sinks.write_files(b.select(place(".jpg"), content).unionByName(b.filter("item_id % 5 <> 0").select(place(".txt"), content)), folder)
+    back = source.read_corpus(spark, folder)
+    return back.select("split", "stem", F.octet_length("image").cast("long").alias("image_bytes"), F.sha2("caption", 256).alias("caption_sha256"))
+
+
+@register("src12_saved_dataset", "SELECT item_id, sha256(text) AS sha FROM benchmark")
+def src12_saved_dataset(spark, sf_dir):
+    """Items are saved as Arrow stream files with a description beside them, detected by it and read back."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), "text")
+
+    def pack(batches):
+        for batch in batches:
+            out = io.BytesIO()
+            with pa.ipc.new_stream(out, batch.schema) as stream:
+                stream.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([f"data-{uuid.uuid4().hex}.arrow"]), pa.array([out.getvalue()], pa.binary())], names=["name", "content"])
+
+    value = lambda kind: {"dtype": kind, "_type": "Value"}
+    info = json.dumps({"features": {"item_id": value("int64"), "text": value("string")}})
+    described = spark.createDataFrame([("dataset_info.json", info.encode())], "name string, content binary")
+    folder = sinks.scratch_path(spark, "saved-data-set")
+    sinks.write_files(b.mapInArrow(pack, "name string, content binary").unionByName(described), folder)
+    return source.read_corpus(spark, folder).select("item_id", F.sha2("text", 256).alias("sha"))
+
+
+@register("src17_split_file", "SELECT lpad(item_id::VARCHAR, 8, '0') || '.jpg' AS filename, CASE WHEN item_id % 3 = 1 THEN 'val' ELSE 'train' END AS split, item_id * 2 + j AS sentid, CASE WHEN j = 0 THEN text ELSE lower(text) END AS raw FROM benchmark, (SELECT unnest([0, 1]) AS j)")
+def src17_split_file(spark, sf_dir):
+    """Items as the images of a split file (one JSON document, as the format has it), with two sentences each; the
+    unknown split restval counts as train."""
+    b = table(spark, sf_dir, "benchmark")
+    sentence = lambda j, c: F.struct((F.col("item_id") * 2 + j).alias("sentid"), c.alias("raw"))
+    split = F.when(F.col("item_id") % 3 == 0, "train").when(F.col("item_id") % 3 == 1, "val").otherwise("restval")
+    image = F.struct(F.concat(_stem("item_id"), F.lit(".jpg")).alias("filename"), split.alias("split"), F.array(sentence(0, F.col("text")), sentence(1, F.lower("text"))).alias("sentences"))
+    path = sinks.scratch_path(spark, "split-file")
+    b.agg(F.to_json(F.struct(F.collect_list(image).alias("images")))).write.text(path)
+    rows = source.karpathy_captions(spark, path)
+    own = source.organised_splits(rows.select("filename", "split").distinct())
+    return rows.drop("split").join(own, "filename").select("filename", "split", "sentid", "raw")
+
+
+@register("fn14_decodable", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 2")
+def fn14_decodable(spark, sf_dir):
+    """Whole texts behind the first bytes of a JPEG, of a PNG, or bare; only the bytes of images are kept (without an
+    image library by their beginning)."""
+    d = _documents(spark, sf_dir)
+    head = F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("FFD8FF"))).when(F.col("doc_id") % 3 == 1, F.unhex(F.lit("89504E470D0A1A0A"))).otherwise(F.unhex(F.lit("00")))
+    return source.decodable(d.select("doc_id", F.concat(head, F.encode("text", "utf-8")).alias("image"))).select("doc_id")
+
+
+@register("aux6_parsed_cells", "SELECT * FROM (VALUES ('clip', 'i2t'), ('clip', 't2i'), ('siglip', 'i2t')) t(backbone, direction)")
+def aux6_parsed_cells(spark, sf_dir):
+    return spark.createDataFrame(source.parse_cells("clip|i2t,clip|t2i siglip|i2t"), "backbone string, direction string")
+
+
+@register("aux11_jpeg_bytes", "SELECT doc_id, length(text) AS n FROM documents")
+def aux11_jpeg_bytes(spark, sf_dir):
+    """Texts taken for encoded images held in strings: one byte for each character."""
+    d = _documents(spark, sf_dir).select("doc_id", F.col("text").alias("image"))
+    return source.jpeg_bytes(d).select("doc_id", F.octet_length("image").cast("long").alias("n"))
+
+
 @register("src11_captions_by_image", "SELECT source AS image, count(*) AS n, sha256(string_agg(sha256(text), '|' ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
 def src11_captions_by_image(spark, sf_dir):
     # whole texts by their hash, which keeps an image's row small

@@ -489,11 +489,17 @@ def snk3_slack_dump(spark, sf_dir):
     return rounded(d.select("method", "qid", "margin", F.col("b_global").alias("b_q"), F.col("slack_global").alias("slack"), F.col("cert_global").alias("certified"), (F.col("c1") != F.col("full")).alias("changed_full"), F.col("c1").alias("cosine_top1"), F.col("full").alias("full_rerank_top1")))
 
 
-@register("snk5_json_report")
+@register("snk5_json_report", sql("SELECT 'demo|i2t' AS cell, '20' AS csls_k, method, n_queries, n_certified, round(cos_r1, 6) AS cos_r1, round(full_r1, 6) AS full_r1 FROM (" + _REPORT.format("global") + ")"))
 def snk5_json_report(spark, sf_dir):
-    from ..sinks import nested_report
+    """The report is written as JSON text and read back."""
+    from ..sinks import nested_report, scratch_path
 
-    return nested_report(metrics.certificate_report(demo(spark, sf_dir).decisions, "cert_global"), {"dataset": "embeddings", "csls_k": "20"}, "demo|i2t")
+    path = scratch_path(spark, "json-report")
+    nested_report(metrics.certificate_report(demo(spark, sf_dir).decisions, "cert_global"), {"dataset": "embeddings", "csls_k": "20"}, "demo|i2t").write.text(path)
+    methods = "array<struct<method: string, n_queries: bigint, n_certified: bigint, cos_r1: double, full_r1: double>>"
+    report = spark.read.text(path, wholetext=True).select(F.from_json("value", f"config map<string, string>, cells array<struct<cell: string, methods: {methods}>>").alias("r"))
+    cells = report.select(F.col("r.config")["csls_k"].alias("csls_k"), F.explode("r.cells").alias("c"))
+    return rounded(cells.select("c.cell", "csls_k", F.inline("c.methods")))
 
 
 @register(

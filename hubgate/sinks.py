@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import io
+import tarfile
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +63,44 @@ def markdown(df: DataFrame, title: str, digits: int = 4) -> str:
     return "\n".join([*lines, *("| " + " | ".join(show(x) for x in row) + " |" for row in df.collect())]) + "\n"
 
 
+def write_files(files: DataFrame, folder: str) -> int:
+    """Rows ``name, content`` as files below a shared folder, and their number. Tasks write under names of their own
+    and move a file to its place when it is whole, so a task may be repeated."""
+    spark = files.sparkSession
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store.create_dir(f"{top}/{name}".rpartition("/")[0], recursive=True)
+                own = f"{top}/_{uuid.uuid4().hex}"
+                with store.open_output_stream(own, compression=None) as out:
+                    out.write(content)
+                store.move(own, f"{top}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    done = files.select("name", F.col("content").cast("binary")).mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return stored(done, "written").first()["n"]
+
+
+def tar_files(members: DataFrame, shard: str) -> DataFrame:
+    """``name, content`` of tar files, one per value of ``shard``, from members ``shard, stem, ending, content``."""
+
+    def build(key: tuple, group: pa.Table) -> pa.Table:
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as tar:
+            for stem, ending, content in sorted(zip(*(group.column(c).to_pylist() for c in ("stem", "ending", "content")), strict=True)):
+                info = tarfile.TarInfo(f"{stem}.{ending}")
+                info.size = len(content)
+                tar.addfile(info, io.BytesIO(content))
+        return pa.table({"name": [f"{key[0].as_py()}.tar"], "content": pa.array([out.getvalue()], pa.binary())})
+
+    own = members.select(F.col(shard).cast("string").alias("shard"), "stem", "ending", "content")
+    return own.groupBy("shard").applyInArrow(build, "name string, content binary")
+
+
 def csv_lines(ordered: DataFrame) -> DataFrame:
     """``line``: the rows as CSV in their order, without the header."""
     cell = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
