@@ -426,7 +426,7 @@ def udf1_hashing_embeddings(spark, sf_dir):
     return rounded(v.select("item_id", F.size("v").alias("dim"), vectors.norm(F.col("v")).alias("norm"), F.col("v")[0].alias("v1")))
 
 
-@register("udf10_caption_bank")
+@register("udf10_caption_bank", "SELECT 'bench_test_' || item_id || '_cap0' AS id, item_id AS idx, 'test' AS split, 'text' AS modality, 64 AS dim FROM benchmark")
 def udf10_caption_bank(spark, sf_dir):
     c = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("bench_test_"), F.col("item_id").cast("string"), F.lit("_cap0")).alias("caption_id"), F.col("item_id").alias("ordinal"), F.col("text").alias("caption"))
     return embed.embed_captions(c, "bench", "test").select("id", "idx", "split", "modality", F.size("v").alias("dim"))

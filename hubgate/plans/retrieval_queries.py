@@ -9,7 +9,7 @@ from ..functions import vectors
 from ..operators import learned, matched_skip, metrics, order, pairs, strategies
 from ..sources import bank
 from . import blocks, retrieval
-from .registry import register, rounded
+from .registry import ORACLES, register, rounded
 
 # Shared SQL: similarities, ranks, penalties, certificates, reranked top-1 and hits, with the default parameters.
 BASE = """
@@ -518,11 +518,16 @@ def snk6_margin_curve_json(spark, sf_dir):
     return cells.select("cell", "m.method", F.inline("m.margin_buckets"))
 
 
-@register("snk7_markdown_report")
+_CELLS = " || ' | ' || ".join(f"format('{{:.4f}}', {c})" for c in ("selected_fraction", "r1", "r1_gap_full", "r1_gap_pool", "pct_disagree_full", "pct_disagree_pool"))
+
+
+@register("snk7_markdown_report", f"SELECT '| ' || strategy || ' | ' || method || ' | ' || n_queries || ' | ' || {_CELLS} || ' |' AS line FROM ({ORACLES['met12_strategy_table']})")
 def snk7_markdown_report(spark, sf_dir):
+    """The rows of a Markdown report, below its head."""
     from ..sinks import markdown
 
-    return spark.createDataFrame([(markdown(strategies.strategy_table(demo(spark, sf_dir)).orderBy("method", "strategy"), "Strategies"),)], "report string")
+    report = markdown(rounded(strategies.strategy_table(demo(spark, sf_dir))).orderBy("method", "strategy"), "Strategies")
+    return spark.createDataFrame([(line,) for line in report.splitlines()[4:]], "line string")
 
 
 _CURVE = """cut AS (SELECT method, rate, quantile_cont(margin, 1 - rate) AS tau_margin, quantile_cont(slack_local, 1 - rate) AS tau_slack FROM d, rates GROUP BY method, rate),
