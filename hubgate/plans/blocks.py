@@ -68,23 +68,25 @@ def pass_over_pairs(q: DataFrame, g: DataFrame, extra: list[str], make: Callable
     """Run the kernel that ``make`` gives for a number of queries over blocks that together hold every pair once.
 
     ``q`` has qid and v, ``g`` has cid, v and the ``extra`` columns, which the kernel gets as arrays. Ids are longs.
+    ``want``, if ``q`` has it, is a long that the kernel finds among the extras, a value for each query of the block.
     ``state`` is what the kernel keeps for a query, in bytes.
     """
+    own_columns = [c for c in ("want",) if c in q.columns]
     spark = q.sparkSession
     prepare(spark)
     n, width = q.agg(F.count("*"), F.max(F.size("v"))).first()
     most = max(blocks.queries, blocks.broadcast_bytes // (8 * (width or 1)))
     parts = -(-n // max(1, min(most, blocks.state_bytes // max(state, 1))))
-    own = q.select("qid", "v", F.pmod(F.xxhash64("qid"), F.lit(max(parts, 1))).alias("part"))
+    own = q.select("qid", "v", *own_columns, F.pmod(F.xxhash64("qid"), F.lit(max(parts, 1))).alias("part"))
     out = None
     for part in range(parts):
-        rows = own.filter(F.col("part") == part).select("qid", "v").orderBy("qid").toArrow()
+        rows = own.filter(F.col("part") == part).select("qid", "v", *own_columns).orderBy("qid").toArrow()
         if not rows.num_rows:
             continue
-        shared = spark.sparkContext.broadcast((rows.column("qid").to_numpy(), matrix(rows.column("v"))))
+        shared = spark.sparkContext.broadcast((rows.column("qid").to_numpy(), matrix(rows.column("v")), {c: rows.column(c).to_numpy() for c in own_columns}))
 
         def stream(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qids, left = shared.value
+            qids, left, asked = shared.value
             kernel = make(len(qids))
             held: list[pa.RecordBatch] = []
 
@@ -93,7 +95,8 @@ def pass_over_pairs(q: DataFrame, g: DataFrame, extra: list[str], make: Callable
                 t = t.take(pa.array(np.argsort(t.column("cid").to_numpy(), kind="stable")))
                 cids, right, extras = t.column("cid").to_numpy(), matrix(t.column("v")), {c: t.column(c).to_numpy() for c in extra}
                 for at in range(0, len(qids), blocks.queries):
-                    yield from kernel.add(at, qids[at : at + blocks.queries], left[at : at + blocks.queries], cids, right, extras)
+                    some = slice(at, at + blocks.queries)
+                    yield from kernel.add(at, qids[some], left[some], cids, right, extras | {c: x[some] for c, x in asked.items()})
 
             for batch in batches:
                 for at in range(0, batch.num_rows, blocks.gallery):
@@ -138,9 +141,9 @@ class RunningTop:
         self.k = k
         self.score, self.s, self.cid = np.full((n, k), -np.inf), np.full((n, k), -np.inf), np.full((n, k), self.NONE)
 
-    def add(self, at: int, score: np.ndarray, s: np.ndarray, cids: np.ndarray) -> None:
+    def add(self, own: slice | np.ndarray, score: np.ndarray, s: np.ndarray, cids: np.ndarray) -> None:
+        """Scores of the queries at the places ``own``."""
         top = top_rows(score, None if score is s else s, self.k)
-        own = slice(at, at + len(score))
         new = np.take_along_axis(score, top, 1), np.take_along_axis(s, top, 1), cids[top]
         both = [np.concatenate([x[own], y], axis=1) for x, y in zip((self.score, self.s, self.cid), new, strict=True)]
         order = np.lexsort((both[2], -both[1], -both[0]), axis=-1)[:, : self.k]
@@ -162,7 +165,7 @@ def shortlist(q: DataFrame, g: DataFrame, k: int, blocks: Blocks | None = None)
 
         def add(self, at, qids, left, cids, right, extras):
             s = left @ right.T
-            self.top.add(at, s, s, cids)
+            self.top.add(slice(at, at + len(qids)), s, s, cids)
             yield from ()
 
         def finish(self, qids):
@@ -223,7 +226,8 @@ def reranked(q: DataFrame, g: DataFrame, methods: list[tuple[str, str, float | N
     """``method, qid, cid, s, score`` of the k best per task by each method's score.
 
     ``methods`` are (name, column of ``g`` with its penalty, temperature of the log form or None). Equal scores go to
-    the larger similarity, then to the smaller id.
+    the larger similarity, then to the smaller id. A column ``want`` of ``q`` has a bit for each method, in their order,
+    by which the query is reranked; the similarities are computed once for all methods.
     """
 
     class Lists(Kernel):
@@ -231,10 +235,12 @@ def reranked(q: DataFrame, g: DataFrame, methods: list[tuple[str, str, float | N
             self.top = [RunningTop(n, k) for _ in methods]
 
         def add(self, at, qids, left, cids, right, extras):
-            s = left @ right.T
-            for (_, column, tau), top in zip(methods, self.top, strict=True):
-                psi = extras[column][None, :]
-                top.add(at, s - psi if tau is None else np.log(np.maximum(s, 1e-12)) + tau * (s - psi), s, cids)
+            every = left @ right.T
+            for i, ((_, column, tau), top) in enumerate(zip(methods, self.top, strict=True)):
+                some = np.flatnonzero(extras["want"] >> i & 1) if "want" in extras else np.arange(len(qids))
+                if len(some):
+                    s, psi = every[some], extras[column][None, :]
+                    top.add(at + some, s - psi if tau is None else np.log(np.maximum(s, 1e-12)) + tau * (s - psi), s, cids)
             yield from ()
 
         def finish(self, qids):

@@ -198,13 +198,14 @@ class Retrieval:
         if scope == "pool":
             done = self._best_of_pool(self.scored_shortlist.join(rest, ["method", "qid"], "left_semi")).withColumnRenamed("pool", "top1")
             return out.unionByName(done.withColumn("skipped", F.lit(False)))
+        # one pass for all methods: a query takes part with those that have not skipped it
         own = [m for m in self._method_list() if m[0] in methods]
-        # without a certificate all methods have the same queries, so they share one pass
-        for some in [own] if kind == "never" else [[m] for m in own]:
-            asked = rest.filter(F.col("method") == some[0][0]).select("qid")
-            found = self.best(self.q.join(asked, "qid", "left_semi"), some, 1)
-            out = out.unionByName(found.select("method", "qid", F.col("cid").alias("top1"), F.lit(False).alias("skipped")))
-        return out
+        bit = F.lit(0).cast("long")
+        for i, m in enumerate(own):
+            bit = F.when(F.col("method") == m[0], F.lit(1 << i).cast("long")).otherwise(bit)
+        asked = rest.groupBy("qid").agg(F.sum(bit).alias("want"))
+        found = self.best(self.q.join(asked, "qid"), own, 1)
+        return out.unionByName(found.select("method", "qid", F.col("cid").alias("top1"), F.lit(False).alias("skipped")))
 
     @cached_property
     def decisions(self) -> DataFrame:
