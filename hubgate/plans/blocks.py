@@ -17,7 +17,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[2])
@@ -60,6 +60,10 @@ class Kernel:
     def add(self, at: int, qids: np.ndarray, left: np.ndarray, cids: np.ndarray, right: np.ndarray, extras: dict) -> Iterator[pa.RecordBatch]:
         yield from ()
 
+    def block_done(self, cids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Called when a block of gallery rows has met all queries of the part."""
+        yield from ()
+
     def finish(self, qids: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield from ()
 
@@ -97,6 +101,7 @@ def pass_over_pairs(q: DataFrame, g: DataFrame, extra: list[str], make: Callable
                 for at in range(0, len(qids), blocks.queries):
                     some = slice(at, at + blocks.queries)
                     yield from kernel.add(at, qids[some], left[some], cids, right, extras | {c: x[some] for c, x in asked.items()})
+                yield from kernel.block_done(cids)
 
             for batch in batches:
                 for at in range(0, batch.num_rows, blocks.gallery):
@@ -194,32 +199,52 @@ def all_pairs(q: DataFrame, g: DataFrame, blocks: Blocks | None = None) -> DataF
     return pass_over_pairs(q, g, [], Pairs, "qid long, cid long, s double", blocks or Blocks(1024, 1024))
 
 
-def gallery_statistics(q: DataFrame, g: DataFrame, ks: tuple[int, ...], taus: tuple[float, ...], blocks: Blocks | None = None) -> tuple[DataFrame, DataFrame]:
-    """Per gallery item: ``cid, k, mean`` over its k most similar queries, and ``cid, tau, lse`` = log sum exp(tau s)."""
-    most, taus = max(ks), tuple(sorted(set(taus)))
-    names = ["cid", "tau", "peak", "total", "s"]
+def gallery_statistics(q: DataFrame, g: DataFrame, ks: tuple[int, ...], taus: tuple[float, ...], blocks: Blocks | None = None) -> DataFrame:
+    """Per gallery item: ``cid, mean_<k>`` over its k most similar queries, and ``lse_<i>`` = log sum exp(tau s) for
+    each of ``taus`` in their order.
+
+    A task sends one row for each item; an item's rows (as many as there are parts of the queries) meet in one group."""
+    most = max(ks)
+
+    def lists(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1)))
 
     class Statistics(Kernel):
         def __init__(self, n: int):
-            pass
+            self.held = None
 
         def add(self, at, qids, left, cids, right, extras):
             s = right @ left.T
-            k, none = min(most, s.shape[1]), lambda n: pa.nulls(n, pa.float64())
-            top = -np.sort(-np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k :], axis=1)
+            k = min(most, s.shape[1])
+            top = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k :]
             peak = s.max(axis=1)
-            for tau in taus:
-                total = np.exp(tau * (s - peak[:, None])).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(cids), pa.array(np.full(len(cids), tau)), pa.array(tau * peak), pa.array(total), none(len(cids))], names=names)
-            n = k * len(cids)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cids, k)), none(n), none(n), none(n), pa.array(top.reshape(-1))], names=names)
-
-    partial = pass_over_pairs(q, g, [], Statistics, "cid long, tau double, peak double, total double, s double", blocks or Blocks()).persist()
-    ranked = partial.filter("s is not null").withColumn("rank", F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("s")))).filter(F.col("rank") <= most)
-    means = ranked.groupBy("cid").agg(*[F.avg(F.when(F.col("rank") <= k, F.col("s"))).alias(f"mean_{k}") for k in sorted(set(ks))])
-    peaks = partial.filter("tau is not null").groupBy("cid", "tau").agg(F.max("peak").alias("top"), F.collect_list(F.struct("peak", "total")).alias("parts"))
-    merged = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p.total * F.exp(p.peak - F.col("top")))
-    return means, peaks.select("cid", "tau", (F.col("top") + F.ln(merged)).alias("lse"))
+            peaks = np.stack([tau * peak for tau in taus], axis=1)
+            totals = np.stack([np.exp(tau * (s - peak[:, None])).sum(axis=1) for tau in taus], axis=1)
+            if self.held is not None:
+                before, p, t = self.held
+                top, high = np.concatenate([before, top], axis=1), np.maximum(p, peaks)
+                top = np.partition(top, max(0, top.shape[1] - most), axis=1)[:, max(0, top.shape[1] - most) :]
+                peaks, totals = high, t * np.exp(p - high) + totals * np.exp(peaks - high)
+            self.held = top, peaks, totals
+            yield from ()
+
+        def block_done(self, cids):
+            if self.held is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(cids), *map(lists, self.held)], names=["cid", "top", "peaks", "totals"])
+                self.held = None
+
+    partial = pass_over_pairs(q, g, [], Statistics, "cid long, top array<double>, peaks array<double>, totals array<double>", blocks or Blocks())
+    merged = partial.groupBy("cid").agg(F.collect_list("top").alias("top"), F.collect_list(F.struct("peaks", "totals")).alias("parts")).withColumn("top", F.sort_array(F.flatten("top"), asc=False))
+
+    def mean(k: int) -> Column:
+        first = F.slice("top", 1, k)
+        return F.aggregate(first, F.lit(0.0), lambda acc, x: acc + x) / F.size(first)
+
+    def lse(i: int) -> Column:
+        peak = F.array_max(F.transform("parts", lambda p: p.peaks[i]))
+        return peak + F.ln(F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p.totals[i] * F.exp(p.peaks[i] - peak)))
+
+    return merged.select("cid", *[mean(k).alias(f"mean_{k}") for k in sorted(set(ks))], *[lse(i).alias(f"lse_{i}") for i in range(len(taus))])
 
 
 def reranked(q: DataFrame, g: DataFrame, methods: list[tuple[str, str, float | None]], k: int, blocks: Blocks | None = None) -> DataFrame:

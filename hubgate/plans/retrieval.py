@@ -77,6 +77,10 @@ class Retrieval:
             other.release()
         self._others.clear()
 
+    @cached_property
+    def n_queries(self) -> int:
+        return self.q.count()
+
     @cached_property
     def n_gallery(self) -> int:
         return self.g.count()
@@ -85,10 +89,8 @@ class Retrieval:
     def psi_wide(self) -> DataFrame:
         """``cid`` and the penalty of each method."""
         p = self.params
-        means, lse = blocks.gallery_statistics(self.q, self.g, (p.csls_k, p.nnn_k), (p.qb_tau, p.db_tau), self.sizes)
-        by_tau = lambda tau: F.max(F.when(F.col("tau") == tau, F.col("lse"))) / tau
-        sums = lse.groupBy("cid").agg(by_tau(p.qb_tau).alias("qb"), by_tau(p.db_tau).alias("db"))
-        return self._keep(means.join(sums, "cid").select("cid", (F.col(f"mean_{p.csls_k}") / 2).alias("csls"), "qb", "db", (p.nnn_w * F.col(f"mean_{p.nnn_k}")).alias("nnn")))
+        found = blocks.gallery_statistics(self.q, self.g, (p.csls_k, p.nnn_k), (p.qb_tau, p.db_tau), self.sizes)
+        return self._keep(found.select("cid", (F.col(f"mean_{p.csls_k}") / 2).alias("csls"), (F.col("lse_0") / p.qb_tau).alias("qb"), (F.col("lse_1") / p.db_tau).alias("db"), (p.nnn_w * F.col(f"mean_{p.nnn_k}")).alias("nnn")))
 
     @cached_property
     def psi(self) -> DataFrame:

@@ -44,9 +44,10 @@ demo = retrieval.demo
 
 
 def _in_parts(spark, sf_dir):
-    """The analysis as for a query side beyond the broadcast bound: parts of 64 queries, whose results are merged, and
-    gallery blocks of 96 rows, over which top lists run."""
-    return demo(spark, sf_dir).in_blocks(blocks.Blocks(64, 96, 0))
+    """The analysis as for a query side beyond the broadcast bound: some six parts of the queries, whose results are
+    merged, and small gallery blocks, over which top lists run."""
+    r = demo(spark, sf_dir)
+    return r.in_blocks(blocks.Blocks(max(64, -(-r.n_queries // 6)), 96, 0))
 
 
 def _demo_bank(spark, sf_dir) -> DataFrame:
@@ -129,7 +130,7 @@ def fn18_clamped_log(spark, sf_dir):
 @register("fn19_log_sum_exp", sql("SELECT cid, round(ln(sum(exp(20 * s))), 6) AS lse FROM sim GROUP BY cid"))
 def fn19_log_sum_exp(spark, sf_dir):
     r = demo(spark, sf_dir)
-    return rounded(blocks.gallery_statistics(r.q, r.g, (1,), (20.0,))[1].select("cid", "lse"))
+    return rounded(blocks.gallery_statistics(r.q, r.g, (1,), (20.0,)).select("cid", F.col("lse_0").alias("lse")))
 
 
 # the caps are the feature
@@ -255,7 +256,7 @@ def top8_block_merge(spark, sf_dir):
 
     r = demo(spark, sf_dir)
     w = Window.partitionBy("qid").orderBy(F.desc("s"), "cid")
-    found = shortlist(r.q, r.g, 5, Blocks(64, 96, 0)).withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
+    found = shortlist(r.q, r.g, 5, Blocks(max(64, -(-r.n_queries // 6)), 96, 0)).withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
     return rounded(found.select("qid", "rank", "cid", "s"))
 
 
@@ -694,7 +695,7 @@ def lrn7_gate_evaluation(spark, sf_dir):
 def lrn8_recompute_difference(spark, sf_dir):
     """Stored certificates against the same from a pass of its own, by the plan for two large sides."""
     r = demo(spark, sf_dir)
-    again = retrieval.Retrieval(r.q, r.g, r.truth, r.params, blocks.Blocks(queries=256, broadcast_bytes=0))
+    again = retrieval.Retrieval(r.q, r.g, r.truth, r.params, blocks.Blocks(queries=max(64, -(-r.n_queries // 3)), broadcast_bytes=0))
     near = again.shortlist.filter(F.col("rank") <= r.params.local_k).join(again.psi, "cid")
     at = lambda k, c: F.max(F.when(F.col("rank") == k, F.col(c)))
     own = near.groupBy("method", "qid").agg((at(1, "psi") - F.min("psi")).alias("b_local"), (at(1, "s") - at(2, "s") - at(1, "psi") + F.min("psi")).alias("slack_local"))
