@@ -14,8 +14,16 @@ from pyspark.sql import functions as F
 _PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Rows in an Arrow batch where the session has Spark's default of 10,000, which for texts is tens of MB on either side.
+_BATCH_ROWS = 2000
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package even if the driver put it on sys.path by hand."""
+    """Let Python workers import this package even if the driver put it on sys.path by hand, and keep Arrow batches
+    small. Results do not depend on the batches."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(_BATCH_ROWS))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if _PACKAGE_ROOT not in have.split(os.pathsep):

@@ -170,7 +170,7 @@ def chunk_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.concatenate([starts[1:], [len(data)]])[: len(starts)], np.searchsorted(starts, offsets)
 
 
-CACHED_CHUNKS = 200_000
+CACHED_CHUNKS = 100_000
 
 
 def cached(chunks: list[bytes], encode, cache: dict[bytes, object]) -> list:
