@@ -4,8 +4,9 @@ Queries are broadcast and gallery rows stream past them where they are read, so
 side of more than ``broadcast_bytes`` (as counted) is dealt to parts of that size; the gallery is read once for each,
 and the parts' results are merged by grouped aggregates. A task keeps one running top list per query and emits it
 when it ends, so (queries x k) rows leave a task however many gallery rows it reads; parts are small enough for the
-lists to fit in ``state_bytes``. The matrix of all similarities never exists, but for ``all_pairs``, whose rows are
-the pairs.
+lists to fit in ``state_bytes``. At most ``cells`` similarities exist in a task at once, however large the blocks, so
+a task's memory is its part of the queries, their lists and a few arrays of that size. The matrix of all similarities
+never exists, but for ``all_pairs``, whose rows are the pairs.
 """
 
 from __future__ import annotations
@@ -35,13 +36,20 @@ def prepare(spark: SparkSession) -> None:
 
 @dataclass(frozen=True)
 class Blocks:
-    """Rows of a block, the largest broadcast of queries and the largest state of a task. A part has at least one
-    block of queries."""
+    """Rows of a block, the largest broadcast of queries, the largest state of a task and the similarities it computes
+    at once. A part has at least one block of queries."""
 
     queries: int = 4096
     gallery: int = 4096
     broadcast_bytes: int = 128 << 20
     state_bytes: int = 128 << 20
+    cells: int = 1 << 18
+
+
+def tiles(rows: int, columns: int, cells: int) -> Iterator[slice]:
+    """Even cuts of a block's rows: each has at most ``cells`` similarities to the columns, or one row."""
+    n = -(-rows // max(1, cells // max(1, columns)))
+    return (slice(rows * i // n, rows * (i + 1) // n) for i in range(n))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -204,7 +212,7 @@ def gallery_statistics(q: DataFrame, g: DataFrame, ks: tuple[int, ...], taus: tu
     each of ``taus`` in their order.
 
     A task sends one row for each item; an item's rows (as many as there are parts of the queries) meet in one group."""
-    most = max(ks)
+    most, sizes = max(ks), blocks or Blocks()
 
     def lists(x: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1)))
@@ -214,26 +222,29 @@ def gallery_statistics(q: DataFrame, g: DataFrame, ks: tuple[int, ...], taus: tu
             self.held = None
 
         def add(self, at, qids, left, cids, right, extras):
-            s = right @ left.T
+            done = [self.merged(right[own] @ left.T, None if self.held is None else [x[own] for x in self.held]) for own in tiles(len(cids), len(qids), sizes.cells)]
+            self.held = [np.concatenate(x) for x in zip(*done, strict=True)]
+            yield from ()
+
+        def merged(self, s, held):
             k = min(most, s.shape[1])
-            top = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k :]
+            top = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k :].copy()  # a view would keep all of s
             peak = s.max(axis=1)
-            peaks = np.stack([tau * peak for tau in taus], axis=1)
-            totals = np.stack([np.exp(tau * (s - peak[:, None])).sum(axis=1) for tau in taus], axis=1)
-            if self.held is not None:
-                before, p, t = self.held
+            sums = {tau: np.exp(tau * (s - peak[:, None])).sum(axis=1) for tau in set(taus)}
+            peaks, totals = np.stack([tau * peak for tau in taus], axis=1), np.stack([sums[tau] for tau in taus], axis=1)
+            if held is not None:
+                before, p, t = held
                 top, high = np.concatenate([before, top], axis=1), np.maximum(p, peaks)
-                top = np.partition(top, max(0, top.shape[1] - most), axis=1)[:, max(0, top.shape[1] - most) :]
+                top = np.partition(top, max(0, top.shape[1] - most), axis=1)[:, max(0, top.shape[1] - most) :].copy()
                 peaks, totals = high, t * np.exp(p - high) + totals * np.exp(peaks - high)
-            self.held = top, peaks, totals
-            yield from ()
+            return top, peaks, totals
 
         def block_done(self, cids):
             if self.held is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(cids), *map(lists, self.held)], names=["cid", "top", "peaks", "totals"])
                 self.held = None
 
-    partial = pass_over_pairs(q, g, [], Statistics, "cid long, top array<double>, peaks array<double>, totals array<double>", blocks or Blocks())
+    partial = pass_over_pairs(q, g, [], Statistics, "cid long, top array<double>, peaks array<double>, totals array<double>", sizes)
     merged = partial.groupBy("cid").agg(F.collect_list("top").alias("top"), F.collect_list(F.struct("peaks", "totals")).alias("parts")).withColumn("top", F.sort_array(F.flatten("top"), asc=False))
 
     def mean(k: int) -> Column:

@@ -274,3 +274,44 @@ def test_cells_with_a_learned_gate(cell):
     rows = matched_skip.evaluate_cell(r, "demo", "i2t", (0.25,), learned_share=0.5).collect()
     assert {(x.cell, x.cert_local_topk, x.gate, x.method) for x in rows} == {("demo|i2t", 6, g, m) for g in ("threshold", "logistic") for m in METHODS}
     assert {x.n_queries for x in rows if x.gate == "logistic"} == {11}
+
+
+def _kernel(monkeypatch, call, n):
+    """The kernel that an operator hands to the pass, for n queries."""
+    made = []
+
+    class Stop(Exception):
+        pass
+
+    def catch(q, g, extra, make, *rest):
+        made.append(make(n))
+        raise Stop
+
+    monkeypatch.setattr(blocks, "pass_over_pairs", catch)
+    with pytest.raises(Stop):
+        call()
+    return made[0]
+
+
+def _peak_mb(kernel, n, m, extras):
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    left, right = unit(rng, n, 8), unit(rng, m, 8)
+    tracemalloc.start()
+    for at in (0, m):
+        list(kernel.add(0, np.arange(n), left, np.arange(at, at + m), right, extras))
+        list(kernel.block_done(np.arange(at, at + m)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / (1 << 20)
+
+
+def test_statistics_hold_few_similarities_at_once(monkeypatch):
+    kernel = _kernel(monkeypatch, lambda: blocks.gallery_statistics(None, None, (1, 4), (20.0, 5.0)), 4096)
+    assert _peak_mb(kernel, 4096, 2048, {}) < 30  # a block's similarities alone take 64
+
+
+def test_a_large_query_block_does_not_grow_the_statistics(monkeypatch):
+    kernel = _kernel(monkeypatch, lambda: blocks.gallery_statistics(None, None, (1, 4), (20.0,), blocks.Blocks(queries=20_000, broadcast_bytes=0)), 20_000)
+    assert _peak_mb(kernel, 20_000, 512, {}) < 30
