@@ -154,13 +154,22 @@ class RunningTop:
         self.k = k
         self.score, self.s, self.cid = np.full((n, k), -np.inf), np.full((n, k), -np.inf), np.full((n, k), self.NONE)
 
-    def add(self, own: slice | np.ndarray, score: np.ndarray, s: np.ndarray, cids: np.ndarray) -> None:
-        """Scores of the queries at the places ``own``."""
-        top = top_rows(score, None if score is s else s, self.k)
-        new = np.take_along_axis(score, top, 1), np.take_along_axis(s, top, 1), cids[top]
-        both = [np.concatenate([x[own], y], axis=1) for x, y in zip((self.score, self.s, self.cid), new, strict=True)]
-        order = np.lexsort((both[2], -both[1], -both[0]), axis=-1)[:, : self.k]
-        self.score[own], self.s[own], self.cid[own] = (np.take_along_axis(x, order, 1) for x in both)
+    def add(self, own: np.ndarray, score: np.ndarray, s: np.ndarray, cids: np.ndarray) -> None:
+        """Scores of the queries at the places ``own``. Only those that reach the last of a full list are looked at."""
+        row, col = np.nonzero(score >= self.score[own, -1][:, None])
+        if len(row) > 2 * self.k * len(own):
+            col = top_rows(score, None if score is s else s, self.k)
+            row, col = np.repeat(np.arange(len(own)), col.shape[1]), col.reshape(-1)
+        if not len(row):
+            return
+        changed, line = np.unique(row, return_inverse=True)
+        place = own[changed]
+        line = np.concatenate([np.repeat(np.arange(len(place)), self.k), line])
+        new = score[row, col], s[row, col], cids[col]
+        both = [np.concatenate([x[place].reshape(-1), y]) for x, y in zip((self.score, self.s, self.cid), new, strict=True)]
+        order = np.lexsort((both[2], -both[1], -both[0], line))
+        order = order[np.searchsorted(line[order], np.arange(len(place)))[:, None] + np.arange(self.k)[None, :]]
+        self.score[place], self.s[place], self.cid[place] = (x[order] for x in both)
 
     def rows(self, qids: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """qid, cid, s and score of what was found, in pieces."""
@@ -171,21 +180,23 @@ class RunningTop:
 
 def shortlist(q: DataFrame, g: DataFrame, k: int, blocks: Blocks | None = None) -> DataFrame:
     """``qid, cid, s`` of the k most similar gallery items per task; ``best`` merges them."""
+    sizes = blocks or Blocks()
 
     class Lists(Kernel):
         def __init__(self, n: int):
             self.top = RunningTop(n, k)
 
         def add(self, at, qids, left, cids, right, extras):
-            s = left @ right.T
-            self.top.add(slice(at, at + len(qids)), s, s, cids)
+            for own in tiles(len(qids), len(cids), sizes.cells):
+                s = left[own] @ right.T
+                self.top.add(np.arange(at + own.start, at + own.stop), s, s, cids)
             yield from ()
 
         def finish(self, qids):
             for qid, cid, s, _ in self.top.rows(qids):
                 yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(cid), pa.array(s)], names=["qid", "cid", "s"])
 
-    return pass_over_pairs(q, g, [], Lists, "qid long, cid long, s double", blocks or Blocks(), 24 * k)
+    return pass_over_pairs(q, g, [], Lists, "qid long, cid long, s double", sizes, 24 * k)
 
 
 def all_pairs(q: DataFrame, g: DataFrame, blocks: Blocks | None = None) -> DataFrame:

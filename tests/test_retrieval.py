@@ -315,3 +315,22 @@ def test_statistics_hold_few_similarities_at_once(monkeypatch):
 def test_a_large_query_block_does_not_grow_the_statistics(monkeypatch):
     kernel = _kernel(monkeypatch, lambda: blocks.gallery_statistics(None, None, (1, 4), (20.0,), blocks.Blocks(queries=20_000, broadcast_bytes=0)), 20_000)
     assert _peak_mb(kernel, 20_000, 512, {}) < 30
+
+
+def test_shortlist_holds_few_similarities_at_once(monkeypatch):
+    kernel = _kernel(monkeypatch, lambda: blocks.shortlist(None, None, 5), 2048)
+    assert _peak_mb(kernel, 2048, 4096, {}) < 40
+
+
+def test_running_lists_with_ties_over_blocks():
+    rng = np.random.default_rng(11)
+    score, s = rng.integers(0, 6, (37, 300)).astype(float), rng.integers(0, 3, (37, 300)).astype(float)
+    cids = rng.permutation(300)
+    top = blocks.RunningTop(37, 7)
+    for part in np.array_split(np.arange(300), 9):
+        part = part[np.argsort(cids[part])]
+        for own in blocks.tiles(37, len(part), 200):
+            top.add(np.arange(37)[own], score[own][:, part], s[own][:, part], cids[part])
+    for i in range(37):
+        want = sorted(range(300), key=lambda j: (-score[i, j], -s[i, j], cids[j]))[:7]
+        assert top.cid[i].tolist() == cids[want].tolist() and top.score[i].tolist() == score[i, want].tolist()
