@@ -322,6 +322,12 @@ def test_shortlist_holds_few_similarities_at_once(monkeypatch):
     assert _peak_mb(kernel, 2048, 4096, {}) < 40
 
 
+def test_reranking_holds_few_similarities_at_once(monkeypatch):
+    methods = [("CSLS", "a", None), ("DB-Norm", "a", 20.0)]
+    kernel = _kernel(monkeypatch, lambda: blocks.reranked(None, None, methods, 5), 2048)
+    assert _peak_mb(kernel, 2048, 4096, {"a": np.zeros(4096), "want": np.arange(2048) % 4}) < 40
+
+
 def test_running_lists_with_ties_over_blocks():
     rng = np.random.default_rng(11)
     score, s = rng.integers(0, 6, (37, 300)).astype(float), rng.integers(0, 3, (37, 300)).astype(float)
