@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 _ROOT = str(Path(__file__).resolve().parents[2])
 #: Pairs in an Arrow batch where all of them are wanted.
 _PAIR_ROWS = 1 << 16
+#: Most queries that a kernel gets at once.
+_QUERY_ROWS = 4096
 
 
 def prepare(spark: SparkSession) -> None:
@@ -37,7 +39,8 @@ def prepare(spark: SparkSession) -> None:
 @dataclass(frozen=True)
 class Blocks:
     """Rows of a block, the largest broadcast of queries, the largest state of a task and the similarities it computes
-    at once. A part has at least one block of queries."""
+    at once. A part has at least one block of queries; of a block beyond ``_QUERY_ROWS`` a task takes so many at a
+    time."""
 
     queries: int = 4096
     gallery: int = 4096
@@ -106,8 +109,9 @@ def pass_over_pairs(q: DataFrame, g: DataFrame, extra: list[str], make: Callable
                 t = pa.Table.from_batches(held).combine_chunks()
                 t = t.take(pa.array(np.argsort(t.column("cid").to_numpy(), kind="stable")))
                 cids, right, extras = t.column("cid").to_numpy(), matrix(t.column("v")), {c: t.column(c).to_numpy() for c in extra}
-                for at in range(0, len(qids), blocks.queries):
-                    some = slice(at, at + blocks.queries)
+                step = min(blocks.queries, _QUERY_ROWS)
+                for at in range(0, len(qids), step):
+                    some = slice(at, at + step)
                     yield from kernel.add(at, qids[some], left[some], cids, right, extras | {c: x[some] for c, x in asked.items()})
                 yield from kernel.block_done(cids)
 

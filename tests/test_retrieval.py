@@ -328,6 +328,19 @@ def test_reranking_holds_few_similarities_at_once(monkeypatch):
     assert _peak_mb(kernel, 2048, 4096, {"a": np.zeros(4096), "want": np.arange(2048) % 4}) < 40
 
 
+def test_a_kernel_gets_few_queries_at_once(spark):
+    """A part of many queries is not one block of them."""
+
+    class Sizes(blocks.Kernel):
+        def add(self, at, qids, left, cids, right, extras):
+            yield blocks.pa.RecordBatch.from_arrays([blocks.pa.array([len(qids)])], names=["n"])
+
+    q = spark.range(9000).select(F.col("id").alias("qid"), F.array(F.lit(1.0)).alias("v"))
+    g = spark.range(3).select(F.col("id").alias("cid"), F.array(F.lit(1.0)).alias("v"))
+    rows = blocks.pass_over_pairs(q, g.coalesce(1), [], lambda n: Sizes(), "n long", blocks.Blocks(queries=9000, broadcast_bytes=0)).collect()
+    assert sum(r.n for r in rows) == 9000 and max(r.n for r in rows) <= 4096
+
+
 def test_running_lists_with_ties_over_blocks():
     rng = np.random.default_rng(11)
     score, s = rng.integers(0, 6, (37, 300)).astype(float), rng.integers(0, 3, (37, 300)).astype(float)
