@@ -353,3 +353,11 @@ def test_running_lists_with_ties_over_blocks():
     for i in range(37):
         want = sorted(range(300), key=lambda j: (-score[i, j], -s[i, j], cids[j]))[:7]
         assert top.cid[i].tolist() == cids[want].tolist() and top.score[i].tolist() == score[i, want].tolist()
+
+
+def test_pairs_of_many_queries_are_dealt_to_more_tasks(spark, tmp_path):
+    q = spark.range(3000).select(F.col("id").alias("qid"), F.array_repeat(F.lit(1.0), 1024).alias("v"))
+    spark.range(2).select(F.col("id").alias("cid"), F.array_repeat(F.lit(0.5), 1024).alias("v")).coalesce(1).write.parquet(str(tmp_path / "g"))
+    found = blocks.all_pairs(q, spark.read.parquet(str(tmp_path / "g")))
+    assert found.rdd.getNumPartitions() == 3
+    assert found.distinct().count() == 6000 and found.filter("s <> 512").count() == 0
