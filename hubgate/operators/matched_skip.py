@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.literal import literal_rows
 from ..functions.ranks import quantiles, with_rank
 from .metrics import as_double
 
@@ -18,7 +19,7 @@ LEARNED_RATES = (0.15, 0.25, 0.35, 0.45, 0.55)
 
 def rate_table(spark: SparkSession, rates: Sequence[float]) -> DataFrame:
     """Rates strictly between 0 and 1; others are left out."""
-    return spark.createDataFrame([(float(r),) for r in rates if 0 < r < 1], "rate double")
+    return literal_rows(spark, [(float(r),) for r in rates if 0 < r < 1], "rate double")
 
 
 def thresholds(df: DataFrame, score: str, rates: Sequence[float], keys: Sequence[str], name: str, upper: bool = True) -> DataFrame:

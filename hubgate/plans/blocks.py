@@ -45,7 +45,7 @@ class Blocks:
     queries: int = 4096
     gallery: int = 4096
     broadcast_bytes: int = 128 << 20
-    state_bytes: int = 128 << 20
+    state_bytes: int = 32 << 20
     cells: int = 1 << 18
 
 
@@ -55,6 +55,12 @@ def tiles(rows: int, columns: int, cells: int) -> Iterator[slice]:
     return (slice(rows * i // n, rows * (i + 1) // n) for i in range(n))
 
 
+def part_count(n: int, width: int, state: int, blocks: Blocks) -> int:
+    """Parts that the queries are dealt to, so that neither a part's vectors nor its state take more than they may."""
+    most = max(blocks.queries, blocks.broadcast_bytes // (8 * width))
+    return -(-n // max(1, min(most, blocks.state_bytes // max(state, 1))))
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -90,8 +96,7 @@ def pass_over_pairs(q: DataFrame, g: DataFrame, extra: list[str], make: Callable
     spark = q.sparkSession
     prepare(spark)
     n, width = q.agg(F.count("*"), F.max(F.size("v"))).first()
-    most = max(blocks.queries, blocks.broadcast_bytes // (8 * (width or 1)))
-    parts = -(-n // max(1, min(most, blocks.state_bytes // max(state, 1))))
+    parts = part_count(n, width or 1, state, blocks)
     own = q.select("qid", "v", *own_columns, F.pmod(F.xxhash64("qid"), F.lit(max(parts, 1))).alias("part"))
     out = None
     for part in range(parts):

@@ -361,3 +361,18 @@ def test_pairs_of_many_queries_are_dealt_to_more_tasks(spark, tmp_path):
     found = blocks.all_pairs(q, spark.read.parquet(str(tmp_path / "g")))
     assert found.rdd.getNumPartitions() == 3
     assert found.distinct().count() == 6000 and found.filter("s <> 512").count() == 0
+
+
+def test_lists_of_many_queries_are_dealt_to_parts():
+    """A task's running lists stay small: those of 123,077 queries (6 GB) are not held by one task or two."""
+    for n in (20_513, 123_077, 1_000_000):
+        for state in (24 * 51, 24 * 10 * 4):
+            parts = blocks.part_count(n, 64, state, blocks.Blocks())
+            assert -(-n // parts) * state <= 33 << 20 and (n > 30_000 or parts == 1)
+
+
+def test_rates_need_no_python(spark):
+    rates = matched_skip.rate_table(spark, (0.0, 0.15, 0.6, 1.0))
+    assert "ExistingRDD" not in rates._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in rates.collect()] == [(0.15,), (0.6,)] and rates.dtypes == [("rate", "double")]
+    assert matched_skip.rate_table(spark, ()).count() == 0
