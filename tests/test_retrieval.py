@@ -376,3 +376,9 @@ def test_rates_need_no_python(spark):
     assert "ExistingRDD" not in rates._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in rates.collect()] == [(0.15,), (0.6,)] and rates.dtypes == [("rate", "double")]
     assert matched_skip.rate_table(spark, ()).count() == 0
+
+
+def test_gate_pairs_need_python_for_the_passes_only(spark, tmp_path):
+    found = retrieval_queries.msk9_gate_pairs(spark, embeddings_of(tmp_path, 60)[0])
+    assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 20
