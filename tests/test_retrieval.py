@@ -382,3 +382,9 @@ def test_gate_pairs_need_python_for_the_passes_only(spark, tmp_path):
     found = retrieval_queries.msk9_gate_pairs(spark, embeddings_of(tmp_path, 60)[0])
     assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 20
+
+
+def test_report_tables_need_no_python(spark):
+    spine = metrics.bucket_spine(spark)
+    assert "ExistingRDD" not in spine._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in spine.collect()] == [(i, label, lo, hi) for i, (lo, hi, label) in enumerate(metrics.MARGIN_BUCKETS)]
