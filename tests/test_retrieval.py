@@ -388,3 +388,9 @@ def test_report_tables_need_no_python(spark):
     spine = metrics.bucket_spine(spark)
     assert "ExistingRDD" not in spine._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in spine.collect()] == [(i, label, lo, hi) for i, (lo, hi, label) in enumerate(metrics.MARGIN_BUCKETS)]
+
+
+def test_markdown_rows_need_no_python(spark, tmp_path):
+    lines = retrieval_queries.snk7_markdown_report(spark, embeddings_of(tmp_path, 60)[0])
+    assert "ExistingRDD" not in lines._jdf.queryExecution().executedPlan().toString()
+    assert lines.count() == 32 and all(r.line.startswith("| ") and r.line.endswith(" |") for r in lines.collect())
