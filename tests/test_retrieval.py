@@ -394,3 +394,9 @@ def test_markdown_rows_need_no_python(spark, tmp_path):
     lines = retrieval_queries.snk7_markdown_report(spark, embeddings_of(tmp_path, 60)[0])
     assert "ExistingRDD" not in lines._jdf.queryExecution().executedPlan().toString()
     assert lines.count() == 32 and all(r.line.startswith("| ") and r.line.endswith(" |") for r in lines.collect())
+
+
+def test_timings_need_no_python(spark, tmp_path):
+    found = retrieval_queries.met29_gated_against_full(spark, embeddings_of(tmp_path, 60)[0])
+    assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.scope, r.certificate) for r in found.collect()] == [("full", "global"), ("full", "local"), ("pool", "local"), ("pool", "maxform")]
