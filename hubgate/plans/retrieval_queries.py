@@ -653,7 +653,9 @@ _TWO_GATES = "ga AS (SELECT method, qid, c1, \"full\", rate, row_number() OVER (
 
 @register("msk9_gate_pairs", sql("SELECT method, rate, round(100 * avg((skip <> skip_b)::INT), 6) AS decision_pct, round(100 * avg(((CASE WHEN skip THEN c1 ELSE \"full\" END) <> (CASE WHEN skip_b THEN c1 ELSE \"full\" END))::INT), 6) AS top1_pct FROM ga GROUP BY method, rate", _P1, _RATES, _TWO_GATES))
 def msk9_gate_pairs(spark, sf_dir):
-    own = _folded(spark, sf_dir).select("method", "qid", "c1", "full", "slack_local", "p1")
+    r = demo(spark, sf_dir)
+    first = learned.shortlist_probabilities(r).filter("rank = 1").select("qid", F.col("p").alias("p1"))
+    own = r.share("gate-scores", lambda: r.decisions.join(first, "qid").select("method", "qid", "c1", "full", "slack_local", "p1"))
     gate = lambda s: matched_skip.skip_exactly(own, s, "qid", matched_skip.LEARNED_RATES, ["method"])
     return rounded(matched_skip.gate_pair_disagreement(gate("slack_local"), gate("p1"), ["method", "rate"]))
 

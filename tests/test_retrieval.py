@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hubgate.functions import ranks
 from hubgate.operators import learned, matched_skip, metrics, order, strategies
-from hubgate.plans import blocks, retrieval_queries
+from hubgate.plans import blocks, retrieval, retrieval_queries
 from hubgate.plans.retrieval import METHODS, Params, Retrieval
 
 P = Params(csls_k=3, nnn_k=5, local_k=6, pool_k=6, rerank_k=5)
@@ -384,6 +384,14 @@ def test_gate_pairs_need_python_for_the_passes_only(spark, tmp_path):
     assert found.count() == 20
 
 
+def test_gate_pairs_store_one_table(spark, tmp_path, monkeypatch):
+    """Neither folds nor features are in its result, and for each file that an executor writes it may be forked."""
+    written = []
+    for module in (learned, retrieval):
+        monkeypatch.setattr(module, "stored", lambda df, name: written.append(name) or df)
+    assert retrieval_queries.msk9_gate_pairs(spark, embeddings_of(tmp_path, 60)[0]).count() == 20 and written == ["gate-scores"]
+
+
 def test_report_tables_need_no_python(spark):
     spine = metrics.bucket_spine(spark)
     assert "ExistingRDD" not in spine._jdf.queryExecution().executedPlan().toString()
